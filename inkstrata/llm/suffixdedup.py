@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, U64, mix, text_chunks, written
+from .common import SpanHasher, U64, mix, text_chunks, with_checked_broadcast, written
 
 GRAM = 16
 CHUNK = 1_000_000
 LARGE_GROUP = 8192
 SHALLOW = 32
+#: Documents whose lists of spans may be broadcast.
+SPAN_ROWS = 200_000
 
 
 # --- deep-shallow sorting -------------------------------------------------------------
@@ -280,6 +282,7 @@ def _anchor_rows(docs: DataFrame, length: int, reach: int) -> DataFrame:
 def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of the wanted contexts, cut out of their documents."""
     per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "total", "anchor", "s_lo", "s_hi", "large")).alias("cut"))
+    per_doc = written(per_doc, "cuts")
 
     def run(batches):
         for batch in batches:
@@ -294,7 +297,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 names=["doc_id", "key", "total", "anchor", "s_lo", "s_hi", "large", "bytes"],
             )
 
-    return docs.join(per_doc.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "cut").mapInArrow(
+    return with_checked_broadcast(docs, per_doc, "doc_id", "inner", SPAN_ROWS).select("doc_id", "text", "cut").mapInArrow(
         run, "doc_id bigint, key bigint, total bigint, anchor bigint, s_lo bigint, s_hi bigint, large boolean, bytes binary"
     )
 
@@ -385,7 +388,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, *, with_text: bool = Fals
     unique: of repeated rows of one doc_id each loses what any of them must lose. An empty
     table gives an empty result; other columns are not read.
     """
-    spans = repeated(docs, length, large_group)
+    spans = written(repeated(docs, length, large_group), "spans")
 
     def run(batches):
         for batch in batches:
@@ -407,5 +410,5 @@ def remove_repeats(docs: DataFrame, length: int = 400, *, with_text: bool = Fals
             )
 
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", text string" * with_text
-    joined = docs.select("doc_id", "text").join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "spans")
+    joined = with_checked_broadcast(docs.select("doc_id", "text"), spans, "doc_id", "left", SPAN_ROWS).select("doc_id", "text", "spans")
     return joined.mapInArrow(run, schema)
