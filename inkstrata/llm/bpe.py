@@ -181,7 +181,7 @@ class TextEncoder:
     starts the next with it, so units can be split and remembered on their own. A text
     with other runs of white space goes through the pattern as a whole."""
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str = PATTERN, remembered: int = 150_000):
+    def __init__(self, vocabulary: Vocabulary, pattern: str = PATTERN, remembered: int = 200_000):
         self.vocabulary = vocabulary
         self.split = regex.compile(pattern).findall
         self.by_unit = pattern == PATTERN

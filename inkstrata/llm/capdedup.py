@@ -18,6 +18,7 @@ from .common import components, written
 from .vectors import matrix, usable
 
 BLOCK = 1024
+AT_LEAST = 24
 
 
 class ProductCode:
@@ -35,7 +36,8 @@ class ProductCode:
         self.threshold = height / np.sqrt(dim)
 
     def filters(self, x: np.ndarray) -> list[np.ndarray]:
-        """Sorted ids of all filters that each unit vector exceeds; the best filter if none."""
+        """Sorted ids of all filters that each unit vector exceeds; a vector that exceeds fewer
+        than AT_LEAST (its halves are of very unequal length) gets its best AT_LEAST."""
         y = x @ self.rotation
         left = y[:, : self.half] @ self.books[0].T / np.sqrt(2)
         rest = y[:, self.half :]
@@ -47,15 +49,16 @@ class ProductCode:
             # a codeword of the first part is worth its longest run in the second's order
             run = np.searchsorted(-down, a - self.threshold, side="right")
             used = np.flatnonzero(run)
-            if len(used):
+            if run.sum() >= AT_LEAST:
                 ids = np.concatenate([i * self.size + by_b[: run[i]] for i in used])
             else:
-                ids = np.array([a.argmax() * self.size + by_b[0]])
+                both = (a[:, None] + b[None, :]).ravel()
+                ids = np.argpartition(-both, min(AT_LEAST, len(both)) - 1)[:AT_LEAST]
             out.append(np.sort(ids))
         return out
 
 
-def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, height: float = 3.0, expected: int = 32) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, height: float = 3.0, expected: int = 40) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each distinct vec_id.
 
     Vectors of one label (not null) are linked where their cosine in double precision is at
@@ -63,7 +66,7 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, height: floa
     inner product and ``expected`` how many filters a vector exceeds on average; together
     they give the number of directions, expected / P(normal > height). Of two vectors with
     cosine 0.93 the second exceeds a filter of the first with probability 0.55, so that a
-    pair meets in 17 filters on average.
+    pair meets in more than 10 filters on average.
 
     Null, zero and non-finite vectors, those of another length than most, and those without
     label link with nothing. Equal vectors of one label are one class from the start and are

@@ -219,13 +219,13 @@ class _Scorer:
 _SCORER: list = []
 
 
-def identify(docs: DataFrame, vocabulary_path: str, *, training: DataFrame | None = None, per_language: int = 1500) -> DataFrame:
+def identify(docs: DataFrame, vocabulary_path: str, *, training: DataFrame | None = None, per_language: int = 1500, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row.
 
     Learns from the rows of ``docs`` with a language whose crc32(doc_id) mod 3 is not 1 (or
     from ``training``: text, lang). ``score`` is the posterior of the predicted language
     among the learned ones, each equally likely beforehand; ties go to the first in code
-    point order. A null text, one without a letter, or any text when no language was learned
+    point order. ``carry`` names further columns to pass through. A null text, one without a letter, or any text when no language was learned
     is ``und`` with score 0. Rows are scored one by one: repeated rows repeat, an empty table
     gives an empty one, very long texts are scored whole, other columns are not read.
     """
@@ -243,16 +243,18 @@ def identify(docs: DataFrame, vocabulary_path: str, *, training: DataFrame | Non
         for batch in batches:
             if not languages:
                 n = len(batch)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([UNKNOWN] * n, pa.string()), pa.array(np.zeros(n))], names=["doc_id", "held_out", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([UNKNOWN] * n, pa.string()), pa.array(np.zeros(n)), *batch.columns[3:]], names=names)
                 continue
             for at, total, letter in _SCORER[1].score(batch.column(2)):
                 best = total.argmax(axis=1)
                 post = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-                names = [languages[b] if ok else UNKNOWN for b, ok in zip(best, letter, strict=True)]
+                found = [languages[b] if ok else UNKNOWN for b, ok in zip(best, letter, strict=True)]
+                part = batch.slice(at, len(best))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(best)), batch.column(1).slice(at, len(best)), pa.array(names, pa.string()), pa.array(np.where(letter, post, 0.0))],
-                    names=["doc_id", "held_out", "lang_pred", "score"],
-                )
+                    [part.column(0), part.column(1), pa.array(found, pa.string()), pa.array(np.where(letter, post, 0.0)), *part.columns[3:]], names=names
+                )
 
-    rows = docs.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    rows = docs.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "text", *[F.col(c).alias(f"_{c}") for c in carry])
+    names = ["doc_id", "held_out", "lang_pred", "score", *[f"_{c}" for c in carry]]
+    schema = "doc_id bigint, held_out boolean, lang_pred string, score double" + "".join(f", `_{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.mapInArrow(run, schema)

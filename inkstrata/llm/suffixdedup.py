@@ -377,13 +377,13 @@ def _removed(size: int, spans, length: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, *, with_text: bool = False, large_group: int = LARGE_GROUP) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, *, with_text: bool = False, large_group: int = LARGE_GROUP, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove every byte covered by a string of ``length`` bytes that also starts anywhere
     else in the table, the same document included; judged on the input.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of the
     remaining bytes and, if asked for, the remaining ``text`` (a character that a border
-    cuts is dropped). Null texts are empty; texts shorter than ``length`` lose nothing.
+    cuts is dropped); ``carry`` names further columns to pass through. Null texts are empty; texts shorter than ``length`` lose nothing.
     Rows without doc_id are returned but neither searched nor changed. A doc_id should be
     unique: of repeated rows of one doc_id each loses what any of them must lose. An empty
     table gives an empty result; other columns are not read.
@@ -405,10 +405,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, *, with_text: bool = Fals
                 out.append((len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0)] + [pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)][: 4 + with_text],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"][: 5 + with_text],
+                [batch.column(0)] + [pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)][: 4 + with_text] + batch.columns[3:],
+                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"][: 5 + with_text] + [f"_{c}" for c in carry],
             )
 
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", text string" * with_text
-    joined = with_checked_broadcast(docs.select("doc_id", "text"), spans, "doc_id", "left", SPAN_ROWS).select("doc_id", "text", "spans")
+    schema += "".join(f", `_{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    texts = docs.select("doc_id", "text", *[F.col(c).alias(f"_{c}") for c in carry])
+    joined = with_checked_broadcast(texts, spans, "doc_id", "left", SPAN_ROWS).select("doc_id", "text", "spans", *[f"_{c}" for c in carry])
     return joined.mapInArrow(run, schema)
