@@ -55,6 +55,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of (id, small value) up to which a side is broadcast: about 100 MB in an executor.
+BROADCAST_ROWS = 1_000_000
+
+
+def with_checked_broadcast(big: DataFrame, small: DataFrame, on: list[str] | str, how: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join a table of texts with a narrow written one. If the narrow one's counted rows are
+    within the bound it is broadcast and no text is shuffled; beyond it, both are shuffled."""
+    if small.count() <= rows:
+        return big.join(F.broadcast(small), on, how)
+    return big.join(small.hint("shuffle_hash"), on, how)
+
+
 # --- hashing over whole batches -------------------------------------------------------
 
 U64 = np.uint64
@@ -171,43 +183,33 @@ def fold(doc_id, n: int):
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component): the smallest node reachable, for each node on an edge (u, v).
 
-    Alternating large-star and small-star steps on the edge table: each step is two
-    aggregations with partial sums and joins on unique keys, so that a node with very many
+    Alternating large-star and small-star steps on the edge table: each step is an
+    aggregation with partial sums and a join on its unique key, so that a node with very many
     edges never meets in one task; O(log^2 n) rounds. Each round is written, and the loop
-    ends when a round changes nothing.
+    ends when the edges are stars.
     """
-    e = (
-        edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .where("u <> v")
-        .distinct()
+    e = written(
+        edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges"
     )
-    e = written(e, "edges")
-    sign = _signature(e)
     for _ in range(rounds):
-        if sign[0] == 0:
+        if _are_stars(e):
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
         low = low.select("u", F.least("u", "m").alias("m"))
+        # every larger neighbour to the smallest of the neighbourhood
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        e = written(
-            small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .where("u <> v")
-            .unionByName(low.select("u", F.col("m").alias("v")))
-            .distinct(),
-            "edges",
-        )
-        now = _signature(e)
-        if now == sign:
-            break
-        sign = now
+        # every smaller neighbour, and the node itself, to the smallest
+        small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        e = written(small.where("u <> v").distinct(), "edges")
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
 
 
-def _signature(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.coalesce(F.expr("bit_xor(xxhash64(u, v))"), F.lit(0)), F.coalesce(F.expr("bit_xor(xxhash64(v, u, 7))"), F.lit(0))).first())
+def _are_stars(e: DataFrame) -> bool:
+    """Whether every node is either the smaller end of edges only or the larger end of one."""
+    ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("x"))
+    node = ends.groupBy("x.node").agg(F.sum("x.up").alias("up"), F.count("*").alias("n"))
+    return node.where("up > 1 or (up = 1 and n > 1)").isEmpty()

@@ -6,33 +6,38 @@
 2. Inverted lists of the retained values find overlaps. Two sets with Jaccard >= 0.8 share
    at least ``need(m)`` of their retained values, so a document that shares fewer with all
    others together is out, and it is enough to list its rarest ``shared - need + 1`` values
-   (prefix filter): values that most documents hold are hardly ever listed.
+   (prefix filter): values that most documents hold are hardly ever listed. Lists are kept
+   by size class, as the sizes of two such sets differ by a factor of 1.25 at most.
 3. Round one compares each document with the smallest id of each of its lists, a number of
    pairs linear in the lists' length; the union-sketch estimate filters, the exact Jaccard of
    the full sets decides. Round two compares, in blocks, only members of one list that
-   verified links have not yet brought together. Both leave the same components as all
-   pairs would.
+   verified links have not yet brought together, and returns the links that join them. Both
+   leave the same components as all pairs would.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SpanHasher, U64, components, long_list, mix, text_chunks, word_spans, written
+from .common import LOWER, SpanHasher, U64, components, long_list, mix, text_chunks, with_checked_broadcast, word_spans, written
 
 K = 32
-BLOCK = 256
+BLOCK = 1024
+SIZE_CLASS = math.log(1.2501)
 
 
 def need(m, k: int = K):
     """Least number of common retained values for sketch size m at Jaccard 0.8. Small sets
     are kept whole, so that the overlap is at least 0.8 m; of larger ones the overlap of the
-    sketches is hypergeometric with mean 0.8 k, and 0.4 k is 5.6 standard deviations below."""
+    sketches is hypergeometric with mean 0.8 k, and 0.5 k is 4.5 standard deviations below
+    (a link of exactly 0.8 is missed 3 times in 100,000, a closer one less often)."""
     whole = F.ceil(m * F.lit(0.8))
-    return F.when(m * F.lit(1.25) <= k, whole).otherwise(F.lit(int(0.4 * k))).cast("int")
+    return F.when(m * F.lit(1.25) <= k, whole).otherwise(F.lit(k // 2)).cast("int")
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +107,14 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, set array<bigint>")
 
 
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    return written(_sets(with_checked_broadcast(docs, written(ids, "ids"), "doc_id", "left_semi"), words), "sets")
+
+
 def _rows(column: pa.Array) -> list[np.ndarray]:
     """Views of a list<int64> column's rows as uint64."""
     offs = np.asarray(column.offsets)
@@ -120,7 +133,7 @@ def union_estimate(a: np.ndarray, b: np.ndarray, k: int) -> int:
 
 
 def _least(m: int, k: int) -> int:
-    return int(np.ceil(m * 0.8 - 1e-9)) if m * 1.25 <= k else int(0.4 * k)
+    return int(np.ceil(m * 0.8 - 1e-9)) if m * 1.25 <= k else k // 2
 
 
 def _estimated(pairs: DataFrame, sketches: DataFrame, k: int) -> DataFrame:
@@ -169,50 +182,58 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
         raise ValueError("retained overlaps are set for similarities of 80 % and more")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     made = written(_sketches(docs, words, k), "sketches")
+    if not made.groupBy("doc_id").count().where("count > 1").isEmpty():
+        docs = written(docs.groupBy("doc_id").agg(F.min("text").alias("text")), "documents")
+        made = written(_sketches(docs, words, k), "sketches")
 
     classes = made.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     member = written(
         made.join(classes, ["n_shingles", "d1", "d2"]).select(
-            "doc_id", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")
+            "doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch")
         ),
         "classes",
     )
-    reps = member.where("sketch is not null").select("doc_id", "sketch")
+    reps = member.where("sketch is not null").select("doc_id", "n_shingles", "sketch")
 
     # inverted lists of retained values that at least two classes hold
-    posting = reps.select("doc_id", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
+    posting = reps.select("doc_id", "n_shingles", F.explode("sketch").alias("value"))
     held = posting.groupBy("value").agg(F.count("*").alias("df")).where("df >= 2")
+    m = F.least(F.first("n_shingles"), F.lit(k)).cast("int")
     rare = (
         posting.join(held, "value")
         .groupBy("doc_id")
-        .agg(F.first("m").alias("m"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("found"))
+        .agg(F.first("n_shingles").alias("n_shingles"), m.alias("m"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("found"))
         .withColumn("need", need(F.col("m"), k))
         .where(F.size("found") >= F.col("need"))
-        .select("doc_id", F.explode(F.slice("found", F.lit(1), F.size("found") - F.col("need") + 1)).alias("x"))
-        .select("doc_id", F.col("x.value").alias("value"))
+        .withColumn("own", F.floor(F.log("n_shingles") / F.lit(SIZE_CLASS)).cast("int"))
+        .select("doc_id", "own", F.transform(F.slice("found", F.lit(1), F.size("found") - F.col("need") + 1), lambda x: x["value"]).alias("listed"))
     )
-    rare = written(rare, "lists")
-    lists = rare.groupBy("value").agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n >= 2")
-    in_lists = written(rare.join(lists, "value"), "lists")
-
-    # the full sets of the documents that are on a list with others
-    at = in_lists.select("doc_id").distinct()
-    sets = written(_sets(docs.join(at, "doc_id", "left_semi"), words), "sets")
+    chosen = written(rare, "values")
+    rare = chosen.select("doc_id", F.explode("listed").alias("value"), "own").select(
+        "doc_id", "value", F.explode(F.array(F.col("own") - 1, F.col("own"))).alias("size_class")
+    )
+    key = ["value", "size_class"]
+    lists = rare.groupBy(*key).agg(F.min("doc_id").alias("hub"), F.count("*").alias("n")).where("n >= 2")
+    in_lists = written(rare.join(lists, key), "lists")
 
     pairs = in_lists.where("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v")).distinct()
-    linked = written(_verified(_estimated(pairs, reps, k), sets, percent), "links")
-    found = written(components(linked), "components")
+    pairs = written(_estimated(pairs, reps, k), "pairs")
+    sets = _sets_of(docs, _ids(pairs), words)
+    linked = written(_verified(pairs, sets, percent), "links")
+    final = written(components(linked), "components")
 
     # what a list still holds apart: compared in blocks, across components only
-    label = in_lists.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "value", "doc_id", F.coalesce("component", "doc_id").alias("label")
+    label = in_lists.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        *key, "doc_id", F.coalesce("component", "doc_id").alias("label")
     )
-    apart = label.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("value", "n")
-    rest = _across(label.join(apart, "value"), reps, k)
-    rest = rest.distinct().join(pairs, ["u", "v"], "left_anti")
-    late = _verified(rest, sets, percent)
-    links = written(linked.unionByName(late), "links")
-    final = components(links).select(F.col("node").alias("rep"), "component")
+    apart = label.groupBy(*key).agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select(*key, "n")
+    near = written(_across(label.join(apart, key), reps.join(chosen, "doc_id"), k), "near")
+    if not near.isEmpty():
+        more = _sets_of(docs, near.select("doc_id").distinct().join(_ids(pairs), "doc_id", "left_anti"), words)
+        late = _linked_across(near.join(sets.unionByName(more), "doc_id"), percent)
+        stars = final.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+        final = written(components(stars.unionByName(late)), "components")
+    final = final.select(F.col("node").alias("rep"), "component")
 
     out = member.select("doc_id", "rep").join(final, "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     return (
@@ -223,42 +244,113 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     )
 
 
-def _across(label: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """Pairs of one list with different labels that pass the union-sketch estimate. A list of
-    more than BLOCK members is cut into blocks and every pair of blocks is a group."""
+def _across(label: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
+    """Members of a list that pass the union-sketch estimate with a member of another label. A
+    list of more than BLOCK members is cut into blocks and every pair of blocks is a group.
+    Only the first list that both are on looks at a pair. Not the pairs are returned but the
+    members, once for each group, so that rows never grow with the square of a list."""
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
     mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     rows = (
         label.withColumn("blocks", blocks)
         .withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("value", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "doc_id", "label")
-        .join(reps, "doc_id")
+        .select("value", "size_class", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "doc_id", "label")
+        .join(chosen.select("doc_id", "sketch", "listed", "own"), "doc_id")
     )
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        ids, labels = np.asarray(group["doc_id"]), np.asarray(group["label"])
-        mine = np.asarray(group["mine"])
+        ids, labels, mine, own = (np.asarray(group[c]) for c in ("doc_id", "label", "mine", "own"))
         lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
+        this, size_class = np.int64(group["value"][0].as_py()), group["size_class"][0].as_py()
         sketches = _rows(group["sketch"].chunk(0))
-        sizes = np.array([len(s) for s in sketches])
-        _, column = np.unique(np.concatenate(sketches), return_inverse=True)
-        row = np.repeat(np.arange(len(ids)), sizes)
-        # overlaps of whole sketches bound those of the union sketch from above
-        order = np.argsort(column, kind="stable")
-        column, row = column[order], row[order]
-        bounds = np.flatnonzero(np.diff(column)) + 1
-        overlap = np.zeros((len(ids), len(ids)), np.int16)
-        for at in np.split(row, bounds):
-            if len(at) > 1:
-                overlap[np.ix_(at, at)] += 1
-        least = np.array([_least(m, k) for m in sizes])
-        good = (overlap >= np.maximum(least[:, None], least[None, :])) & (labels[:, None] != labels[None, :]) & (ids[:, None] < ids[None, :])
-        if lo != hi:
-            good &= mine[:, None] != mine[None, :]
-        u, v = np.nonzero(good)
-        keep = [i for i, (a, b) in enumerate(zip(u, v, strict=True)) if union_estimate(sketches[a], sketches[b], k) >= max(least[a], least[b])]
-        return pa.table({"u": ids[u[keep]], "v": ids[v[keep]]})
-
-    return rows.groupBy("value", "lo", "hi").applyInArrow(run, "u bigint, v bigint")
+        least = np.array([_least(len(s), k) for s in sketches])
+        values, column = np.unique(np.concatenate(sketches), return_inverse=True)
+        columns = _padded(column, [len(s) for s in sketches], len(values))
+        lists = _rows(group["listed"].chunk(0))
+        listed = _padded(np.concatenate(lists).view(np.int64), [len(x) for x in lists], np.iinfo(np.int64).max)
+        # the commonest label's members need no comparison among themselves
+        names, count = np.unique(labels, return_counts=True)
+        from_ = np.flatnonzero(labels != names[count.argmax()])
+        mark = np.zeros(len(values) + 1, np.uint8)
+        u, v = [], []
+        for r in from_:
+            mark[columns[r]] = 1
+            mark[-1] = 0
+            overlap = mark[columns].sum(axis=1)  # bounds the union sketch's from above
+            mark[columns[r]] = 0
+            near = np.flatnonzero((overlap >= np.maximum(least, least[r])) & (labels != labels[r]))
+            if lo != hi:
+                near = near[mine[near] != mine[r]]
+            u.append(np.full(len(near), r))
+            v.append(near)
+        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
+        pair = np.unique(np.minimum(u, v) * len(ids) + np.maximum(u, v))
+        u, v = pair // len(ids), pair % len(ids)
+        first = (own[u] != own[v]) | (own[u] == size_class)
+        u, v = u[first], v[first]
+        keep = []
+        for at in range(0, len(u), 8192):
+            a, b = listed[u[at : at + 8192]], listed[v[at : at + 8192]]
+            earlier = ((a[:, :, None] == b[:, None, :]) & (a < this)[:, :, None]).any(axis=(1, 2))
+            keep.append(~earlier)
+        keep = np.concatenate(keep) if keep else np.zeros(0, bool)
+        u, v = u[keep], v[keep]
+        found = np.zeros(len(ids), bool)
+        for a, b in zip(u.tolist(), v.tolist(), strict=True):
+            if not (found[a] and found[b]) and union_estimate(sketches[a], sketches[b], k) >= max(least[a], least[b]):
+                found[a] = found[b] = True
+        return group.select(["value", "size_class", "lo", "hi", "mine", "doc_id", "label"]).filter(pa.array(found))
+
+    return rows.groupBy("value", "size_class", "lo", "hi").applyInArrow(
+        run, "value bigint, size_class int, lo int, hi int, mine int, doc_id bigint, label bigint"
+    )
+
+
+def _linked_across(near: DataFrame, percent: int) -> DataFrame:
+    """Links between members of different labels of one group, exact by their full sets: not
+    all of them, but a forest that joins what they join."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        ids, labels, mine = (np.asarray(group[c]) for c in ("doc_id", "label", "mine"))
+        apart = group["lo"][0].as_py() != group["hi"][0].as_py()
+        sets = _rows(group["set"].chunk(0))
+        size = np.array([len(x) for x in sets])
+        first = np.cumsum(size) - size
+        values, column = np.unique(np.concatenate(sets), return_inverse=True)
+        mark = np.zeros(len(values), np.int32)
+        names, count = np.unique(labels, return_counts=True)
+        home = dict(zip(names.tolist(), names.tolist(), strict=True))
+
+        def top(x):
+            while home[x] != x:
+                home[x] = home[home[x]]
+                x = home[x]
+            return x
+
+        u, v = [], []
+        for r in np.flatnonzero(labels != names[count.argmax()]):
+            mine_ = column[first[r] : first[r] + size[r]]
+            mark[mine_] = 1
+            common = np.add.reduceat(mark[column], first)
+            mark[mine_] = 0
+            link = (100 * common >= percent * (size + size[r] - common)) & (labels != labels[r])
+            if apart:
+                link &= mine != mine[r]
+            for j in np.flatnonzero(link).tolist():
+                x, y = top(labels[r].item()), top(labels[j].item())
+                if x != y:
+                    home[max(x, y)] = min(x, y)
+                    u.append(ids[r])
+                    v.append(ids[j])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return near.groupBy("value", "size_class", "lo", "hi").applyInArrow(run, "u bigint, v bigint")
+
+
+def _padded(flat: np.ndarray, sizes: list[int], fill: int) -> np.ndarray:
+    out = np.full((len(sizes), max(sizes)), fill, np.int64)
+    out[np.arange(out.shape[1])[None, :] < np.array(sizes)[:, None]] = flat
+    return out
