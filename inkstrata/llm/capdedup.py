@@ -19,6 +19,7 @@ from .vectors import matrix, usable
 
 BLOCK = 1024
 AT_LEAST = 24
+LUMP = 4096
 
 
 class ProductCode:
@@ -108,19 +109,23 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, height: floa
     spreads = classes.select("label", "rep", "copies", "embedding").mapInArrow(
         spread, f"label {label}, filter int, rep bigint, copies bigint, embedding {kind}, filters array<int>"
     )
-    # a filter with many vectors is cut into blocks; each pair of blocks is a group
+    # A filter with many vectors is cut into blocks and each pair of blocks is a group; filters
+    # with few are put together into groups of about LUMP rows.
     ids_only = classes.select("label", "rep", "copies", "embedding").mapInArrow(_only_ids(shared), f"label {label}, filter int")
     sizes = ids_only.groupBy("label", "filter").agg(F.count("*").alias("n")).where("n >= 2")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    lumps = max(1, n * expected // LUMP)
+    both = F.xxhash64("label", "filter")
     grouped = (
         spreads.join(sizes, ["label", "filter"])
         .withColumn("blocks", blocks)
         .withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
+        .withColumn("lump", F.when(F.col("blocks") > 1, both).otherwise(F.pmod(both, F.lit(lumps))))
         .drop("n", "blocks", "other")
     )
-    found = grouped.groupBy("label", "filter", "lo", "hi").applyInArrow(_verify(least), "u bigint, v bigint, n bigint")
+    found = grouped.groupBy("lump", "lo", "hi").applyInArrow(_verify(least), "u bigint, v bigint, n bigint")
     found = written(found, "found")
     near = found.where("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("near"))
     joined = components(found.where("v is not null").select("u", "v")).select(F.col("node").alias("rep"), "component")
@@ -156,51 +161,68 @@ def _only_ids(shared):
 
 
 def _verify(least: float):
-    """Of one group: (u, null, n): u's linked vectors that meet it here first, counted with
-    copies; and (u, v, 0): links that join what this group links, no more than its rows."""
+    """Of the filters of one group: (u, null, n): u's linked vectors that meet it here first,
+    counted with copies; and (u, v, 0): links that join what this group links, no more than its
+    rows."""
 
     def run(group: pa.Table) -> pa.Table:
-        mine = np.asarray(group["mine"].combine_chunks())
-        lo, hi, this = group["lo"][0].as_py(), group["hi"][0].as_py(), group["filter"][0].as_py()
-        rep, copies = (np.asarray(group[c].combine_chunks()) for c in ("rep", "copies"))
+        group = group.combine_chunks()
+        mine, rep, copies, filters = (np.asarray(group[c]) for c in ("mine", "rep", "copies", "filter"))
+        labels = np.unique(np.asarray(group["label"]), return_inverse=True)[1]
+        lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
         x = matrix(group["embedding"])
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        a = np.flatnonzero(mine == lo)
-        b = np.flatnonzero(mine == hi)
-        close = x[a] @ x[b].T >= least
-        if lo == hi:
-            close = np.triu(close, 1)
-        i, j = np.nonzero(close)
-        i, j = a[i], b[j]
-        if not len(i):
-            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        # count a pair in the first filter that holds both
-        lists = group["filters"].to_pylist()
-        width = max(map(len, lists))
-        before = np.full((len(lists), width), -1, np.int32)
-        for r, f in enumerate(lists):
-            f = [y for y in f if y < this]
-            before[r, : len(f)] = f
-        first = np.ones(len(i), bool)
-        for at in range(0, len(i), 4096):
-            s = slice(at, at + 4096)
-            left, right = before[i[s]], np.where(before[j[s]] < 0, -2, before[j[s]])
-            first[s] = ~(left[:, :, None] == right[:, None, :]).any(axis=(1, 2))
-        n = np.bincount(i[first], copies[j[first]], len(rep)) + np.bincount(j[first], copies[i[first]], len(rep))
-        some = np.flatnonzero(n)
-        # smallest member of each component by repeated minima over its links
-        low = np.arange(len(rep))
-        while True:
-            new = low.copy()
-            np.minimum.at(new, i, low[j])
-            np.minimum.at(new, j, low[i])
-            new = new[new]
-            if (new == low).all():
-                break
-            low = new
-        joined = np.flatnonzero(low != np.arange(len(rep)))
-        u = np.concatenate([rep[some], rep[joined]])
-        v = pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(rep[low[joined]], pa.int64())])
-        return pa.table({"u": u, "v": v, "n": np.concatenate([n[some], np.zeros(len(joined))]).astype(np.int64)})
+        lists = group["filters"].chunk(0)
+        offs, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+        order = np.lexsort((filters, labels))
+        cut = np.flatnonzero((np.diff(filters[order]) != 0) | (np.diff(labels[order]) != 0)) + 1
+        us, vs, ns = [], [], []
+        for rows in np.split(order, cut):
+            if len(rows) < 2:
+                continue
+            a, b = (rows, rows) if lo == hi else (rows[mine[rows] == lo], rows[mine[rows] == hi])
+            close = x[a] @ x[b].T >= least
+            if lo == hi:
+                close = np.triu(close, 1)
+            if not close.any():
+                continue
+            i, j = np.nonzero(close)
+            i, j = a[i], b[j]
+            # count a pair in the first filter that holds both
+            this = filters[rows[0]]
+            size = offs[rows + 1] - offs[rows]
+            before = np.full((len(rows), int(size.max())), -1, np.int32)
+            at = np.zeros(len(rep), np.int64)
+            at[rows] = np.arange(len(rows))
+            for r in rows:
+                f = flat[offs[r] : offs[r + 1]]
+                f = f[f < this]
+                before[at[r], : len(f)] = f
+            first = np.ones(len(i), bool)
+            for k in range(0, len(i), 4096):
+                s = slice(k, k + 4096)
+                left, right = before[at[i[s]]], before[at[j[s]]]
+                first[s] = ~((left[:, :, None] == right[:, None, :]) & (left >= 0)[:, :, None]).any(axis=(1, 2))
+            n = np.bincount(i[first], copies[j[first]], len(rep)) + np.bincount(j[first], copies[i[first]], len(rep))
+            some = np.flatnonzero(n)
+            us.append(rep[some])
+            vs.append(np.full(len(some), -1))
+            ns.append(n[some].astype(np.int64))
+            # smallest member of each component by repeated minima over its links
+            low = np.arange(len(rep))
+            while True:
+                new = low.copy()
+                np.minimum.at(new, i, low[j])
+                np.minimum.at(new, j, low[i])
+                new = new[new]
+                if (new == low).all():
+                    break
+                low = new
+            joined = np.flatnonzero(low != np.arange(len(rep)))
+            us.append(rep[joined])
+            vs.append(low[joined])
+            ns.append(np.zeros(len(joined), np.int64))
+        u, v, n = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (us, vs, ns))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(rep[np.maximum(v, 0)] if len(v) else v, pa.int64(), mask=v < 0), "n": pa.array(n, pa.int64())})
 
     return run
