@@ -133,3 +133,19 @@ def test_arrival_stream(spark, tmp_path):
     for run in range(2):
         load_arrivals(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), "main_texts", ["content"], str(tmp_path / f"cp{run}")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out/main_texts")).count() == 1
+
+
+def test_blocks_with_a_parser(spark, tmp_path):
+    from inkstrata.sources import blocks
+
+    (tmp_path / "a.pdf").write_bytes(b"one\x01\ntwo")
+    (tmp_path / "b.pdf").write_bytes(b"\xff")
+
+    def parse(data):
+        for i, line in enumerate(data.decode().split("\n"), 1):
+            yield {"page": i, "text": line}
+
+    df = blocks.read_blocks(spark, str(tmp_path), parse)
+    assert {(r["doc_id"], r["page"], r["text"]) for r in df.where("error is null").collect()} == {("a", 1, "one"), ("a", 2, "two")}
+    assert df.where("error is not null").first()["doc_id"] == "b"
+    assert blocks.page_counts(df).first()["n_pages"] == 2
