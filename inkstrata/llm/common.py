@@ -55,14 +55,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of (id, small value) up to which a side is broadcast: about 100 MB in an executor.
-BROADCAST_ROWS = 1_000_000
+#: Items (a row of an id and a small value, or an element of an array) up to which a side is
+#: broadcast: about 50 MB in an executor.
+BROADCAST_ITEMS = 1_000_000
 
 
-def with_checked_broadcast(big: DataFrame, small: DataFrame, on: list[str] | str, how: str, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a table of texts with a narrow written one. If the narrow one's counted rows are
-    within the bound it is broadcast and no text is shuffled; beyond it, both are shuffled."""
-    if small.count() <= rows:
+def with_checked_broadcast(big: DataFrame, small: DataFrame, on: str, how: str, items=None) -> DataFrame:
+    """Join a table of texts with a narrow written one. If the narrow one's counted ``items``
+    (default: its rows) are within the bound it is broadcast and no text is shuffled; beyond
+    it, both are shuffled."""
+    n = small.agg(F.sum(F.lit(1) if items is None else items)).first()[0] or 0
+    if n <= BROADCAST_ITEMS:
         return big.join(F.broadcast(small), on, how)
     return big.join(small.hint("shuffle_hash"), on, how)
 

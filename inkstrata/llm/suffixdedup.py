@@ -30,8 +30,6 @@ GRAM = 16
 CHUNK = 1_000_000
 LARGE_GROUP = 8192
 SHALLOW = 32
-#: Documents whose lists of spans may be broadcast.
-SPAN_ROWS = 200_000
 
 
 # --- deep-shallow sorting -------------------------------------------------------------
@@ -297,7 +295,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 names=["doc_id", "key", "total", "anchor", "s_lo", "s_hi", "large", "bytes"],
             )
 
-    return with_checked_broadcast(docs, per_doc, "doc_id", "inner", SPAN_ROWS).select("doc_id", "text", "cut").mapInArrow(
+    return with_checked_broadcast(docs, per_doc, "doc_id", "inner", 1 + F.size("cut")).select("doc_id", "text", "cut").mapInArrow(
         run, "doc_id bigint, key bigint, total bigint, anchor bigint, s_lo bigint, s_hi bigint, large boolean, bytes binary"
     )
 
@@ -412,5 +410,5 @@ def remove_repeats(docs: DataFrame, length: int = 400, *, with_text: bool = Fals
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", text string" * with_text
     schema += "".join(f", `_{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     texts = docs.select("doc_id", "text", *[F.col(c).alias(f"_{c}") for c in carry])
-    joined = with_checked_broadcast(texts, spans, "doc_id", "left", SPAN_ROWS).select("doc_id", "text", "spans", *[f"_{c}" for c in carry])
+    joined = with_checked_broadcast(texts, spans, "doc_id", "left", 1 + F.size("spans")).select("doc_id", "text", "spans", *[f"_{c}" for c in carry])
     return joined.mapInArrow(run, schema)
