@@ -10,8 +10,8 @@ HEBREW = r"[֐-׿יִ-ﭏ‏]"
 BIDI_MARKS = r"[‎‏‪-‮⁦-⁩]"
 QUOTES = "[“”„‟«»″‶״❝❞〝〞〟＂]"
 #: Letters with ascenders and descenders in the effective font size.
-ASCENDERS = "[לbdfhklitABCDEFGHIJKLMNOPQRSTUVWXYZ0-9]"
-DESCENDERS = "[ךןףץקgjpqyQ]"
+ASCENDERS = "[לA-Zbdfhklt]"
+DESCENDERS = "[ךןףץקgjpqy]"
 LABEL_DESCENDERS = "[ךןףץקygqQ]"
 LAMED = "ל"
 
@@ -87,7 +87,12 @@ def effective_font_size(height: Column, text: Column, ascenders: str = ASCENDERS
     with both half; plain words lose 3 for a comma."""
     up, down = text.rlike(ascenders), text.rlike(descenders)
     plain = F.when(text.contains(","), height - 3).otherwise(height)
-    return F.when(up & down, (height / 2).cast("int")).when(up | down, (height * 2 / 3).cast("int")).otherwise(plain.cast("int"))
+    return F.when(up & down, (height / 2).cast("int")).when(up | down, (height * 2 / 3).cast("int")).otherwise(plain)
+
+
+def only_full_line(text: Column) -> Column:
+    """No ascender, no descender, and something besides yod: the height is the font size."""
+    return ~text.rlike(ASCENDERS) & ~text.rlike(DESCENDERS) & text.rlike("[^י]")
 
 
 def label_font_size(height: Column, text: Column) -> Column:
@@ -105,3 +110,18 @@ def truncated(x: Column, digits: int = 2) -> Column:
 
 def reference_start(x: Column) -> Column:
     return x.rlike(r"^\d+[.)]?\s+")
+
+
+#: How an author's note of thanks or origin begins.
+ACKNOWLEDGEMENTS = [
+    "ה?(הרצאה|מחקר|מאמר|חיבור) ", "הער[הת] ה?[המ]ערכת", "מתוך (הרצאה|מחקר|מאמר|חיבור) ", "(ראשיתו|עיקרו) של (מחקר|מאמר|חיבור)", "מוקדש",
+    "להלן רשימת", "(תודה|תודתי)", "אנו מודים ",
+    "(הריני|הרינו|הנני|הננו|אני|אנו|אנחנו|המחבר|המחברים|המחברות) מבקש(ת|ים|ות) להודות ",
+    "(הריני|הרינו|הנני|הננו|אני|אנו|אנחנו|המחבר|המחברים|המחברות) (מודה|מודים|מודות) ",
+    "ברצוני ", "דברים ש", "ה?דברים ", "חלק(ים)? (מה?|מן ה)(דברים|מאמר|עבודה)", "מוקדש ל", "מתוך ", "עיבוד של ", "עיקרי ה?דברים ", "פרק(ים)? מתוך",
+]
+
+
+def is_acknowledgement(note: Column) -> Column:
+    """From its first letter on, a note holds one of the beginnings."""
+    return F.regexp_replace(note, r"^\P{L}*", "").rlike("|".join(ACKNOWLEDGEMENTS))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import sequence
 from .bidi import typeset_column
-from .config import Thresholds
+from .config import EXCLUDED, Thresholds
 
 PAGE = ["doc_id", "page"]
 PARA = [*PAGE, "para_no"]
@@ -30,10 +30,13 @@ class Rules:
 
     paragraph_gap: float = 35.0
     line_gap: float = 10.0
-    min_words: int = 2
+    min_words: int = 3
     footnote_drop: float = 0.35
     size_tolerance: float = 2.0
-    excluded: tuple[str, ...] = ()
+    excluded: tuple[str, ...] = EXCLUDED
+    first_page: str = "p01"
+    banner: tuple[str, ...] = ("לשוננו",)
+    penultimate: tuple[str, ...] = ("מגילות", "magilot", "לשוננו", "lecohotenu")
     legacy_duplicate: bool = False
 
 
@@ -55,8 +58,7 @@ def validated(words: DataFrame) -> DataFrame:
 def paragraphs(words: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Words with para_no, and the effective font size of each word."""
     df = sequence.paragraph_islands(words, PAGE, ["row_no"], F.col("conf") == -1, "top", rules.paragraph_gap)
-    full = F.col("text").rlike(r"^[\s\p{Punct}]*$") | ~F.col("text").rlike(tx.ASCENDERS + "|" + tx.DESCENDERS)
-    size = F.when(full, F.col("height")).otherwise(tx.effective_font_size(F.col("height"), F.col("text")).cast("double"))
+    size = F.when(tx.only_full_line(F.col("text")), F.col("height")).otherwise(tx.effective_font_size(F.col("height"), F.col("text")).cast("double"))
     return df.withColumn("is_word", (F.col("conf") >= 0) & (F.trim(F.coalesce("text", F.lit(""))) != "")).withColumn("font_size", F.when(F.col("is_word"), size))
 
 
@@ -72,12 +74,15 @@ def paragraph_stats(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
         F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("is_word"), F.struct("row_no", "text")))), lambda x: x["text"]), " ").alias("plain"),
     )
     last = Window.partitionBy(*PAGE).orderBy(F.desc("para_no"))
-    banned = F.lit(False)
-    for phrase in rules.excluded:
-        banned = banned | F.col("plain").contains(phrase)
+    low = F.lower(F.col("plain"))
+    holds = lambda phrases: F.exists(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(low, p)) if phrases else F.lit(False)
+    g = g.withColumn("_end", F.row_number().over(last))
+    first = F.col("page") == rules.first_page
+    # a journal's own banner, and its name in the last paragraph but one, are no text
+    banned = holds(rules.excluded) | (first & holds(rules.banner)) | (first & (F.col("_end") == 2) & holds(rules.penultimate))
     tall = (F.col("max_top") - F.col("min_top") >= 60) & (F.col("n_words") < 4)
     g = g.withColumn("valid", (F.col("n_words") >= rules.min_words) & ~banned & ~tall)
-    return g.where("valid").withColumn("from_end", F.row_number().over(last)).drop("valid")
+    return g.where("valid").withColumn("from_end", F.row_number().over(last)).drop("valid", "_end")
 
 
 def classified(stats: DataFrame, rules: Rules = Rules()) -> DataFrame:

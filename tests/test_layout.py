@@ -33,11 +33,11 @@ def test_main_text_and_footnotes(spark):
 
 
 def test_footnote_goes_on(spark):
-    t = Thresholds()
+    t = Thresholds(bottom_margin_max=1850.0)
     body = lambda: [(100, 30, ["aa nn oo", "ss uu cc"]), (300, 30, ["mm nn", "rr ss vv"])]
-    data = page("d", "p01", [*body(), (1700, 20, ["1 ooo sss"])]) + page("d", "p02", [*body(), (1500, 20, ["aaa mmm"])])
+    data = page("d", "p01", [*body(), (1700, 20, ["1 ooo sss"])]) + page("d", "p02", [*body(), (1500, 20, ["aaa mmm vvv"])])
     _, notes = pages.extract(spark.createDataFrame(data, SCHEMA), t)
-    assert [(r["page"], r["text"]) for r in notes.collect()] == [("p01", "1 ooo sssaaa mmm")]
+    assert [(r["page"], r["text"]) for r in notes.collect()] == [("p01", "1 ooo sssaaa mmm vvv")]
 
 
 def test_validation(spark):
@@ -79,6 +79,12 @@ def test_state_machines(spark):
 def test_config_aliases(spark):
     rows = config_table(spark, {("sibra", "printed"): Thresholds()}).collect()
     assert {r["journal"] for r in rows} == {"sibra", "sidra"}
+    full = {(r["journal"], r["mode"]): r for r in config_table(spark).collect()}
+    assert len(full) == 16 and full["sidra", "printed"]["total_left"] == 7200
+    notes = spark.createDataFrame([("* תודתי לכל",), ("see above",)], "t string")
+    from inkstrata.functions import text
+
+    assert [r[0] for r in notes.select(text.is_acknowledgement(F.col("t"))).collect()] == [True, False]
 
 
 def test_workbook(spark, tmp_path):
