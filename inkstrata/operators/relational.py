@@ -51,10 +51,12 @@ def new_rows(batch: DataFrame, target: DataFrame, key: list[str], order: list[st
 def best_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, words: str = "words", least: float = 0.8) -> DataFrame:
     """For each left row the right row with the largest share of the left's different words,
     if that exceeds ``least``; ties to the smaller id. Rows meet on shared words, weighted by
-    none: an equi-join on words and a count, never a cross join."""
+    none: an equi-join on words and a count, never a cross join. Rows meet only where the right
+    has more different words than ``least`` of the left's; fewer cannot be enough."""
     a = left.select(left_id, F.size(F.array_distinct(words)).alias("_n"), F.explode(F.array_distinct(words)).alias("_w"))
-    b = right.select(right_id, F.explode(F.array_distinct(words)).alias("_w"))
-    common = a.join(b, "_w").groupBy(left_id, right_id).agg(F.count("*").alias("n_common"), F.first("_n").alias("n_words"))
+    b = right.select(right_id, F.size(F.array_distinct(words)).alias("_m"), F.explode(F.array_distinct(words)).alias("_w"))
+    enough = (a["_w"] == b["_w"]) & (b["_m"] > least * a["_n"])
+    common = a.join(b, enough).groupBy(left_id, right_id).agg(F.count("*").alias("n_common"), F.first("_n").alias("n_words"))
     common = common.where(F.col("n_common") > least * F.col("n_words"))
     w = Window.partitionBy(left_id).orderBy(F.desc(F.col("n_common") / F.col("n_words")), right_id)
     return common.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")

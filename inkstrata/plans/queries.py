@@ -321,6 +321,15 @@ def overlap_match(spark, sf_dir):
     return relational.best_overlap(docs, items, "doc_id", "item_id", least=0.2)
 
 
+@query()
+def overlap_match_all(spark, sf_dir):
+    """``overlap_match`` over documents of any length."""
+    t = Tables(spark, sf_dir)
+    docs = t.documents.select("doc_id", F.split("text", " ").alias("words"))
+    items = t.benchmark.select("item_id", F.split("text", " ").alias("words"))
+    return relational.best_overlap(docs, items, "doc_id", "item_id", least=0.2)
+
+
 @query("""SELECT a.event_id AS a_id, b.event_id AS b_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'purchase' AND b.event_type <> 'purchase'
 AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 3600000000""")
 def band_join(spark, sf_dir):
