@@ -72,6 +72,9 @@ KEYWORDS = ["licen", "permission", "warrant", "redistribution", "copyright"]
 WRAP = [(r"\n[ \t]*(?:[#*]+|//+|--+|;+)[ \t]*", "\n"), (r"([a-z,0-9)\"])[ \t]*\r?\n[ \t]*([a-z(\"])", r"$1 $2"), (r"([A-Z,])[ \t]*\r?\n[ \t]*([A-Z][A-Z])", r"$1 $2")]
 END = (r"([.!?;:])[ \t\r]+", "$1\n")
 OTHER = "[^a-z0-9]+"
+#: A known sentence with such an end inside is cut there; its parts, and the lines it is
+#: wrapped into, are put together again.
+INNER = r"[.!?;:][ \t\r]+(?=\S)"
 
 
 def normalised(sentence: str) -> str:
@@ -95,9 +98,12 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     for pattern, by in WRAP:
         text = F.regexp_replace(text, pattern, by)
     sentences = F.split(F.regexp_replace(text, *END), "\n")
-    known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (normalised(s), i)])
     key = lambda s: F.trim(F.regexp_replace(F.lower(s), OTHER, " "))
-    ids = F.filter(F.transform(sentences, lambda s: F.try_element_at(known, key(s))), lambda i: i.isNotNull())
+    keys = F.concat(F.lit("\n"), F.array_join(F.transform(sentences, key), "\n"), F.lit("\n"))
+    for whole in [normalised(s) for s in SENTENCES.values() if re.search(INNER, s)]:
+        keys = F.regexp_replace(keys, f"(?<=\n){whole.replace(' ', '[ \n]')}(?=\n)", whole)
+    known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (normalised(s), i)])
+    ids = F.filter(F.transform(F.split(keys, "\n"), lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
     has = F.lower("text").rlike("|".join(KEYWORDS))
     out = docs.select("doc_id", F.when(has, ids).alias("ids"))
     out = out.select(
