@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import parse_ranks
-from .common import LOWER, SpanHasher, U64, fold, text_chunks, word_spans
+from .common import BROADCAST_ITEMS, LOWER, SpanHasher, U64, fold, text_chunks, word_spans, written
 
 UNKNOWN = "und"
 LONGEST = 16  # bytes of a piece
@@ -152,18 +152,28 @@ def _pieces(data: bytes) -> Pieces:
     return _PIECES[hash(data)]
 
 
-def train(docs: DataFrame, vocabulary: bytes, per_language: int = 1500, max_languages: int = 256):
-    """(languages, probabilities) from rows with text, lang. The sample holds about
-    ``per_language`` texts of each language, chosen by a hash of the text; the
-    ``max_languages`` most frequent languages are learned, which bounds the model."""
-    docs = docs.where("text is not null and lang is not null")
-    counts = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
+def sample_texts(docs: DataFrame, per_language: int) -> DataFrame:
+    """(lang, text): of every language its ``per_language`` different texts with the smallest
+    hashes, all if there are fewer; copies count once."""
+    docs = docs.where("text is not null and lang is not null").select("lang", "text", F.xxhash64("text").alias("h"))
+    keys = written(docs.select("lang", "h").distinct(), "texts")
+    # a row for each language; only hashes in the lowest part, which holds twice as many as are wanted, are ranked
+    part = keys.groupBy("lang").agg((2 * per_language / F.count("*")).alias("part"))
+    low = keys.join(F.broadcast(part), "lang").where((F.pmod("h", F.lit(1 << 40)) < F.col("part") * (1 << 40)) | (F.col("part") >= 1))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "h"))
+    chosen = written(low.withColumn("r", rank).where(F.col("r") <= per_language).select("lang", "h"), "chosen")
+    small = chosen.withColumnRenamed("lang", "_lang").withColumnRenamed("h", "_h")
+    if small.count() <= BROADCAST_ITEMS:
+        small = F.broadcast(small)
+    found = docs.join(small, (F.col("lang") == F.col("_lang")) & (F.col("h") == F.col("_h")), "left_semi")
+    return found.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
+
+
+def train(docs: DataFrame, vocabulary: bytes, per_language: int = 1500):
+    """(languages, probabilities) from rows with text, lang: every language that has a text
+    is learned, from at most ``per_language`` different texts."""
     spark = docs.sparkSession
-    rates = [(r["lang"], min(1.0, per_language / r["count"])) for r in counts.collect()]
-    if not rates:
-        return [], np.zeros((0, 0), np.float32)
-    rates = F.broadcast(spark.createDataFrame(rates, "lang string, rate double"))
-    sample = docs.select("text", "lang").join(rates, "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.col("rate") * (1 << 20))
+    sample = sample_texts(docs, per_language)
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def run(group: pa.Table) -> pa.Table:

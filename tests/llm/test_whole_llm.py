@@ -4,7 +4,7 @@ import re
 
 from test_llm import MULTI, SF, docs
 
-from inkstrata.llm import licenses
+from inkstrata.llm import langid, licenses
 
 
 def test_every_known_sentence_and_rule_is_found(spark):
@@ -25,3 +25,20 @@ def test_licence_headers_as_they_are_written(spark):
     ]
     got = [r["licenses"] for r in licenses.scan_licenses(docs(spark, texts)).orderBy("doc_id").collect()]
     assert got == ["MIT", "GPL-3.0-or-later", "GPL-3.0", "", "MPL-2.0", "GPL-2.0-or-later", ""]
+
+
+def test_languages_of_few_texts_in_many_copies_are_learned(spark):
+    few = [(t, f"l{n}") for n in range(12) for t in [f"w{n}a w{n}b"] * 60]
+    many = [(f"some text number {i}", "en") for i in range(300)] + [("a hot text", "en")] * 500 + [(None, "xx"), ("no language", None)]
+    df = spark.createDataFrame(few + many, "text string, lang string")
+    got = langid.sample_texts(df, 20).collect()
+    assert len(got) == len(set(got)) == 12 + 20
+    assert {r["lang"] for r in got} == {f"l{n}" for n in range(12)} | {"en"}
+    with open(MULTI, "rb") as f:
+        names, prob = langid.train(df, f.read(), per_language=20)
+    assert len(names) == 13 and prob.shape[1] == 13
+
+
+def test_every_language_is_learned(spark):
+    df = spark.createDataFrame([(f"text {i}", f"l{i:03}") for i in range(300)], "text string, lang string")
+    assert len({r["lang"] for r in langid.sample_texts(df, 20).collect()}) == 300
