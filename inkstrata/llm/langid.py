@@ -18,7 +18,8 @@ from .common import BROADCAST_ITEMS, LOWER, SpanHasher, U64, fold, text_chunks,
 
 UNKNOWN = "und"
 LONGEST = 16  # bytes of a piece
-UNIT = 48  # bytes; longer words are scored in units of this size
+SHORT = 24  # bytes; products over longer words are scaled at each step
+CELLS = 250_000  # positions times words handled at once
 SMOOTH = 0.05
 REMEMBERED = 400_000
 
@@ -81,22 +82,53 @@ class Pieces:
                     yield i, j, rows, piece[rows]
 
 
-def units(buf: np.ndarray, offs: np.ndarray):
-    """Words, those over UNIT bytes in parts."""
-    start, end, doc = word_spans(buf, offs)
-    parts = -(-(end - start) // UNIT)
-    if len(parts) and parts.max() > 1:
-        k = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        start, end, doc = np.repeat(start, parts) + k * UNIT, np.repeat(end, parts), np.repeat(doc, parts)
-        end = np.minimum(end, start + UNIT)
-    return start, end, doc
+def chain(pieces: Pieces, prob: np.ndarray, hasher: SpanHasher, start: np.ndarray, size: np.ndarray, backward: bool = False, keep: bool = False) -> np.ndarray:
+    """log of the sum over all segmentations of words of any length, from the longest to the
+    shortest, for each word and language; with ``keep`` for each number of first (``backward``:
+    last) bytes. The sums are scaled at each step, as products over long words underflow."""
+    rows, langs, n = len(start), prob.shape[1], int(size[0])
+    prob = np.vstack([prob, np.zeros((1, langs))])  # the last row: no such piece
+    near = np.zeros((LONGEST, rows, langs))  # sums up to 1, 2, ... bytes before, over the last one
+    near[0] = 1
+    log = np.zeros((rows, langs))
+    kept = np.zeros((n + 1, rows, langs)) if keep else log
+    back = np.arange(1, LONGEST + 1)[:, None]
+    step = max(1, CELLS // (LONGEST * rows))
+    for low in range(0, n, step):
+        j = np.arange(low + 1, min(n, low + step) + 1)[:, None, None]
+        held = (back <= j) & (j <= size)
+        first = start + size - j if backward else start + j - back
+        first = np.broadcast_to(first, held.shape)[held]
+        piece = np.full(held.shape, -1)
+        piece[held] = pieces.find(hasher.of(first, first + np.broadcast_to(back, held.shape)[held]))
+        for at in range(len(j)):
+            m = int(np.searchsorted(-size, -(low + 1 + at), side="right"))
+            total = (near[:, :m] * prob[piece[at, :, :m]]).sum(axis=0)
+            near[1:, :m] = near[:-1, :m] / total
+            near[0, :m] = 1
+            log[:m] += np.log(total)
+            if keep:
+                kept[low + 1 + at, :m] = log[:m]
+    return kept
+
+
+def batches_by_size(size: np.ndarray):
+    """Rows of words over SHORT bytes, from the longest to the shortest, in bounded batches."""
+    rows = np.flatnonzero(size > SHORT)
+    rows = rows[np.argsort(-size[rows], kind="stable")]
+    while len(rows):
+        n = max(1, CELLS // int(size[rows[0]]))
+        yield rows[:n]
+        rows = rows[n:]
 
 
 def log_sums(pieces: Pieces, prob: np.ndarray, hasher: SpanHasher, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """log of the sum over all segmentations, for each word and language; prob: piece, language."""
     out = np.zeros((len(start), prob.shape[1]))
     size = end - start
-    for n in np.unique(size):
+    for rows in batches_by_size(size):
+        out[rows] = chain(pieces, prob, hasher, start[rows], size[rows])
+    for n in np.unique(size[size <= SHORT]):
         group = np.flatnonzero(size == n)
         for rows in np.array_split(group, max(1, len(group) * int(n) * prob.shape[1] // 2_000_000)):
             alpha = np.zeros((n + 1, len(rows), prob.shape[1]))
@@ -107,12 +139,27 @@ def log_sums(pieces: Pieces, prob: np.ndarray, hasher: SpanHasher, start: np.nda
     return out
 
 
+def long_counts(pieces: Pieces, prob: np.ndarray, hasher: SpanHasher, start: np.ndarray, size: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Expected counts of pieces in long words, from the longest to the shortest."""
+    expected = np.zeros(pieces.n)
+    before = chain(pieces, prob[:, None], hasher, start, size, keep=True)[:, :, 0]
+    after = chain(pieces, prob[:, None], hasher, start, size, backward=True, keep=True)[:, :, 0]
+    for r, n in enumerate(size.tolist()):
+        for k in range(1, min(n, LONGEST) + 1):
+            i = np.arange(n - k + 1)
+            piece = pieces.find(hasher.of(start[r] + i, start[r] + i + k))
+            i, piece = i[piece >= 0], piece[piece >= 0]
+            part = np.exp(before[i, r] + after[n - i - k, r] - before[n, r]) * prob[piece]
+            np.add.at(expected, piece, part * weight[r])
+    return expected
+
+
 def learn(pieces: Pieces, texts: pa.Array, rounds: int = 3) -> np.ndarray:
     """Piece probabilities of one language by forward-backward over its different words."""
     words: dict[bytes, int] = {}
     for _, buf, offs in text_chunks(texts):
         low = lowered(buf)
-        start, end, _ = units(low, offs)
+        start, end, _ = word_spans(low, offs)
         if len(start):
             _, at, count = np.unique(SpanHasher(low).of(start, end), return_index=True, return_counts=True)
             data = low.tobytes()
@@ -126,7 +173,9 @@ def learn(pieces: Pieces, texts: pa.Array, rounds: int = 3) -> np.ndarray:
     prob = np.full(pieces.n, 1 / pieces.n)
     for _ in range(rounds):
         expected = np.zeros(pieces.n)
-        for n in np.unique(size):
+        for rows in batches_by_size(size):
+            expected += long_counts(pieces, prob, hasher, start[rows], size[rows], weight[rows])
+        for n in np.unique(size[size <= SHORT]):
             rows = np.flatnonzero(size == n)
             edges = list(pieces.lattice(hasher, start[rows], int(n)))
             alpha, beta = np.zeros((n + 1, len(rows))), np.zeros((n + 1, len(rows)))
@@ -213,12 +262,13 @@ class _Scorer:
         """(row, log-probabilities by language, has a letter) of runs of rows."""
         for at, buf, offs in text_chunks(column):
             low = lowered(buf)
-            start, end, doc = units(low, offs)
+            start, end, doc = word_spans(low, offs)
             total = np.zeros((len(offs) - 1, self.prob.shape[1]))
             if len(start):
-                run = np.concatenate([np.zeros((1, total.shape[1])), np.cumsum(self.words(SpanHasher(low), start, end), axis=0)])
-                first = np.searchsorted(doc, np.arange(len(offs)))
-                total = run[first[1:]] - run[first[:-1]]
+                # a sum for each document: what one holds does not touch the others
+                value = self.words(SpanHasher(low), start, end)
+                for c in range(total.shape[1]):
+                    total[:, c] = np.bincount(doc, value[:, c], len(total))
             ascii_ = np.concatenate([[0], np.cumsum((low >= 97) & (low <= 122))])
             letter = ascii_[offs[1:]] > ascii_[offs[:-1]]
             for d in np.flatnonzero(~letter & (np.diff(offs) > 0)):

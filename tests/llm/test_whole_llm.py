@@ -1,10 +1,16 @@
 """Training-data operators on inputs that earlier versions cut."""
 
+import math
 import re
+from fractions import Fraction
 
-from test_llm import MULTI, SF, docs
+import numpy as np
+import pyarrow as pa
+import pytest
 
-from inkstrata.llm import langid, licenses
+from test_llm import MULTI, docs
+
+from inkstrata.llm import bpe, langid, licenses
 
 
 def test_every_known_sentence_and_rule_is_found(spark):
@@ -42,3 +48,45 @@ def test_languages_of_few_texts_in_many_copies_are_learned(spark):
 def test_every_language_is_learned(spark):
     df = spark.createDataFrame([(f"text {i}", f"l{i:03}") for i in range(300)], "text string, lang string")
     assert len({r["lang"] for r in langid.sample_texts(df, 20).collect()}) == 300
+
+
+@pytest.fixture(scope="module")
+def pieces():
+    with open(MULTI, "rb") as f:
+        return langid.Pieces(bpe.parse_ranks(f.read()))
+
+
+def test_long_words_are_summed_whole(pieces):
+    words = [b"the" * 30, "ሀሁሐረ".encode() * 60, b"a", b"thesandwiches" * 3, b"x" * 25]
+    buf = np.frombuffer(b"".join(words), np.uint8)
+    end = np.cumsum([len(w) for w in words])
+    start = end - [len(w) for w in words]
+    prob = np.random.default_rng(1).random((pieces.n, 2)) * 1e-7
+    got = langid.log_sums(pieces, prob, langid.SpanHasher(buf), start, end)
+    hasher = langid.SpanHasher(buf)
+    for s, e, value in zip(start.tolist(), end.tolist(), got, strict=True):
+        for c in range(2):
+            sums = [Fraction(1)]
+            for j in range(s + 1, e + 1):
+                i = np.arange(max(s, j - langid.LONGEST), j)
+                found = pieces.find(hasher.of(i, np.full(len(i), j)))
+                sums.append(sum(sums[k - s] * Fraction(prob[p, c]) for k, p in zip(i.tolist(), found.tolist(), strict=True) if p >= 0))
+            want = math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+            assert np.isclose(value[c], want, rtol=1e-9)
+
+
+def test_long_counts_equal_those_of_short_words(pieces, monkeypatch):
+    texts = pa.array(["thesandwiches are hereandthere again", "some other words in thesandwiches " + "ab" * 12])
+    want = langid.learn(pieces, texts)
+    monkeypatch.setattr(langid, "SHORT", 3)
+    monkeypatch.setattr(langid, "CELLS", 40)
+    assert np.allclose(langid.learn(pieces, texts), want, rtol=1e-9)
+
+
+def test_a_long_word_of_an_unseen_script_touches_no_other_text(spark, pieces):
+    rows = [(f"the cat and the dog {i}", "en") for i in range(40)] + [(f"der Hund und die Katze {i}", "de") for i in range(40)]
+    training = spark.createDataFrame(rows, "text string, lang string")
+    texts = ["ፐፑፒፓ" * 100, "the dog and the cat", "der Hund und die Katze", "the cat"]
+    out = langid.identify(docs(spark, texts).coalesce(1), MULTI, training=training).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in out[1:]] == ["en", "de", "en"]
+    assert all(0 < r["score"] <= 1 for r in out)
