@@ -50,6 +50,10 @@ class Index:
         d = (self.cells**2).sum(axis=1)[None, :] - 2 * x @ self.cells.T
         return np.argsort(d, axis=1, kind="stable")[:, :n]
 
+    def decode(self, cell: int, codes: np.ndarray) -> np.ndarray:
+        """The vectors that the codes of one cell stand for."""
+        return self.cells[cell] + np.concatenate([book[codes[:, m]] for m, book in enumerate(self.books)], axis=1)
+
     def distances(self, query: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Squared distances of one query to coded vectors of one cell, from its table."""
         rest = query - self.cells[cell]
@@ -61,7 +65,7 @@ class Index:
 
 def search(
     vectors: DataFrame, queries: DataFrame | None = None, k: int = 10, *, every: int = 100, max_sample: int = 16_384,
-    max_cells: int = 1024, probed: float = 0.6, shortlist: int = 400, per_block: int = 48,
+    max_cells: int = 1024, probed: float = 0.6,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query, by Euclidean
     distance in double precision on the original vectors, ties to the smaller vec_id.
@@ -71,12 +75,12 @@ def search(
     number of vectors, at most ``max_cells``) and codebooks are fitted on at most
     ``max_sample`` vectors chosen by a hash. Of each query the nearest ``probed`` share of
     the cells is searched: neighbours among unclustered vectors of 64 dimensions lie far
-    apart, and a recall of 0.9 needs that many. The ``shortlist`` best by table distance are
-    ranked exactly.
+    apart, and a recall of 0.9 needs that many. A table distance is off by the
+    candidate's quantisation error at most: in each block all candidates that can be among
+    the k nearest are ranked exactly, so nothing is lost within the searched cells.
 
     Vectors that are null, zero, not finite or of another length than most take no part,
-    neither as queries nor as candidates. Equal vectors have equal table distances and keep
-    the smaller ids. Repeated rows of one vec_id count once. An empty table gives an empty
+    neither as queries nor as candidates. Repeated rows of one vec_id count once. An empty table gives an empty
     result; fewer than k candidates give fewer rows.
     """
     spark = vectors.sparkSession
@@ -98,7 +102,7 @@ def search(
                 cell, codes = shared.value.encode(matrix(batch.column(1)))
                 width = pa.array(np.arange(len(codes) + 1, dtype=np.int32) * codes.shape[1])
                 data = pa.BinaryArray.from_buffers(pa.binary(), len(codes), [None, width.buffers()[1], pa.py_buffer(np.ascontiguousarray(codes).tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int32)), data], names=["vec_id", "cell", "code"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell.astype(np.int32)), data, batch.column(1)], names=["vec_id", "cell", "code", "embedding"])
 
     def probe(batches):
         for batch in batches:
@@ -107,7 +111,7 @@ def search(
                 row = np.repeat(np.arange(len(cells)), cells.shape[1])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(cells.ravel().astype(np.int32))], names=["query_id", "cell"])
 
-    codes = written(good.mapInArrow(encode, "vec_id bigint, cell int, code binary"), "codes")
+    codes = written(good.mapInArrow(encode, "vec_id bigint, cell int, code binary, embedding array<double>"), "codes")
     # a cell with many vectors is cut into blocks, each searched for all the cell's queries
     blocks = codes.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     blocks = F.broadcast(blocks)  # a row for each cell: at most max_cells
@@ -123,28 +127,27 @@ def search(
         out: list[tuple] = []
         if len(left) and len(right):
             index = shared.value
-            ids = np.asarray(left["vec_id"].combine_chunks())
+            ids, vectors = np.asarray(left["vec_id"].combine_chunks()), matrix(left["embedding"])
             code = np.frombuffer(b"".join(left["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
             cell = left["cell"][0].as_py()
+            off = np.sqrt(((vectors - index.decode(cell, code)) ** 2).sum(axis=1))
             for q, x in zip(np.asarray(right["query_id"].combine_chunks()), matrix(right["query"]), strict=True):
-                d = index.distances(x, cell, code)
-                best = np.lexsort((ids, d))[: per_block + 1] if len(d) <= 512 else _best(d, ids, per_block + 1)
-                best = best[ids[best] != q][:per_block]
-                out.append((np.full(len(best), q), ids[best], d[best]))
+                d = np.sqrt(index.distances(x, cell, code))
+                other = ids != q
+                near = np.flatnonzero(other)
+                if len(near) > k:
+                    most = np.partition((d + off)[near], k - 1)[k - 1]  # k are no farther
+                    near = np.flatnonzero(other & (d - off <= most + 1e-9 * (1 + most)))
+                # summed in order, as equal vectors must tie
+                exact = np.sqrt(np.cumsum((vectors[near] - x) ** 2, axis=1)[:, -1])
+                best = _best(exact, ids[near], k)
+                out.append((np.full(len(best), q), ids[near][best], exact[best]))
         cat = lambda i, t: np.concatenate([o[i] for o in out]) if out else np.zeros(0, t)
-        return pa.table({"query_id": cat(0, np.int64), "vec_id": cat(1, np.int64), "near": cat(2, float)})
+        return pa.table({"query_id": cat(0, np.int64), "vec_id": cat(1, np.int64), "score": cat(2, float)})
 
-    near = codes.groupBy("cell", "block").cogroup(wanted.groupBy("cell", "block")).applyInArrow(scan, "query_id bigint, vec_id bigint, near double")
-    first = Window.partitionBy("query_id").orderBy("near", "vec_id")
-    near = near.withColumn("at", F.row_number().over(first)).where(F.col("at") <= shortlist).select("query_id", "vec_id")
-    pairs = near.join(good, "vec_id").join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), "query_id")
-    square = F.aggregate(F.zip_with("embedding", "query", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    found = codes.groupBy("cell", "block").cogroup(wanted.groupBy("cell", "block")).applyInArrow(scan, "query_id bigint, vec_id bigint, score double")
     rank = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return (
-        pairs.select("query_id", "vec_id", F.sqrt(square).alias("score"))
-        .withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _best(d: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:

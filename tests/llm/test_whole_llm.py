@@ -10,7 +10,7 @@ import pytest
 
 from test_llm import MULTI, docs
 
-from inkstrata.llm import bpe, langid, licenses
+from inkstrata.llm import ann, bpe, langid, licenses
 
 
 def test_every_known_sentence_and_rule_is_found(spark):
@@ -90,3 +90,30 @@ def test_a_long_word_of_an_unseen_script_touches_no_other_text(spark, pieces):
     out = langid.identify(docs(spark, texts).coalesce(1), MULTI, training=training).orderBy("doc_id").collect()
     assert [r["lang_pred"] for r in out[1:]] == ["en", "de", "en"]
     assert all(0 < r["score"] <= 1 for r in out)
+
+
+def nearest(rows, every, k=10):
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    out = {}
+    for q, v in zip(ids.tolist(), x, strict=True):
+        if q % every == 0:
+            d = np.sqrt(np.cumsum((x - v) ** 2, axis=1)[:, -1])
+            d[ids == q] = np.inf
+            out[q] = ids[np.lexsort((ids, d))[: min(k, len(ids) - 1)]].tolist()
+    return out
+
+
+def found(spark, rows, **how):
+    out = {}
+    for r in ann.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), **how).orderBy("query_id", "rank").collect():
+        out.setdefault(r["query_id"], []).append(r["vec_id"])
+    return out
+
+
+def test_neighbours_inside_a_dense_group_are_exact(spark):
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=16)
+    dense = [(i, (middle + rng.normal(size=16) * 1e-4).tolist()) for i in range(1500)]
+    far = [(1500 + i, (rng.normal(size=16) * 10).tolist()) for i in range(200)]
+    rows = dense + far
+    assert found(spark, rows, every=150, probed=1.0, max_sample=300, max_cells=4) == nearest(rows, 150)
