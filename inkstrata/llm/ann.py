@@ -21,7 +21,8 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def _lloyd(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
-    c = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
+    different = x[np.sort(np.unique(x, axis=0, return_index=True)[1])]
+    c = different[rng.choice(len(different), min(k, len(different)), replace=False)].copy()
     for _ in range(rounds):
         at = _nearest(x, c)
         n = np.bincount(at, minlength=len(c))
@@ -46,9 +47,15 @@ class Index:
         rest = x - self.cells[cell]
         return cell, np.stack([_nearest(rest[:, cut], book) for cut, book in zip(self.cuts, self.books, strict=True)], axis=1).astype(np.uint8)
 
-    def probes(self, x: np.ndarray, n: int) -> np.ndarray:
-        d = (self.cells**2).sum(axis=1)[None, :] - 2 * x @ self.cells.T
-        return np.argsort(d, axis=1, kind="stable")[:, :n]
+    def probes(self, x: np.ndarray, held: np.ndarray, share: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell): the nearest cells that hold vectors (``held``: how many each), up to the
+        share of them and on to where they hold ``least``."""
+        full = np.flatnonzero(held)
+        d = (self.cells[full] ** 2).sum(axis=1)[None, :] - 2 * x @ self.cells[full].T
+        order = full[np.argsort(d, axis=1, kind="stable")]
+        before = np.cumsum(held[order], axis=1) - held[order]
+        row, at = np.nonzero((np.arange(len(full)) < np.ceil(share * len(full))) | (before < least))
+        return row, order[row, at]
 
     def decode(self, cell: int, codes: np.ndarray) -> np.ndarray:
         """The vectors that the codes of one cell stand for."""
@@ -74,7 +81,7 @@ def search(
     in all ``vectors`` but themselves. Every vector is indexed; centroids (square root of the
     number of vectors, at most ``max_cells``) and codebooks are fitted on at most
     ``max_sample`` vectors chosen by a hash. Of each query the nearest ``probed`` share of
-    the cells is searched: neighbours among unclustered vectors of 64 dimensions lie far
+    the cells that hold vectors is searched, and on until they hold k candidates: neighbours among unclustered vectors of 64 dimensions lie far
     apart, and a recall of 0.9 needs that many. A table distance is off by the
     candidate's quantisation error at most: in each block all candidates that can be among
     the k nearest are ranked exactly, so nothing is lost within the searched cells.
@@ -93,7 +100,6 @@ def search(
         return spark.createDataFrame([], schema)
     sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max_sample).select("embedding").toArrow()
     index = Index(matrix(sample["embedding"]), int(max(1, min(max_cells, n**0.5))))
-    probes = max(1, int(np.ceil(probed * len(index.cells))))
     shared = spark.sparkContext.broadcast(index)
 
     def encode(batches):
@@ -107,14 +113,15 @@ def search(
     def probe(batches):
         for batch in batches:
             if len(batch):
-                cells = shared.value.probes(matrix(batch.column(1)), probes)
-                row = np.repeat(np.arange(len(cells)), cells.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(cells.ravel().astype(np.int32))], names=["query_id", "cell"])
+                row, cells = shared.value.probes(matrix(batch.column(1)), held, probed, k + 1)  # the query may be one of them
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(cells.astype(np.int32))], names=["query_id", "cell"])
 
     codes = written(good.mapInArrow(encode, "vec_id bigint, cell int, code binary, embedding array<double>"), "codes")
     # a cell with many vectors is cut into blocks, each searched for all the cell's queries
-    blocks = codes.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    blocks = F.broadcast(blocks)  # a row for each cell: at most max_cells
+    counts = codes.groupBy("cell").count().collect()  # a row for each cell: at most max_cells
+    held = np.zeros(len(index.cells), np.int64)
+    held[[r["cell"] for r in counts]] = [r["count"] for r in counts]
+    blocks = F.broadcast(spark.createDataFrame([(r["cell"], -(-r["count"] // BLOCK)) for r in counts], "cell int, blocks int"))
     codes = codes.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int")).drop("blocks")
     wanted = asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     wanted = (

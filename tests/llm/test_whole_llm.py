@@ -117,3 +117,20 @@ def test_neighbours_inside_a_dense_group_are_exact(spark):
     far = [(1500 + i, (rng.normal(size=16) * 10).tolist()) for i in range(200)]
     rows = dense + far
     assert found(spark, rows, every=150, probed=1.0, max_sample=300, max_cells=4) == nearest(rows, 150)
+
+
+@pytest.mark.parametrize("n", [9, 11, 25])
+def test_small_tables_give_all_neighbours_there_are(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(n)]
+    got = found(spark, rows, every=1)
+    assert len(got) == n and all(len(x) == min(10, n - 1) for x in got.values())
+    if n <= 11:
+        assert got == nearest(rows, 1)
+
+
+def test_equal_vectors_leave_no_query_short(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, [1.0] * 8) for i in range(60)] + [(60 + i, rng.normal(size=8).tolist()) for i in range(12)]
+    got = found(spark, rows, every=1)
+    assert len(got) == 72 and all(len(x) == 10 for x in got.values())
