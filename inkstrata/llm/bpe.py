@@ -11,12 +11,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import CHUNK_BYTES, HashTable, SpanHasher, U64, mix, text_chunks, worker_cache
+
 #: Fixed value: the public split pattern of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -28,7 +32,7 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 class Vocabulary:
     """Ranks with what the dynamic programme asks of them."""
 
-    PAIRS = 400_000
+    PAIRS, EDGES = 500_000, 20_000
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -75,6 +79,8 @@ class Vocabulary:
                     known.append((self.ranks[edge], came, came_next))
                     came = came_next
             known.append((t, came, float("inf")))
+            if len(self._edges[right]) >= self.EDGES:
+                self._edges[right].clear()
             self._edges[right][t] = known
         return known
 
@@ -105,13 +111,13 @@ class PrefixEncoder:
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
         self.vocabulary = vocabulary
         self.data = b""
-        self.last: list[int] = []  # last[i]: last token of data[:i + 1]
+        self.last = array("i")  # last[i]: last token of data[:i + 1]
         self.append(data)
 
     def append(self, more: bytes) -> None:
         v, last, start = self.vocabulary, self.last, len(self.data)
         data = self.data = self.data + more
-        last += [0] * len(more)
+        last.frombytes(bytes(last.itemsize * len(more)))
         known_fits, fits = v._fits, v.fits
         origin, done = max(0, start - v.longest), start - 1
         for end, (n, token) in v.automaton.iter(data[origin:].decode("latin-1")):
@@ -155,83 +161,322 @@ class PrefixEncoder:
         return out[::-1]
 
 
-class _Recent(dict):
-    """A memo of two generations: when the younger is full it becomes the older, so that
-    memory is bounded and what is used often stays."""
-
-    def __init__(self, make, size: int):
-        super().__init__()
-        self.make, self.size, self.older = make, size, {}
-
-    def __missing__(self, key):
-        value = self.older.get(key, self)
-        if value is self:
-            value = self.make(key)
-        if len(self) >= self.size:
-            self.older = dict(self)
-            self.clear()
-        if key is None or len(key) <= 64:
-            self[key] = value
-        return value
+# --- whole chunks ---------------------------------------------------------------------
+
+OTHER, LETTER, NUMBER, SPACE = range(4)
+_KINDS: list[np.ndarray] = []
+
+
+def kinds() -> np.ndarray:
+    """Letter, number, white space or other, for each code point, as the pattern sees it."""
+    if not _KINDS:
+        every = "".join(chr(c) if not 0xD800 <= c < 0xE000 else "\0" for c in range(0x110000))
+        kind = np.zeros(0x110000, np.uint8)
+        for which, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+            for m in regex.finditer(pattern, every):
+                kind[m.start() : m.end()] = which
+        _KINDS.append(kind)
+    return _KINDS[0]
+
+
+def characters(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the characters of valid UTF-8 start, and their kinds."""
+    at = np.flatnonzero((buf & 0xC0) != 0x80)
+    code = buf[at].astype(np.int32)
+    wide = np.flatnonzero(code >= 0xC0)
+    if len(wide):
+        first, where = code[wide], at[wide]
+        size = 2 + (first >= 0xE0) + (first >= 0xF0)
+        point = first & (0xFF >> (size + 1))
+        for k in (1, 2, 3):
+            more = size > k
+            point[more] = point[more] << 6 | buf[where[more] + k] & 0x3F
+        code[wide] = point
+    return at, kinds()[code]
+
+
+def piece_starts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Where the matches of PATTERN start in each text of a chunk, sorted.
+
+    Matches are runs of one kind, with these turns: of white space before another kind, the
+    last character is apart, and if it is a blank it belongs to what follows; an apostrophe
+    that starts a match takes s, t, m, d, re, ve or ll with it and nothing else."""
+    at, kind = characters(buf)
+    if not len(at):
+        return at
+    byte = buf[at]
+    text = np.zeros(len(buf) + 1, bool)
+    text[offs[:-1]] = True
+    first = text[at]
+    last = np.append(first[1:], True)
+    before, after = np.roll(kind, 1), np.roll(kind, -1)
+    space = kind == SPACE
+    edge = space & ~last & (after != SPACE)  # the last of a run of white space
+    joined = edge & (byte == 0x20)  # belongs to what follows
+    start = first | (kind != before) | edge
+    start[1:] &= ~joined[:-1] | first[1:]
+    # contractions, from the left, as each decides where the next match starts
+    quote = np.flatnonzero(start & (byte == 0x27) & ~last)
+    if len(quote):
+        text_end = np.searchsorted(at, offs[1:])[np.searchsorted(offs, at[quote], side="right") - 1]
+        one = byte[quote + 1]
+        two = byte[np.minimum(quote + 2, len(at) - 1)]
+        room = text_end - quote
+        length = np.where(np.isin(one, list(b"stmd")), 2, 0)
+        pair = ((two == 0x65) & ((one == 0x72) | (one == 0x76))) | ((two == 0x6C) & (one == 0x6C))
+        length = np.where(pair & (room > 2), 3, length)
+        taken = quote[length > 0]
+        length = length[length > 0]
+        start[taken + 1] = False
+        ends = taken + length
+        # what follows a contraction starts a match of its own
+        start[ends[ends < len(at)]] = True
+    return at[start]
+
+
+class PieceEncoder:
+    """The prefix dynamic programme for many pieces at once: pieces of one length advance
+    together, byte by byte. Tokens are looked up by a hash of their bytes; that the tokens
+    spell the text is checked afterwards."""
+
+    LONG = 32  # bytes; longer pieces one by one
+    WIDTH = 12  # tokens at an edge; longer edges one by one
+    BATCH = 200_000  # bytes
+    LIKELY = [3, 2, 4, 5, 1, *range(6, 33)]
+    SHIFT = U64(64 - 21)
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = v = vocabulary
+        tokens = [t for t in v.ranks if len(t) <= self.LONG]
+        size = np.array([len(t) for t in tokens])
+        ends = np.cumsum(size)
+        hasher = SpanHasher(np.frombuffer(b"".join(tokens), np.uint8))
+        self.longest = int(size.max())
+        h = hasher.of(ends - size, ends)
+        self.tokens = HashTable(len(tokens)).put(h, np.array([v.ranks[t] for t in tokens], np.int32))
+        self.maybe = np.zeros(2**21, bool)  # most strings are no tokens, and one look shows it
+        self.maybe[h >> self.SHIFT] = True
+        self.length = np.zeros(max(v.token) + 1, np.int64)
+        self.length[list(v.token)] = [len(t) for t in v.token.values()]
+        a, b, rank = [], [], []
+        get = v.ranks.get
+        for t, r in v.ranks.items():
+            for i in range(1, len(t)):
+                x = get(t[:i])
+                if x is not None and (y := get(t[i:])) is not None:
+                    a.append(x)
+                    b.append(y)
+                    rank.append(r)
+        self.merges = HashTable(len(a)).put(self._pair(np.array(a, np.int32), np.array(b, np.int32)), np.array(rank, np.int32))
+        n = max(v.token) + 1
+        self.edges = [[np.full((n, self.WIDTH), -1, np.int32) for _ in range(3)] for _ in range(2)]
+        self.known = [np.zeros(n, np.int8), np.zeros(n, np.int8)]  # 1: in edges, 2: too long for them
+        self.pairs = HashTable(self.vocabulary.PAIRS)
+
+    @staticmethod
+    def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix((a.astype(np.uint64) + U64(1)) << U64(32) | b.astype(np.uint64))  # never 0
+
+    def _with_edges(self, tokens: np.ndarray, right: int) -> None:
+        for t in np.unique(tokens[self.known[right][tokens] == 0]).tolist():
+            found = self.vocabulary._edge(t, bool(right))
+            self.known[right][t] = 1 if len(found) <= self.WIDTH else 2
+            if len(found) <= self.WIDTH:
+                for column, values in zip(self.edges[right], zip(*found, strict=True), strict=True):
+                    column[t, : len(found)] = [min(x, 2**31 - 1) for x in values]
+
+    def _fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """As Vocabulary.fits, for many pairs."""
+        self._with_edges(a, 1)
+        self._with_edges(b, 0)
+        ok = np.ones(len(a), bool)
+        (xs, x_from, x_to), (ys, y_from, y_to) = self.edges[1], self.edges[0]
+        x, y = xs[a], ys[b]
+        # every token at the one edge beside every token at the other
+        row, i, j = np.nonzero((x >= 0)[:, :, None] & (y >= 0)[:, None, :])
+        m = self.merges.find(self._pair(x[row, i], y[row, j]))
+        hit = np.flatnonzero(m >= 0)
+        row, i, j, m = row[hit], i[hit], j[hit], m[hit]
+        p, q = a[row], b[row]
+        m = np.maximum(m, np.maximum(x_from[p, i], y_from[q, j]))
+        ok[row[(m < x_to[p, i]) & (m <= y_to[q, j])]] = False
+        for r in np.flatnonzero((self.known[1][a] == 2) | (self.known[0][b] == 2)):
+            ok[r] = self.vocabulary.fits(int(a[r]), int(b[r]))
+        return ok
+
+    def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = self._pair(a, b)
+        known = self.pairs.find(key)
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            _, pick, back = np.unique(key[new], return_index=True, return_inverse=True)
+            value = self._fits(a[new[pick]], b[new[pick]])
+            known[new] = value[back]
+            if self.pairs.n + len(pick) > self.vocabulary.PAIRS:
+                self.pairs = HashTable(self.vocabulary.PAIRS)
+            if len(pick) <= self.vocabulary.PAIRS:
+                self.pairs.put(key[new[pick]], value.astype(np.int32))
+        return known > 0
+
+    def tokens_by_end(self, buf: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+        """For k = 1, 2, ...: the token of the k bytes before each end (-1: none), where
+        ``place`` bytes of the end's own piece stand before it."""
+        hasher, out = SpanHasher(buf), []
+        for k in range(1, min(self.longest, int(place.max())) + 1):
+            token = np.full(len(place), -1, np.int32)
+            end = np.flatnonzero(place >= k)
+            h = hasher.of(end - k, end)
+            some = np.flatnonzero(self.maybe[h >> self.SHIFT])
+            token[end[some]] = self.tokens.find(h[some])
+            out.append(token)
+        return out
+
+    def last_tokens(self, buf: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The last token of each prefix, for pieces one after the other in a buffer, from the
+        longest to the shortest."""
+        start = np.cumsum(size) - size
+        place = np.ones(len(buf) + 1, np.int32)
+        place[0] = 0
+        place[start[1:] + 1] -= size[:-1]
+        by_length = self.tokens_by_end(buf, np.cumsum(place))
+        last = np.full((int(size[0]) + 1, len(size)), -1, np.int32)
+        for j in range(1, len(last)):
+            open_ = np.arange(np.searchsorted(-size, -j, side="right"))
+            end = start[open_] + j
+            # the prefix itself, then the likeliest lengths
+            for k in [j, *(k for k in self.LIKELY if k < j)]:
+                if k > len(by_length):
+                    continue
+                token = by_length[k - 1][end]
+                hit = np.flatnonzero(token >= 0)
+                if k < j and len(hit):
+                    hit = hit[self.fits(last[j - k, open_[hit]], token[hit])]
+                if len(hit):
+                    last[j, open_[hit]] = token[hit]
+                    rest = np.ones(len(open_), bool)
+                    rest[hit] = False
+                    open_, end = open_[rest], end[rest]
+                    if not len(open_):
+                        break
+        return last
+
+    def encode(self, buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of tokens, all ids) of pieces of a buffer."""
+        v, found = self.vocabulary, []  # piece, number from its end, id
+        order = np.argsort(-size, kind="stable")
+        long = order[: np.searchsorted(-size[order], -self.LONG)]
+        for r in long.tolist():
+            ids = np.array(PrefixEncoder(v, buf[start[r] : start[r] + size[r]].tobytes()).ids(), np.int32)
+            found.append((np.full(len(ids), r), np.arange(len(ids), 0, -1), ids))
+        order = order[len(long) :]
+        for rows in np.split(order, np.searchsorted(np.cumsum(size[order]), range(self.BATCH, int(size[order].sum()), self.BATCH))):
+            if not len(rows):
+                continue
+            n = size[rows]
+            last = self.last_tokens(_gathered(buf, size, rows) if start[0] == 0 and len(size) > 1 else buf[start[rows[0]] :][: n[0]], n)
+            at, step, left = n.copy(), 0, np.arange(len(rows))
+            while len(left):
+                token, step = last[at[left], left], step + 1
+                if (token < 0).any():
+                    raise ValueError("a byte without a token")
+                found.append((rows[left], np.full(len(left), step), token))
+                at[left] -= self.length[token]
+                left = left[at[left] > 0]
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        piece, back, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        count = np.bincount(piece, minlength=len(start))
+        out = np.empty(len(ids), np.int32)
+        out[np.cumsum(count)[piece] - back] = ids
+        return count, out
+
+
+def _gathered(values: np.ndarray, count: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` (run i has count[i]) in the order ``at``."""
+    first, size = (np.cumsum(count) - count)[at], count[at]
+    return values[np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())]
 
 
 class TextEncoder:
-    """Encodes texts unit by unit, a unit being what stands between two spaces that have no
-    other white space beside them: the pattern always ends a match before such a space and
-    starts the next with it, so units can be split and remembered on their own. A text
-    with other runs of white space goes through the pattern as a whole."""
-
-    def __init__(self, vocabulary: Vocabulary, pattern: str = PATTERN, remembered: int = 200_000):
-        self.vocabulary = vocabulary
-        self.split = regex.compile(pattern).findall
-        self.by_unit = pattern == PATTERN
-        self.piece = _Recent(self._piece, remembered)
-        self.unit = _Recent(self._unit, remembered)
-
-    def _piece(self, piece: str) -> tuple[int, str, bytes]:
-        ids = PrefixEncoder(self.vocabulary, piece.encode("utf-8")).ids()
-        return len(ids), " ".join(map(str, ids)), self.vocabulary.decode(ids)
-
-    def _joined(self, text: str) -> tuple[int, str, bytes]:
-        found = [self.piece[x] for x in self.split(text)]
-        return sum([p[0] for p in found]), " ".join([p[1] for p in found]), b"".join([p[2] for p in found])
-
-    def _unit(self, unit: str) -> tuple[int, str, bytes] | None:
-        if not unit or unit[0].isspace() or unit[-1].isspace():
-            return None
-        return self._joined(" " + unit)
-
-    def whole(self, text: str) -> tuple[int, str, bytes]:
-        """Number of tokens, ids as text, decoded bytes."""
-        first, *units = text.split(" ")
-        if not units or not self.by_unit or not first or first[-1].isspace():
-            return self._joined(text)
-        last = units.pop()
-        if not last or last[0].isspace():
-            return self._joined(text)
-        found = list(map(self.unit.__getitem__, units))
-        if None in found:
-            return self._joined(text)
-        found = [self._joined(first), *found, self._joined(" " + last)]
-        return sum([p[0] for p in found]), " ".join([p[1] for p in found]), b"".join([p[2] for p in found])
+    """Encodes chunks of texts: pieces are cut out, the different ones encoded once and the
+    texts put together by index. Nothing is kept from chunk to chunk but which pairs of
+    tokens fit."""
+
+    def __init__(self, vocabulary: Vocabulary, pattern: str = PATTERN):
+        self.vocabulary, self.pieces = vocabulary, PieceEncoder(vocabulary)
+        self.split = None if pattern == PATTERN else regex.compile(pattern)
+        n = max(vocabulary.token) + 1
+        self.bytes = pa.array([vocabulary.token.get(i, b"") for i in range(n)], pa.large_binary())
+        self.decimal = pa.array([f"{i} ".encode() for i in range(n)], pa.large_binary())
+
+    def starts(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        if self.split is None:
+            return piece_starts(buf, offs)
+        data, out = buf.tobytes(), []
+        for low, high in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+            at = low
+            for piece in self.split.findall(data[low:high].decode("utf-8")):
+                out.append(at)
+                at += len(piece.encode("utf-8"))
+            if at != high:
+                raise ValueError("the pattern leaves characters out")
+        return np.array(out, np.int64)
+
+    def ids(self, buf: np.ndarray, offs: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets of the texts, ids) of a chunk of which pieces start at ``start``."""
+        data = pa.py_buffer(np.ascontiguousarray(buf))
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(start, len(buf)).astype(np.int64)), data])
+        coded = pieces.dictionary_encode()
+        different, at = coded.dictionary, np.asarray(coded.indices)
+        if not len(at):
+            return np.zeros(len(offs), np.int64), np.zeros(0, np.int32)
+        _, ends, flat = different.buffers()
+        ends = np.frombuffer(ends, np.int64)[: len(different) + 1]
+        count, ids = self.pieces.encode(np.frombuffer(flat, np.uint8)[: ends[-1]], ends[:-1], np.diff(ends))
+        total = np.concatenate([[0], np.cumsum(count[at])])
+        return total[np.searchsorted(start, offs)], _gathered(ids, count, at)
+
+    def decoded(self, ids: np.ndarray) -> tuple[np.ndarray, memoryview]:
+        return _taken(self.bytes, ids)
+
+    def decimals(self, ids: np.ndarray) -> tuple[np.ndarray, memoryview]:
+        """Each id in decimals with a blank after it."""
+        return _taken(self.decimal, ids)
 
     def encode(self, text: str) -> list[int]:
-        return list(map(int, self.whole(text)[1].split()))
+        buf = np.frombuffer(text.encode("utf-8"), np.uint8)
+        offs = np.array([0, len(buf)])
+        return self.ids(buf, offs, self.starts(buf, offs))[1].tolist()
 
     def decode(self, ids) -> bytes:
         return self.vocabulary.decode(ids)
 
 
-_ENCODERS: dict[tuple, TextEncoder] = {}
+def _taken(table: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, memoryview]:
+    flat = table.take(pa.array(ids))
+    _, ends, data = flat.buffers()
+    if not len(ids):
+        return np.zeros(1, np.int64), memoryview(b"")
+    ends = np.frombuffer(ends, np.int64)[: len(ids) + 1]
+    return ends, memoryview(data).cast("B")[: ends[-1]]
 
 
 def _encoder(data: bytes, pattern: str) -> TextEncoder:
-    """One for each Python worker and vocabulary."""
-    key = (hash(data), len(data), pattern)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = TextEncoder(Vocabulary(parse_ranks(data)), pattern)
-    return _ENCODERS[key]
+    return worker_cache(("bpe", hash(data), len(data), pattern), lambda: TextEncoder(Vocabulary(parse_ranks(data)), pattern))
+
+
+def _parts(encoder: TextEncoder, buf: np.ndarray, offs: np.ndarray):
+    """(bytes, offsets, piece starts): the chunk as it is, or one very long text in parts that
+    end where pieces end."""
+    start = encoder.starts(buf, offs)
+    if len(offs) > 2 or len(buf) <= 2 * CHUNK_BYTES:
+        yield buf, offs, start
+        return
+    cut = np.unique(np.searchsorted(start, np.arange(0, len(buf), CHUNK_BYTES)))
+    for a, b in zip(cut, np.append(cut[1:], len(start)), strict=True):
+        if a < b:
+            low, high = start[a], start[b] if b < len(start) else len(buf)
+            yield buf[low:high], np.array([0, high - low]), start[a:b] - low
 
 
 def encode_documents(
@@ -244,7 +489,8 @@ def encode_documents(
     One map over the rows: no shuffle. The vocabulary file (under 1 MB) is read on the
     driver and broadcast. A null text is empty: no tokens, and the digests of nothing.
     Repeated rows give repeated results; an empty table gives an empty one; other columns,
-    whatever their names, are not read.
+    whatever their names, are not read. A very long text is encoded in parts that end where
+    units end; what is written for a batch is cut by bytes, not by rows.
     """
     spark = docs.sparkSession
     with open(vocabulary_path, "rb") as f:
@@ -256,18 +502,28 @@ def encode_documents(
     def run(batches):
         encoder = _encoder(ranks.value, pattern)
         for batch in batches:
-            out = [[] for _ in fields]
-            for text in batch.column(1):
-                n, ids, data = encoder.whole(text.as_py() or "")
-                out[0].append(n)
-                out[1].append(hashlib.sha256(ids.encode()).hexdigest())
-                out[2].append(hashlib.sha256(data).hexdigest())
+            for at, buf, offs in text_chunks(batch.column(1), 2 * CHUNK_BYTES):
+                n = len(offs) - 1
+                tokens, ids, sha_ids, sha_data = np.zeros(n, np.int64), [], [hashlib.sha256() for _ in range(n)], [hashlib.sha256() for _ in range(n)]
+                for k, (part, cut, start) in enumerate(_parts(encoder, buf, offs)):
+                    first, found = encoder.ids(part, cut, start)
+                    text_ends, text = encoder.decimals(found)
+                    data_ends, data = encoder.decoded(found)
+                    if not np.array_equal(np.frombuffer(data, np.uint8), part):
+                        raise ValueError("tokens that do not spell the text: two strings of one hash")
+                    tokens += np.diff(first)
+                    for d in np.flatnonzero(np.diff(first)).tolist():
+                        if k:  # a text in parts: the blank between two of them
+                            sha_ids[d].update(b" ")
+                        sha_ids[d].update(text[text_ends[first[d]] : text_ends[first[d + 1]] - 1])
+                        sha_data[d].update(data[data_ends[first[d]] : data_ends[first[d + 1]]])
+                    if with_ids:
+                        ids.append(found)
+                columns = [batch.column(0).slice(at, n), pa.array(tokens), pa.array([x.hexdigest() for x in sha_ids]), pa.array([x.hexdigest() for x in sha_data])]
                 if with_ids:
-                    out[3].append(list(map(int, ids.split())))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0)] + [pa.array(x, t) for x, (_, t) in zip(out, fields, strict=True)],
-                names=[id_col] + [n for n, _ in fields],
-            )
+                    ends = pa.array(np.concatenate([[0], np.cumsum(tokens)]).astype(np.int32))
+                    columns.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids))))
+                yield pa.RecordBatch.from_arrays(columns, names=[id_col] + [n for n, _ in fields])
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids

@@ -4,6 +4,7 @@ byte hashing, word spans and connected components."""
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -76,7 +77,7 @@ U64 = np.uint64
 #: Odd multipliers and the seed of the byte tables.
 BASE = 0x9E3779B97F4A7C15
 SEED = 20240229
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -91,36 +92,93 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 class SpanHasher:
     """Hashes of byte spans of one buffer in O(1) each: prefix sums of ``T[byte] * B**i``
-    modulo 2**64, brought to a common origin with the inverse of B."""
+    modulo 2**64, brought to a common origin with the inverse of B. Seeds differ in the byte
+    table T. The powers for a chunk (16 MB) are kept in a worker, for a longer text they are
+    made anew."""
 
-    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    _powers: tuple[np.ndarray, np.ndarray] | None = None
 
     def __init__(self, buf: np.ndarray, seed: int = 0):
-        self.seed = seed
         rng = np.random.default_rng(SEED + seed)
         self.byte = rng.integers(1, 2**64 - 1, 256, dtype=np.uint64) | U64(1)
         n = len(buf)
-        up, self.down = self._grown(seed, n + 1)
+        up, self.down = self._grown(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(self.byte[buf] * up[:n], out=self.sums[1:])
 
     @classmethod
-    def _grown(cls, seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        have = cls._powers.get(seed)
+    def _grown(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        have = cls._powers
         if have is None or len(have[0]) < n:
-            size = max(n, CHUNK_BYTES + 1)
-            base = (BASE + 2 * seed * 0x632BE59BD9B4E019) % 2**64 | 1
-            have = tuple(
-                np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)]))
-                for x in (base, pow(base, -1, 2**64))
-            )
-            cls._powers = {**cls._powers, seed: have} if size <= 4 * CHUNK_BYTES else cls._powers
-        return have[0], have[1]
+            size = max(n, CHUNK_BYTES + 1024)
+            have = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)])) for x in (BASE, pow(BASE, -1, 2**64)))
+            if size == CHUNK_BYTES + 1024:
+                cls._powers = have
+        return have
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start])
 
 
+class HashTable:
+    """Open addressing from mixed 64-bit keys to int32 values from 0 on, whole arrays at a time."""
+
+    FREE = U64(0)
+
+    def __init__(self, most: int):
+        self.mask = U64(2 ** max(4, int(2 * most).bit_length()) - 1)
+        self.keys = np.zeros(int(self.mask) + 1, np.uint64)
+        self.values = np.full(int(self.mask) + 1, -1, np.int32)
+        self.n = 0
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> HashTable:
+        """Different keys; one that is 0 is left out and so is never found."""
+        left = np.flatnonzero(keys != self.FREE)
+        self.n += len(left)
+        slot = keys & self.mask
+        while len(left):
+            s = slot[left]
+            free = self.keys[s] == self.FREE
+            self.keys[s[free]] = keys[left[free]]
+            mine = self.keys[s] == keys[left]
+            self.values[s[mine]] = values[left[mine]]
+            left = left[~mine]
+            slot[left] = (slot[left] + U64(1)) & self.mask
+        return self
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Values, -1 where there is none."""
+        slot = keys & self.mask
+        at = self.keys[slot]
+        hit = at == keys
+        out = np.full(len(keys), -1, np.int32)
+        found = np.flatnonzero(hit)
+        out[found] = self.values[slot[found]]
+        open_ = np.flatnonzero(~hit & (at != self.FREE))
+        while len(open_):
+            slot[open_] = (slot[open_] + U64(1)) & self.mask
+            s = slot[open_]
+            at = self.keys[s]
+            hit = at == keys[open_]
+            out[open_[hit]] = self.values[s[hit]]
+            open_ = open_[~hit & (at != self.FREE)]
+        return out
+
+
+_CACHE: dict = {}
+
+
+def worker_cache(key, make):
+    """What an operator keeps in a Python worker between tasks. Workers are used again by
+    later operators, so only the last one's is kept."""
+    if key not in _CACHE:
+        _CACHE.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _CACHE[key] = make()
+    return _CACHE[key]
+
+
 def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES):
     """Yield (first row, bytes, offsets) for runs of rows of about ``limit`` bytes of UTF-8;
     a longer text is a run of its own. A null text is empty."""

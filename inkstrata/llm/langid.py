@@ -8,20 +8,22 @@ the product over its words. The probabilities are learned by expectation maximis
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import parse_ranks
-from .common import BROADCAST_ITEMS, LOWER, SpanHasher, U64, fold, text_chunks, word_spans, written
+from .common import BROADCAST_ITEMS, LOWER, SpanHasher, U64, fold, text_chunks, word_spans, worker_cache, written
 
 UNKNOWN = "und"
 LONGEST = 16  # bytes of a piece
 SHORT = 24  # bytes; products over longer words are scaled at each step
 CELLS = 250_000  # positions times words handled at once
 SMOOTH = 0.05
-REMEMBERED = 400_000
+REMEMBERED = 4_000_000  # numbers: word scores times languages
 
 
 def lowered(buf: np.ndarray) -> np.ndarray:
@@ -191,14 +193,8 @@ def learn(pieces: Pieces, texts: pa.Array, rounds: int = 3) -> np.ndarray:
     return prob
 
 
-_PIECES: dict[int, Pieces] = {}
-
-
 def _pieces(data: bytes) -> Pieces:
-    if hash(data) not in _PIECES:
-        _PIECES.clear()
-        _PIECES[hash(data)] = Pieces(parse_ranks(data))
-    return _PIECES[hash(data)]
+    return worker_cache(("pieces", hash(data)), lambda: Pieces(parse_ranks(data)))
 
 
 def sample_texts(docs: DataFrame, per_language: int) -> DataFrame:
@@ -237,7 +233,7 @@ class _Scorer:
     """Scores the words of batches; word scores are remembered by hash, in sorted arrays."""
 
     def __init__(self, vocabulary: bytes, prob: np.ndarray):
-        self.pieces, self.prob = _pieces(vocabulary), prob.astype(float)
+        self.pieces, self.prob = Pieces(parse_ranks(vocabulary)), prob.astype(float)
         self.keys, self.values = np.zeros(0, np.uint64), np.zeros((0, prob.shape[1]))
 
     def words(self, hasher: SpanHasher, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -250,7 +246,7 @@ class _Scorer:
         new = np.flatnonzero(~known)
         if len(new):
             value[new] = log_sums(self.pieces, self.prob, hasher, start[at[new]], end[at[new]])
-            if len(self.keys) + len(new) > REMEMBERED:
+            if (len(self.keys) + len(new)) * (1 + self.prob.shape[1]) > REMEMBERED:
                 self.keys, self.values = h, value
             else:
                 keys = np.concatenate([self.keys, h[new]])
@@ -276,9 +272,6 @@ class _Scorer:
             yield at, total, letter
 
 
-_SCORER: list = []
-
-
 def identify(docs: DataFrame, vocabulary_path: str, *, training: DataFrame | None = None, per_language: int = 1500, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row.
 
@@ -295,17 +288,17 @@ def identify(docs: DataFrame, vocabulary_path: str, *, training: DataFrame | Non
         training = docs.where(fold("doc_id", 3) != 1)
     languages, prob = train(training, vocabulary, per_language)
     model = docs.sparkSession.sparkContext.broadcast((vocabulary, languages, prob))
+    run_id = uuid.uuid4().hex
 
     def run(batches):
         vocabulary, languages, prob = model.value
-        if languages and not (_SCORER and _SCORER[0] is prob):
-            _SCORER[:] = [prob, _Scorer(vocabulary, prob)]
+        scorer = worker_cache(("languages", run_id), lambda: _Scorer(vocabulary, prob)) if languages else None
         for batch in batches:
             if not languages:
                 n = len(batch)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([UNKNOWN] * n, pa.string()), pa.array(np.zeros(n)), *batch.columns[3:]], names=names)
                 continue
-            for at, total, letter in _SCORER[1].score(batch.column(2)):
+            for at, total, letter in scorer.score(batch.column(2)):
                 best = total.argmax(axis=1)
                 post = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
                 found = [languages[b] if ok else UNKNOWN for b, ok in zip(best, letter, strict=True)]
