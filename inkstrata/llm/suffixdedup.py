@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, U64, mix, text_chunks, with_checked_broadcast, written
+from .common import SpanHasher, U64, mix, text_chunks, written
 
 GRAM = 16
 CHUNK = 1_000_000
@@ -270,8 +270,8 @@ def _anchor_rows(docs: DataFrame, length: int, reach: int) -> DataFrame:
             for at, buf, offs in text_chunks(batch.column(1), CHUNK):
                 own = ids.slice(at, len(offs) - 1)
                 # a very long text in parts that overlap by all but one byte of a window
-                for lo in range(0, max(1, len(buf) - length + 1), 4 * CHUNK):
-                    part = buf[lo : lo + 4 * CHUNK + length - 1]
+                for lo in range(0, max(1, len(buf) - length + 1), CHUNK):
+                    part = buf[lo : lo + CHUNK + length - 1]
                     yield rows(own, part, offs if len(part) == len(buf) else np.array([0, len(part)]), lo)
 
     return docs.mapInArrow(run, _ANCHORS)
@@ -280,7 +280,6 @@ def _anchor_rows(docs: DataFrame, length: int, reach: int) -> DataFrame:
 def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of the wanted contexts, cut out of their documents."""
     per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "total", "anchor", "s_lo", "s_hi", "large")).alias("cut"))
-    per_doc = written(per_doc, "cuts")
 
     def run(batches):
         for batch in batches:
@@ -295,7 +294,8 @@ def _contexts(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 names=["doc_id", "key", "total", "anchor", "s_lo", "s_hi", "large", "bytes"],
             )
 
-    return with_checked_broadcast(docs, per_doc, "doc_id", "inner", 1 + F.size("cut")).select("doc_id", "text", "cut").mapInArrow(
+    # texts are shuffled by doc_id at any size: what they are joined with grows with the repeats
+    return docs.join(per_doc.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "cut").mapInArrow(
         run, "doc_id bigint, key bigint, total bigint, anchor bigint, s_lo bigint, s_hi bigint, large boolean, bytes binary"
     )
 
@@ -307,9 +307,16 @@ def _edges(contexts: DataFrame, length: int, reach: int) -> DataFrame:
         data = group["bytes"].to_pylist()
         doc, total = np.asarray(group["doc_id"]), np.asarray(group["total"])
         a, lo, hi = (np.asarray(group[x]) for x in ("anchor", "s_lo", "s_hi"))
-        cut = a - lo
-        found = shared_windows([d[:c] for d, c in zip(data, cut, strict=True)], [d[c:] for d, c in zip(data, cut, strict=True)], length, length - reach + 1)
-        out = [(doc[i], s, e) for i, spans in enumerate(found) if total[i] == 1 for x, y in spans if (s := max(a[i] - y, lo[i])) <= (e := min(a[i] - x, hi[i]))]
+        known = length - reach + 1
+        # equal keys are equal bytes but for a collision of hashes, which parts here
+        alike: dict[bytes, list[int]] = {}
+        for i, (d, c) in enumerate(zip(data, (a - lo).tolist(), strict=True)):
+            alike.setdefault(d[c : c + known], []).append(i)
+        out = []
+        for rows in alike.values():
+            cut = [(data[i], int(a[i] - lo[i])) for i in rows]
+            found = shared_windows([d[:c] for d, c in cut], [d[c:] for d, c in cut], length, known)
+            out += [(doc[i], s, e) for i, spans in zip(rows, found, strict=True) if total[i] == 1 for x, y in spans if (s := max(a[i] - y, lo[i])) <= (e := min(a[i] - x, hi[i]))]
         return pa.table({"doc_id": pa.array([x[0] for x in out], pa.int64()), "s_lo": pa.array([x[1] for x in out], pa.int64()), "s_hi": pa.array([x[2] for x in out], pa.int64())})
 
     return contexts.groupBy("key").applyInArrow(run, "doc_id bigint, s_lo bigint, s_hi bigint")
@@ -353,8 +360,10 @@ def repeated(docs: DataFrame, length: int = 400, large_group: int = LARGE_GROUP)
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     made = written(_anchor_rows(docs, length, reach), "anchors")
     at = made.where("key is not null")
-    keys = at.groupBy("key").agg(F.sum("n").alias("all"), F.min("context").alias("c_lo"), F.max("context").alias("c_hi")).where("all >= 2")
-    again = written(at.join(keys.select("key", F.expr("c_lo = c_hi").alias("pure")), "key"), "again")
+    keys = at.groupBy("key").agg(F.sum("n").alias("all")).where("all >= 2").select("key")
+    again = written(at.join(keys, "key"), "again")
+    kind = again.groupBy("key").agg(F.expr("min(context) = max(context)").alias("pure"))
+    again = written(again.join(kind, "key"), "kinds")
     pure = again.where("pure and n = 1").select("doc_id", "s_lo", "s_hi")
     mixed = again.where("not pure")
     total = mixed.groupBy("key", "context").agg(F.sum("n").alias("total"), F.min(F.struct("doc_id", "anchor", "s_lo", "s_hi")).alias("at"))
@@ -410,5 +419,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, *, with_text: bool = Fals
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", text string" * with_text
     schema += "".join(f", `_{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     texts = docs.select("doc_id", "text", *[F.col(c).alias(f"_{c}") for c in carry])
-    joined = with_checked_broadcast(texts, spans, "doc_id", "left", 1 + F.size("spans")).select("doc_id", "text", "spans", *[f"_{c}" for c in carry])
-    return joined.mapInArrow(run, schema)
+    columns = ["doc_id", "text", "spans", *[f"_{c}" for c in carry]]
+    joined = texts.where("doc_id is not null").join(spans.hint("shuffle_hash"), "doc_id", "left").select(*columns)
+    rest = texts.where("doc_id is null").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)).select(*columns)
+    return joined.unionByName(rest).mapInArrow(run, schema)
