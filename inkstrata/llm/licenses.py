@@ -47,6 +47,25 @@ SENTENCES = {
     "spdx-gpl": "SPDX-License-Identifier: GPL-3.0-only",
     "spdx-gpl-later": "SPDX-License-Identifier: GPL-3.0-or-later",
     "spdx-bsd": "SPDX-License-Identifier: BSD-3-Clause",
+    "lgpl-free": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl21-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl-warranty": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
+    "lgpl-received": "You should have received a copy of the GNU Lesser General Public License along with this library.",
+    "agpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-received": "You should have received a copy of the GNU Affero General Public License along with this program.",
+    "unlicense-domain": "This is free and unencumbered software released into the public domain.",
+    "unlicense-free": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "epl": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "cc0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
+    "boost": "Distributed under the Boost Software License, Version 1.0.",
+    "psf-title": "PYTHON SOFTWARE FOUNDATION LICENSE VERSION 2",
+    "spdx-bsd2": "SPDX-License-Identifier: BSD-2-Clause",
+    "spdx-mpl": "SPDX-License-Identifier: MPL-2.0",
+    "spdx-lgpl": "SPDX-License-Identifier: LGPL-3.0-or-later",
+    "spdx-agpl": "SPDX-License-Identifier: AGPL-3.0-or-later",
+    "spdx-isc": "SPDX-License-Identifier: ISC",
 }
 
 #: A rule is a licence and the identifiers that must follow each other in this
@@ -62,57 +81,99 @@ RULES = [
     ("GPL-3.0", ("gpl-work",)), ("GPL-3.0", ("gpl-licensed",)), ("GPL-3.0", ("spdx-gpl",)), ("GPL-3.0-or-later", ("spdx-gpl-later",)),
     ("MPL-2.0", ("mpl-source",)), ("ISC", ("isc-grant", "as-is")), ("CC-BY-4.0", ("cc-by",)), ("CC-BY-4.0", ("cc-by-short",)),
     ("CC-BY-SA-4.0", ("cc-by-sa",)), ("CC-BY-SA-4.0", ("cc-by-sa-short",)), ("CC-BY-NC-4.0", ("cc-by-nc",)), ("CC-BY-NC-4.0", ("cc-by-nc-short",)),
+    ("LGPL-3.0-or-later", ("lgpl-free", "lgpl-warranty", "lgpl-received")), ("LGPL-2.1-or-later", ("lgpl21-free", "lgpl-warranty", "lgpl-received")),
+    ("AGPL-3.0-or-later", ("agpl-free", "gpl-warranty", "agpl-received")), ("Unlicense", ("unlicense-domain", "unlicense-free")),
+    ("Zlib", ("zlib-as-is", "zlib-grant")), ("EPL-2.0", ("epl",)), ("CC0-1.0", ("cc0",)), ("BSL-1.0", ("boost",)), ("PSF-2.0", ("psf-title",)),
+    ("BSD-2-Clause", ("spdx-bsd2",)), ("MPL-2.0", ("spdx-mpl",)), ("LGPL-3.0-or-later", ("spdx-lgpl",)), ("AGPL-3.0-or-later", ("spdx-agpl",)), ("ISC", ("spdx-isc",)),
 ]
 
-#: Each known sentence has one of these; a text without any has no known sentence.
-KEYWORDS = ["licen", "permission", "warrant", "redistribution", "copyright"]
-
-#: A line that ends without a stop goes on in the next one if that starts in lower case, or
-#: if capitals stand on both sides; comment marks at line starts are no part of a sentence.
-WRAP = [(r"\n[ \t]*(?:[#*]+|//+|--+|;+)[ \t]*", "\n"), (r"([a-z,0-9)\"])[ \t]*\r?\n[ \t]*([a-z(\"])", r"$1 $2"), (r"([A-Z,])[ \t]*\r?\n[ \t]*([A-Z][A-Z])", r"$1 $2")]
+#: Every part of a known sentence has one of these; a text without any has no known sentence.
+KEYWORDS = ["licen", "permission", "warrant", "redistribution", "copyright", "free software", "this software", "public domain"]
+
+#: A tag and its value stand on a line of their own, and an abbreviated version is not cut
+#: apart. A line that ends without a stop goes on in the next one if that starts in lower
+#: case, if capitals stand on both sides, or if it ends inside a licence's name or after a word
+#: that ends no sentence; comment marks at line starts are no part of a sentence.
+WRAP = [
+    (r"(SPDX-License-Identifier):[ \t]+([^ \t\r\n]+)", "\n.\n$1 $2\n.\n"), (r"( v)[.] ([0-9])", r"$1 $2"), (r"\n[ \t]*(?:[#*]+|//+|--+|;+)[ \t]*", "\n"),
+    (r"([a-z,0-9)\"])[ \t]*\r?\n[ \t]*([a-z(\"])", r"$1 $2"), (r"([A-Z,])[ \t]*\r?\n[ \t]*([A-Z][A-Z])", r"$1 $2"),
+    (r"( (?:GNU|Lesser|Affero|General|Mozilla|Eclipse|Public|Free|Software|Creative|Boost|Apache|Source|Code|the|of|by|in|under|this))[ \t]*\r?\n[ \t]*([A-Z])", r"$1 $2"),
+]
 END = (r"([.!?;:])[ \t\r]+", "$1\n")
 OTHER = "[^a-z0-9]+"
-#: A known sentence with such an end inside is cut there; its parts, and the lines it is
-#: wrapped into, are put together again.
-INNER = r"[.!?;:][ \t\r]+(?=\S)"
 
 
-def normalised(sentence: str) -> str:
-    return re.sub(OTHER, " ", sentence.lower()).strip()
+def parts_of(sentence: str) -> list[str]:
+    """A known sentence as a text's sentences are compared: cut where texts are, in lower case,
+    without punctuation."""
+    for pattern, by in [*WRAP[:2], END]:
+        sentence = re.sub(pattern, re.sub(r"[$](\d)", r"\\\1", by), sentence)
+    return [key for x in sentence.split("\n") if (key := re.sub(OTHER, " ", x.lower()).strip())]
+
+
+def known_parts() -> dict[str, str]:
+    """Identifier of each part: the sentence's, with /1, /2, ... if it has several parts; what
+    several sentences begin with has the first one's."""
+    out: dict[str, str] = {}
+    for i, s in SENTENCES.items():
+        parts = parts_of(s)
+        for n, part in enumerate(parts, 1):
+            out.setdefault(part, i if len(parts) == 1 else f"{i}/{n}")
+    return out
+
+
+def _in_parts() -> list[tuple[str, str]]:
+    """(the parts' identifiers, the sentence's) of the sentences that texts are cut inside."""
+    known = known_parts()
+    return [("".join(f" {known[x]} " for x in parts_of(s)), f" {i} ") for i, s in SENTENCES.items() if len(parts_of(s)) > 1]
+
+
+#: What is left of unknown sentences, and of known ones that are not there as a whole.
+LEFT_OVER = " ([?]|[a-z0-9-]+/[0-9]) "
 
 
 def _rule(ids: tuple[str, ...]) -> str:
     return "".join(f" {i} " if n == 0 else f"(.* )?{i} " for n, i in enumerate(ids))
 
 
+def _patterns() -> list[tuple[str, str]]:
+    names = sorted({name for name, _ in RULES})
+    return [(name, "|".join(_rule(ids) for n, ids in RULES if n == name)) for name in names]
+
+
+#: Fixed value: a licence that is not reported where the other, which holds its sentences, is.
+CONTAINED = {"BSD-2-Clause": "BSD-3-Clause"}
+
+
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """(doc_id, n_known, sentence_ids, licenses) for every row.
 
     ``sentence_ids``: the known sentences in order, with a blank around each; ``licenses``:
-    the licences whose rules match, in code point order, joined by ``;``. No shuffle and no
-    Python: string and array functions only. Null and empty texts and texts without a known
-    sentence give 0, a blank and an empty string. Repeated rows repeat; an empty table gives an
-    empty one; very long texts are read whole; other columns are not read.
+    the licences whose rules match, in code point order, joined by ``;``. A text that has all
+    sentences of the three-clause BSD licence is not reported as the two-clause one too. No
+    shuffle and no Python: string and array functions only. Null and empty texts and texts
+    without a known sentence give 0, a blank and an empty string. Repeated rows repeat; an
+    empty table gives an empty one; very long texts are read whole; other columns, whatever
+    their names, are not read.
     """
     text = F.col("text")
     for pattern, by in WRAP:
         text = F.regexp_replace(text, pattern, by)
     sentences = F.split(F.regexp_replace(text, *END), "\n")
     key = lambda s: F.trim(F.regexp_replace(F.lower(s), OTHER, " "))
-    keys = F.concat(F.lit("\n"), F.array_join(F.transform(sentences, key), "\n"), F.lit("\n"))
-    for whole in [normalised(s) for s in SENTENCES.values() if re.search(INNER, s)]:
-        keys = F.regexp_replace(keys, f"(?<=\n){whole.replace(' ', '[ \n]')}(?=\n)", whole)
-    known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (normalised(s), i)])
-    ids = F.filter(F.transform(F.split(keys, "\n"), lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+    known = F.create_map(*[F.lit(x) for pair in known_parts().items() for x in pair])
+    found = F.transform(sentences, lambda s: F.concat(F.lit(" "), F.coalesce(F.try_element_at(known, key(s)), F.lit("?")), F.lit(" ")))
+    found = F.array_join(found, "")
+    for parts, whole in _in_parts():
+        found = F.replace(found, F.lit(parts), F.lit(whole))
+    ids = F.regexp_replace(found, LEFT_OVER, "")
     has = F.lower("text").rlike("|".join(KEYWORDS))
-    out = docs.select("doc_id", F.when(has, ids).alias("ids"))
-    out = out.select(
-        "doc_id",
-        F.coalesce(F.when(F.col("ids").isNull(), 0).otherwise(F.size("ids")), F.lit(0)).cast("long").alias("n_known"),
-        F.concat(F.lit(" "), F.coalesce(F.array_join(F.transform("ids", lambda i: F.concat(i, F.lit(" "))), " "), F.lit(""))).alias("sentence_ids"),
-    )
-    names = sorted({name for name, _ in RULES})
-    hits = [F.when(F.col("sentence_ids").rlike("|".join(_rule(ids) for n, ids in RULES if n == name)), F.lit(name)) for name in names]
+    ids = F.coalesce(F.nullif(F.when(has, ids), F.lit("")), F.lit(" "))
+    out = docs.select("doc_id", ids.alias("sentence_ids"))
+    out = out.select("doc_id", F.regexp_count("sentence_ids", F.lit("[^ ]+")).cast("long").alias("n_known"), "sentence_ids")
+    patterns = dict(_patterns())
+    match = {name: F.col("sentence_ids").rlike(pattern) for name, pattern in patterns.items()}
+    hits = [F.when(match[name] & ~match[CONTAINED[name]] if name in CONTAINED else match[name], F.lit(name)) for name in patterns]
     return out.withColumn("licenses", F.when(F.col("n_known") == 0, F.lit("")).otherwise(F.concat_ws(";", *hits)))
 
 
@@ -121,20 +182,36 @@ def _quoted(x: str) -> str:
 
 
 def sql() -> str:
-    """The same in DuckDB's dialect."""
-    text = "coalesce(text, '')"
-    for pattern, by in [*WRAP, END]:
-        text = f"regexp_replace({text}, {_quoted(pattern)}, {_quoted(re.sub(r'[$](.)', r'\\\1', by)) if '\n' not in by else _quoted(re.sub(r'[$](.)', r'\\\1', by))}, 'g')"
-    known = ", ".join(f"({_quoted(normalised(s))}, {_quoted(i)})" for i, s in SENTENCES.items())
-    names = sorted({name for name, _ in RULES})
-    hits = ", ".join(f"CASE WHEN regexp_matches(sentence_ids, {_quoted('|'.join(_rule(ids) for n, ids in RULES if n == name))}) THEN {_quoted(name)} END" for name in names)
+    """The same in DuckDB's dialect, which cuts the known sentences up by itself."""
+    dollar = lambda by: re.sub(r"[$](.)", r"\\\1", by)
+
+    def cut(text: str, steps: list[tuple[str, str]]) -> str:
+        for pattern, by in [*steps, END]:
+            text = f"regexp_replace({text}, {_quoted(pattern)}, {_quoted(dollar(by))}, 'g')"
+        return f"string_split({text}, chr(10))"
+
+    key = f"trim(regexp_replace(lower(part), '{OTHER}', ' ', 'g'))"
+    raw = ", ".join(f"({n}, {_quoted(i)}, {_quoted(s)})" for n, (i, s) in enumerate(SENTENCES.items()))
+    joined = "string_agg(' ' || coalesce(k.id, '?') || ' ', '' ORDER BY o.pos)"
+    for parts, whole in _in_parts():
+        joined = f"replace({joined}, {_quoted(parts)}, {_quoted(whole)})"
+    hits = ", ".join(
+        f"CASE WHEN regexp_matches(sentence_ids, {_quoted(pattern)})"
+        + (f" AND NOT regexp_matches(sentence_ids, {_quoted(dict(_patterns())[CONTAINED[name]])})" if name in CONTAINED else "")
+        + f" THEN {_quoted(name)} END"
+        for name, pattern in _patterns()
+    )
     return f"""
-WITH known(sentence, id) AS (VALUES {known}),
-parts AS (SELECT doc_id, string_split({text}, chr(10)) AS part FROM documents),
-one AS (SELECT doc_id, unnest(part) AS part, generate_subscripts(part, 1) AS pos FROM parts),
-ids AS (SELECT o.doc_id, o.pos, k.id FROM one o JOIN known k ON trim(regexp_replace(lower(o.part), '{OTHER}', ' ', 'g')) = k.sentence),
-found AS (SELECT doc_id, count(*) AS n_known, ' ' || string_agg(id || ' ', ' ' ORDER BY pos) AS sentence_ids FROM ids GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_known, 0)::BIGINT AS n_known, coalesce(sentence_ids, ' ') AS sentence_ids,
-       CASE WHEN n_known IS NULL THEN '' ELSE concat_ws(';', {hits}) END AS licenses
-FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id
+WITH raw(nr, id, sentence) AS (VALUES {raw}),
+cut AS (SELECT nr, id, list_filter({cut('sentence', WRAP[:2])}, lambda x: regexp_matches(lower(x), '[a-z0-9]')) AS parts FROM raw),
+each AS (SELECT nr, id, len(parts) AS n, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM cut),
+known AS (SELECT {key} AS sentence, arg_min(CASE WHEN n = 1 THEN id ELSE id || '/' || pos END, nr) AS id FROM each GROUP BY 1),
+texts AS (SELECT row_number() OVER () AS r, doc_id, {cut("coalesce(text, '')", WRAP)} AS parts FROM documents),
+one AS (SELECT r, doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM texts),
+ids AS (SELECT r, o.doc_id, regexp_replace({joined}, '{LEFT_OVER}', '', 'g') AS ids
+        FROM (SELECT r, doc_id, pos, {key} AS sentence FROM one) o LEFT JOIN known k ON o.sentence = k.sentence GROUP BY r, o.doc_id),
+found AS (SELECT doc_id, coalesce(nullif(ids, ''), ' ') AS sentence_ids FROM ids)
+SELECT doc_id, len(regexp_extract_all(sentence_ids, '[^ ]+'))::BIGINT AS n_known, sentence_ids,
+       CASE WHEN sentence_ids = ' ' THEN '' ELSE concat_ws(';', {hits}) END AS licenses
+FROM found
 """

@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from inkstrata.llm import ann, bpe, capdedup, langid, licenses, minhash, mixing, quality, suffixdedup, toxicity
 from inkstrata.llm.common import components
@@ -240,6 +241,31 @@ def test_licenses(spark, sample, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_every_known_sentence_and_rule_is_found(spark):
+    known = licenses.known_parts()
+    assert all(any(k in part for k in licenses.KEYWORDS) for part in known)
+    names = list(licenses.SENTENCES)
+    texts = [f"Some words. {licenses.SENTENCES[i]}\nMore words." for i in names] + ["\n".join(licenses.SENTENCES[i] for i in ids) for _, ids in licenses.RULES]
+    rows = licenses.scan_licenses(docs(spark, texts)).orderBy("doc_id").collect()
+    for i, r in zip(names, rows, strict=False):
+        assert (r["n_known"], r["sentence_ids"]) == (1, f" {i} ")
+    for (name, _), r in zip(licenses.RULES, rows[len(names) :], strict=True):
+        assert r["licenses"] == name
+    c = duckdb.connect()
+    c.sql("create table documents (doc_id bigint, text varchar)")
+    c.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+    assert [tuple(r) for r in rows] == c.sql(licenses.sql() + " ORDER BY 1").fetchall()
+
+
+def test_licences_of_odd_rows(spark):
+    both = "\n".join(licenses.SENTENCES[i] for i in ("spdx-mit", "spdx-apache"))
+    long = "word " * 400_000 + "\n" + licenses.SENTENCES["mpl-source"]
+    rows = [(0, both), (0, both), (None, both), (1, long), (2, "SPDX-License-Identifier: Other\nMIT\n")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("ids", F.lit(1)).withColumn("n_known", F.lit("x"))
+    out = sorted(map(tuple, licenses.scan_licenses(table).select("doc_id", "licenses").collect()), key=str)
+    assert out == [(0, "Apache-2.0;MIT"), (0, "Apache-2.0;MIT"), (1, "MPL-2.0"), (2, ""), (None, "Apache-2.0;MIT")]
+
+
 # --- 8: repeated strings --------------------------------------------------------------
 
 
