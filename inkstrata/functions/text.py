@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 #: The Hebrew letters as in right-to-left text, and marks of direction.
 HEBREW = r"[֐-׿יִ-ﭏ‏]"
 BIDI_MARKS = r"[‎‏‪-‮⁦-⁩]"
-QUOTES = "[“”„‟«»″‶״❝❞〝〞〟＂]"
+#: What stands for a double quotation mark.
+QUOTES = "[«»“”„‟❝❞❠〞〟＂🙶🙷🙸״]"
 #: Letters with ascenders and descenders in the effective font size.
 ASCENDERS = "[לA-Zbdfhklt]"
 DESCENDERS = "[ךןףץקgjpqy]"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,32 +11,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import sequence
+from . import metadata
 
 #: What separates a label from its explanation.
 SEPARATOR = r"\s*(?:=|[-–—]\s|:)\s*"
-#: What marks a list as bibliographic or as abbreviations.
-ABBREVIATION_TITLES = ["קיצורים", "רשימת הקיצורים", "קיצורים ביבליוגרפיים", "abbreviations", "list of abbreviations"]
-BIBLIOGRAPHY_TITLES = ["ביבליוגרפיה", "רשימת מקורות", "bibliography", "references", "works cited"]
-LABEL_PATTERNS = [r"^\s*([^=]{2,60}?)\s*=\s*", r"^\s*([^–—-]{2,60}?)\s+[–—-]\s+", r"^\s*([^:]{2,60}?)\s*:\s+"]
-
-
-def label_of(x: Column) -> Column:
-    """The label before ``=``, a dash or a colon, the first of these patterns that matches; null
-    if there is none of two letters or more."""
-    found = [F.nullif(F.trim(F.regexp_extract(x, p, 1)), F.lit("")) for p in LABEL_PATTERNS]
-    label = F.coalesce(*found)
-    return F.when(F.length(label) > 1, label)
-
-
-def block_kind(title: Column) -> Column:
-    t = F.lower(F.trim(tx.plain_quotes(title)))
-    return F.when(t.isin(ABBREVIATION_TITLES), "abbreviations").when(t.isin(BIBLIOGRAPHY_TITLES), "bibliography").otherwise("other")
-
-
 def has_abbreviations(meta: DataFrame) -> DataFrame:
-    """doc_id of the papers with an abbreviation or bibliography block."""
-    kinds = F.transform("content.references.reference_blocks", lambda b: block_kind(b["title"]))
-    return meta.where(F.exists(kinds, lambda k: k != "other")).select("doc_id")
+    """doc_id of the papers with a list of abbreviations or a bibliography."""
+    kinds = F.transform("content.references.reference_blocks", lambda b: metadata.reference_kind(b["title"]))
+    return meta.where(F.exists(kinds, lambda k: k.isin(metadata.ABBREVIATIONS, metadata.BIBLIOGRAPHY))).select("doc_id")
 
 
 def assembled(df: DataFrame, by: list[str], order: list[str], indent: Column, threshold: float, text: str) -> DataFrame:
@@ -53,7 +37,7 @@ def partitioned(notes: DataFrame, labels: DataFrame, text: str = "text") -> tupl
     """(abbreviations, regular footnotes): a note is an abbreviation if its own label, without
     marks and case, is one of the known labels."""
     key = lambda c: F.lower(tx.plain_quotes(F.trim(c)))
-    rows = notes.withColumn("_k", key(label_of(F.col(text))))
+    rows = notes.withColumn("_k", key(metadata.label_of(F.col(text))))
     known = labels.select(key(F.col("label")).alias("_k")).distinct()
     return rows.join(known, "_k", "left_semi").drop("_k"), rows.join(known, "_k", "left_anti").drop("_k")
 
@@ -141,11 +125,11 @@ def collected_references(rows: DataFrame, end_marker: str) -> DataFrame:
             small = size is None or np.isnan(size) or size < main
             if end_marker and end_marker in line:
                 close()
-            elif pd.Series([line]).str.match(r"^\d+[.)]?\s+").iloc[0] and small:
+            elif small and re.match(r"\d+[.)]?\s+", line):
                 close()
                 first = page
                 now.append(line)
-            elif now and small and not pd.Series([line]).str.match(r"^\d{1,2}:\d{2}").iloc[0]:
+            elif now and small and not re.match(r"\d{1,2}:\d{2}", line):
                 now.append(line)
             else:
                 close()
@@ -171,7 +155,7 @@ def line_kinds(lines: DataFrame) -> DataFrame:
                 state = state if state == "ABBREV" else "HEADER"
             if below and state != "ABBREV":
                 state = "FOOTNOTE"
-            elif line.strip().lower() in ABBREVIATION_TITLES:
+            elif line.strip() in metadata.ABBREVIATION_TITLES:
                 state = "ABBREV"
             elif state == "HEADER" and not centred:
                 state = "TEXT"
@@ -192,37 +176,3 @@ def separators(lines: DataFrame) -> DataFrame:
     stat = g.groupBy("doc_id", "page").agg(F.avg("gap").alias("_m"), F.var_pop("gap").alias("_v"), F.count("gap").alias("_n"))
     hit = g.join(stat, ["doc_id", "page"]).where((F.col("_n") > 1) & (F.col("gap") - F.col("_m") > 10 * F.sqrt("_v") / F.col("_n")))
     return hit.groupBy("doc_id", "page").agg(F.max("line_no").alias("line_no"))
-
-
-# --- metadata -------------------------------------------------------------------------
-
-#: Titles that are no articles.
-NOT_ARTICLES = ["front matter", "back matter", "volume information", "books received", "contents", "notes on contributors", "errata"]
-
-
-def not_an_article(title: Column) -> Column:
-    t = F.lower(F.trim(title))
-    return F.coalesce(t.startswith("[") | t.rlike("|".join(NOT_ARTICLES)), F.lit(False))
-
-
-def split_title(title: Column) -> tuple[Column, Column]:
-    """(Hebrew, English) halves of a title with a slash or bar; the half with the larger share
-    of Hebrew letters is the Hebrew one."""
-    parts = F.split(title, r"\s*[/|]\s*", 2)
-    share = lambda x: F.coalesce(F.try_divide(F.regexp_count(x, F.lit("[א-ת]")), F.regexp_count(x, F.lit(r"\p{L}"))), F.lit(0.0))
-    two = F.size(parts) == 2
-    first = F.when(two & (share(parts[0]) >= share(F.get(parts, 1))), parts[0]).when(two, F.get(parts, 1)).when(share(title) > 0.5, title)
-    other = F.when(two & (share(parts[0]) >= share(F.get(parts, 1))), F.get(parts, 1)).when(two, parts[0]).when(share(title) <= 0.5, title)
-    return first, other
-
-
-def page_range(x: Column) -> tuple[Column, Column]:
-    first = F.regexp_extract(x, r"(\d+)\s*[-–]\s*\d+", 1)
-    single = F.regexp_extract(x, r"(\d+)", 1)
-    last = F.regexp_extract(x, r"\d+\s*[-–]\s*(\d+)", 1)
-    return F.coalesce(first.try_cast("int"), single.try_cast("int")), F.coalesce(last.try_cast("int"), single.try_cast("int"))
-
-
-def first_authors(authors: Column) -> Column:
-    """Author lists name each author in two languages: the first half."""
-    return F.slice(authors, 1, F.greatest((F.size(authors) / 2).cast("int"), F.lit(1)))

@@ -49,17 +49,37 @@ def new_rows(batch: DataFrame, target: DataFrame, key: list[str], order: list[st
 
 
 def best_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, words: str = "words", least: float = 0.8) -> DataFrame:
-    """For each left row the right row with the largest share of the left's different words,
-    if that exceeds ``least``; ties to the smaller id. Rows meet on shared words, weighted by
-    none: an equi-join on words and a count, never a cross join. Rows meet only where the right
-    has more different words than ``least`` of the left's; fewer cannot be enough."""
-    a = left.select(left_id, F.size(F.array_distinct(words)).alias("_n"), F.explode(F.array_distinct(words)).alias("_w"))
-    b = right.select(right_id, F.size(F.array_distinct(words)).alias("_m"), F.explode(F.array_distinct(words)).alias("_w"))
-    enough = (a["_w"] == b["_w"]) & (b["_m"] > least * a["_n"])
-    common = a.join(b, enough).groupBy(left_id, right_id).agg(F.count("*").alias("n_common"), F.first("_n").alias("n_words"))
+    """For each left row the right row that holds the largest share of the left's different
+    words, if that exceeds ``least``; ties to the smaller id.
+
+    To hold more than ``least`` of n words a right row must hold one of any n - floor(least * n)
+    of them, so rows meet on that many of the left's rarest words only, and the pairs found are
+    counted in full: words that nearly all rows hold bring no pairs."""
+    a = left.select(left_id, F.array_distinct(words).alias("_a")).where(F.size("_a") > 0)
+    b = right.select(right_id, F.array_distinct(words).alias("_b"))
+    of_a = a.select(left_id, F.size("_a").alias("_n"), F.explode("_a").alias("_w"))
+    of_b = b.select(right_id, F.explode("_b").alias("_w"))
+    held = of_b.join(of_a.select("_w").distinct(), "_w", "left_semi").groupBy("_w").agg(F.count("*").alias("_f"))
+    rare = of_a.join(held, "_w").withColumn("_r", F.row_number().over(Window.partitionBy(left_id).orderBy("_f", "_w")))
+    # words that no right row holds are the rarest of all and use up places
+    seen = F.count("*").over(Window.partitionBy(left_id))
+    rare = rare.withColumn("_places", F.col("_n") - F.floor(F.lit(least) * F.col("_n")) - (F.col("_n") - seen)).where("_r <= _places")
+    pairs = rare.select(left_id, "_w").join(of_b, "_w").select(left_id, right_id).distinct()
+    common = pairs.join(a, left_id).join(b, right_id).select(left_id, right_id, F.size(F.array_intersect("_a", "_b")).cast("long").alias("n_common"), F.size("_a").alias("n_words"))
     common = common.where(F.col("n_common") > least * F.col("n_words"))
-    w = Window.partitionBy(left_id).orderBy(F.desc(F.col("n_common") / F.col("n_words")), right_id)
-    return common.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    best = F.min(F.struct((-F.col("n_common") / F.col("n_words")).alias("share"), right_id, "n_common", "n_words"))
+    return common.groupBy(left_id).agg(best.alias("_x")).select(left_id, f"_x.{right_id}", "_x.n_common", "_x.n_words")
+
+
+def overlap_or_first(left: DataFrame, right: DataFrame, on: list[str], left_id: list[str], right_id: str, words: str, held: str, least: float = 0.8) -> DataFrame:
+    """Of the right rows with equal ``on``, for each left row: the one that holds the largest
+    share of its different words, if over ``least``, else the first. The best of a group is an
+    aggregate, so that pairs of a group are never kept."""
+    n = F.size(F.array_distinct(words))
+    share = F.size(F.array_intersect(words, held)) / n
+    share = F.when(F.size(F.array_intersect(words, held)) > least * n, share).otherwise(0.0)
+    best = F.min(F.struct((-share).alias("s"), F.col(right_id).alias("id")))
+    return left.join(right, on).groupBy(*on, *left_id).agg(best["id"].alias(right_id))
 
 
 def band_join(left: DataFrame, right: DataFrame, on: list[str], left_x: str, right_x: str, band: float) -> DataFrame:

@@ -39,6 +39,7 @@ def gap_sessions(df: DataFrame, by: Names, order: Names, position: str | Column,
 
 def run_segments(df: DataFrame, by: Names, order: Names, separator: Column, least: int = 2, name: str = "segment_no") -> DataFrame:
     """Rows between runs of at least ``least`` separator rows; shorter runs do not separate.
+    The first row that is no separator starts the first segment, whatever stands before it.
     Separators get the number of the segment they follow."""
     w = _w(by, order)
     df = df.withColumn("_s", F.coalesce(separator, F.lit(False)))
@@ -46,7 +47,8 @@ def run_segments(df: DataFrame, by: Names, order: Names, separator: Column, leas
     for k in range(1, least):
         full = full & F.coalesce(F.lag("_s", k).over(w), F.lit(False))
     df = df.withColumn("_full", full)
-    start = ~F.col("_s") & F.coalesce(F.lag("_full").over(w), F.lit(True))
+    before = F.coalesce(F.sum((~F.col("_s")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    start = ~F.col("_s") & ((before == 0) | F.lag("_full").over(w))
     return running_id(df.withColumn("_b", start), by, order, F.col("_b"), name).drop("_s", "_full", "_b")
 
 

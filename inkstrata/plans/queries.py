@@ -246,7 +246,8 @@ def line_sessions(spark, sf_dir):
 
 
 @query(f"""WITH e AS ({_EVENTS}), s AS (SELECT *, event_type = 'click' AS s FROM e),
-f AS (SELECT *, s AND coalesce(lag(s) {_W}, false) AS full FROM s), b AS (SELECT *, NOT s AND coalesce(lag(f.full) {_W}, true) AS b FROM f)
+f AS (SELECT *, s AND coalesce(lag(s) {_W}, false) AS full FROM s), b AS (SELECT *, NOT s AND (coalesce(lag(f.full) {_W}, false)
+ OR coalesce(sum(CASE WHEN NOT s THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0) AS b FROM f)
 SELECT event_id, sum(CASE WHEN b THEN 1 ELSE 0 END) {_UPTO}::BIGINT AS segment_no FROM b""".replace("full", "fully"))
 def run_segments(spark, sf_dir):
     return sequence.run_segments(_events(spark, sf_dir), _BY, _ORDER, F.col("event_type") == "click").select("event_id", "segment_no")
@@ -310,24 +311,29 @@ def text_clean(spark, sf_dir):
     return Tables(spark, sf_dir).documents.select("doc_id", F.md5(text.strip_control(t)).alias("clean_md5"), text.letters(t, 10).alias("first_letters"))
 
 
-@query("""WITH a AS (SELECT doc_id, list_distinct(string_split(text, ' ')) AS w FROM documents WHERE len(string_split(text, ' ')) <= 60),
-b AS (SELECT item_id, unnest(list_distinct(string_split(text, ' '))) AS w FROM benchmark),
-c AS (SELECT x.doc_id, b.item_id, count(*)::BIGINT AS n_common, any_value(x.n)::INT AS n_words FROM (SELECT doc_id, len(w) AS n, unnest(w) AS w FROM a) x JOIN b ON x.w = b.w GROUP BY 1, 2)
-SELECT doc_id, item_id, n_common, n_words FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n_common::DOUBLE / n_words DESC, item_id) AS r FROM c WHERE n_common > 0.2 * n_words) WHERE r = 1""")
+@query("""WITH a AS (SELECT item_id, list_distinct(string_split(text, ' ')) AS w FROM benchmark),
+b AS (SELECT doc_id, unnest(list_distinct(string_split(text, ' '))) AS w FROM documents),
+c AS (SELECT x.item_id, b.doc_id, count(*)::BIGINT AS n_common, any_value(x.n)::INT AS n_words FROM (SELECT item_id, len(w) AS n, unnest(w) AS w FROM a) x JOIN b ON x.w = b.w GROUP BY 1, 2)
+SELECT item_id, doc_id, n_common, n_words FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n_common::DOUBLE / n_words DESC, doc_id) AS r FROM c WHERE n_common > 0.8 * n_words) WHERE r = 1""")
 def overlap_match(spark, sf_dir):
+    """The document that holds most of the different words of each benchmark item, over 80 %."""
     t = Tables(spark, sf_dir)
-    docs = t.documents.select("doc_id", F.split("text", " ").alias("words")).where(F.size("words") <= 60)  # short notes only: the feature
     items = t.benchmark.select("item_id", F.split("text", " ").alias("words"))
-    return relational.best_overlap(docs, items, "doc_id", "item_id", least=0.2)
-
-
-@query()
-def overlap_match_all(spark, sf_dir):
-    """``overlap_match`` over documents of any length."""
-    t = Tables(spark, sf_dir)
     docs = t.documents.select("doc_id", F.split("text", " ").alias("words"))
-    items = t.benchmark.select("item_id", F.split("text", " ").alias("words"))
-    return relational.best_overlap(docs, items, "doc_id", "item_id", least=0.2)
+    return relational.best_overlap(items, docs, "item_id", "doc_id")
+
+
+@query("""WITH a AS (SELECT conv_id, turn, list_distinct(string_split(text, ' ')) AS w FROM conversations WHERE role = 'user'),
+b AS (SELECT conv_id, turn AS other, list_distinct(string_split(text, ' ')) AS v FROM conversations WHERE role <> 'user'),
+c AS (SELECT a.conv_id, turn, other, len(list_intersect(w, v)) AS n_common, len(w) AS n FROM a JOIN b ON a.conv_id = b.conv_id)
+SELECT conv_id, turn, other FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn
+ORDER BY CASE WHEN n_common > 0.8 * n THEN n_common::DOUBLE / n ELSE 0 END DESC, other) AS r FROM c) WHERE r = 1""")
+def overlap_or_first(spark, sf_dir):
+    """The answer of a conversation that holds most of a question's words, over 80 %, else its
+    first answer."""
+    c = Tables(spark, sf_dir).conversations.select("conv_id", "turn", F.array_distinct(F.split("text", " ")).alias("words"), "role")
+    asked, answers = c.where("role = 'user'").drop("role"), c.where("role <> 'user'").select("conv_id", F.col("turn").alias("other"), F.col("words").alias("held"))
+    return relational.overlap_or_first(asked, answers, ["conv_id"], ["turn"], "other", "words", "held")
 
 
 @query("""SELECT a.event_id AS a_id, b.event_id AS b_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'purchase' AND b.event_type <> 'purchase'

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,17 +17,26 @@ def read_survey(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema)
 
 
-def sniffed_separator(spark: SparkSession, path: str) -> str:
-    """Tab if the first kilobyte holds one, else comma."""
-    lines = [r["value"] for r in spark.read.text(path).limit(20).collect()]
-    return "\t" if "\t" in "\n".join(lines)[:1024] else ","
+def _separators(spark: SparkSession, path: str) -> DataFrame:
+    """(file, tab): whether the first kilobyte of each file holds a tab."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.col("path").alias("file"), F.contains(F.substring("content", 1, 1024), F.lit(b"\t")).alias("tab"))
 
 
 def read_extract_csv(spark: SparkSession, path: str) -> DataFrame:
     """type, page, number, content of an extract; headers in any case, a byte order mark is
-    dropped, rows that lack a field are left out."""
-    df = spark.read.csv(path, header=True, sep=sniffed_separator(spark, path), multiLine=True, escape='"', mode="PERMISSIVE")
-    names = {c.replace("﻿", "").strip().strip('"').lower(): c for c in df.columns}
+    dropped, rows that lack a field are left out. Each file has its own separator, a tab or a
+    comma."""
+    tabs = {r["tab"]: r["files"] for r in _separators(spark, path).groupBy("tab").agg(F.collect_list("file").alias("files")).collect()}
+    parts = [_extract(spark, files, "\t" if tab else ",") for tab, files in tabs.items()]
+    if not parts:
+        raise ValueError(f"no files: {path}")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _extract(spark: SparkSession, files: list[str], separator: str) -> DataFrame:
+    df = spark.read.csv(files, header=True, sep=separator, multiLine=True, escape='"', mode="PERMISSIVE")
+    names = {c.replace("\ufeff", "").strip().strip('"').lower(): c for c in df.columns}
     lacking = [c for c in ("type", "page", "content") if c not in names]
     if lacking:
         raise ValueError(f"columns missing: {', '.join(lacking)}")

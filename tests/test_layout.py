@@ -1,10 +1,11 @@
 import io
 import json
 import zipfile
+from xml.etree import ElementTree
 
 from pyspark.sql import functions as F
 
-from inkstrata.layout import abbreviations, bidi, pages
+from inkstrata.layout import abbreviations, bidi, metadata, pages
 from inkstrata.layout.config import Thresholds, config_table
 from inkstrata.sources import extracts, sinks, workbook
 
@@ -155,3 +156,73 @@ def test_blocks_with_a_parser(spark, tmp_path):
     assert {(r["doc_id"], r["page"], r["text"]) for r in df.where("error is null").collect()} == {("a", 1, "one"), ("a", 2, "two")}
     assert df.where("error is not null").first()["doc_id"] == "b"
     assert blocks.page_counts(df).first()["n_pages"] == 2
+
+
+def test_documents_of_xml_and_csv(spark, tmp_path):
+    main = spark.createDataFrame([("d", "p02", "zwei"), ("d", "p01", "eins‏ & <b>"), ("e", "p01", "other")], "doc_id string, page string, content string")
+    notes = spark.createDataFrame([("d", "p02", 1, "second"), ("d", "p01", 2, "first"), ("d", "p03", 3, "alone")], "doc_id string, page string, number int, text string")
+    xml = {r["doc_id"]: ElementTree.fromstring(r["value"].encode()) for r in sinks.extract_xml(main, notes).collect()}
+    pages = [(p.get("name"), p.findtext("MainText"), [(n.get("number"), n.get("page"), n.text) for n in p.findall("footnote")]) for p in xml["d"].findall("Page")]
+    assert pages == [("p01", "eins & <b>", [("1", "p01", "first")]), ("p02", "zwei", [("2", "p02", "second")]), ("p03", None, [("3", "p03", "alone")])]
+    assert [p.get("name") for p in xml["e"]] == ["p01"] and xml["e"].tag == "footnotes"
+    sinks.write_extract_csv(main, notes, str(tmp_path / "csv"))
+    data = next((tmp_path / "csv/doc_id=d").glob("part-*")).read_bytes().decode()
+    assert data.split("\n")[0] == "﻿Type,Page,Number,Content" and data.split("\n")[1].startswith("MainText,p01")
+    abbreviations = spark.createDataFrame([("d", None, "AB", "Alpha", "metadata"), ("d", "p01", "C“D", "Gamma", "ocr")], "doc_id string, page string, label string, info string, source string")
+    doc = ElementTree.fromstring(next(r["value"] for r in sinks.integrated_xml(main, notes, abbreviations).collect() if r["doc_id"] == "d").encode())
+    assert [x.tag for x in doc] == ["main_text", "footnotes", "abbreviations"] and [x.get("number") for x in doc[1]] == ["1", "2", "3"]
+    assert {(x.get("label"), x.get("source"), x.text) for x in doc[2]} == {("AB", "metadata", "Alpha"), ("C“D", "ocr", "Gamma")}
+    sinks.write_integrated(main, notes, abbreviations, str(tmp_path / "both"))
+    rows = next((tmp_path / "both/csv/doc_id=d").glob("part-*")).read_text(encoding="utf-8").rstrip("\n").split("\n")
+    assert rows[0] == "﻿Type,Page,Number,Label,Content,Source" and [r.split(",")[0] for r in rows[1:]] == ["MainText"] * 2 + ["Footnote"] * 3 + ["Abbreviation"] * 2
+    files = spark.createDataFrame([("d", "d.pdf", "http://x", "zion")], "doc_id string, file string, url string, journal string")
+    paper = ElementTree.fromstring(sinks.abbreviation_xml(abbreviations.withColumn("entry_no", F.monotonically_increasing_id()), files).first()["value"].encode())
+    assert paper.get("file") == "d.pdf" and {x.get("label") for x in paper[0]} == {"AB", 'C"D'}
+
+
+def test_reports_and_separators(spark, tmp_path):
+    rows = [("7", "a7", 10, 9, 9, True, "Completed", "100.0%", False), ("8", "b8", 0, 0, 0, True, "Skipped", "", False)]
+    report = spark.createDataFrame(rows, "Issue_Number string, Filename string, Meta_References_Count int, Meta_biggest_label_number int, Collected_Footnotes_Count int, Has_Meta_File boolean, Processing_Status string, Accuracy_Percentage string, Is_Different boolean")
+    for kind, skipped, lines in (("plain", False, 2), ("accuracy", True, 3), ("differences", True, 3)):
+        sinks.write_report(report, str(tmp_path / kind), kind, skipped)
+        data = next((tmp_path / kind).glob("part-*")).read_text(encoding="utf-8").rstrip("\n").split("\n")
+        assert len(data) == lines and len(data[0].split(",")) == len(sinks.REPORTS[kind])
+    at = F.lit("2024-05-06 07:08:09").cast("timestamp")
+    names = spark.range(1).select(sinks.report_name("zion", "plain"), sinks.report_name("zion", "accuracy", at)).first()
+    assert tuple(names) == ("zion_processing_report.csv", "zion_processing_report_20240506_070809.csv")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.csv").write_text("﻿Type,Page,Number,Content\nfootnote,p1,1,\"a, b\"\n", encoding="utf-8")
+    (tmp_path / "in/b.csv").write_text("TYPE\tPAGE\tCONTENT\nMainText\tp2\tc, d\nMainText\tp3\n", encoding="utf-8")
+    back = {(r["type"], r["page"], r["content"]) for r in extracts.read_extract_csv(spark, str(tmp_path / "in")).collect()}
+    assert back == {("footnote", "p1", "a, b"), ("maintext", "p2", "c, d")}
+    votes = spark.createDataFrame([(1, 4), (2, 2), (3, 0)], "id int, anomaly_votes int")
+    sinks.write_votes(votes, str(tmp_path / "votes"))
+    assert [spark.read.csv(str(tmp_path / "votes" / n), header=True).count() for n in ("all", "unanimous", "anomalies")] == [3, 1, 2]
+
+
+def test_paper_metadata(spark):
+    titles = {
+        "עיון בתלמוד / A Study": ("עיון בתלמוד", "A Study"), "A Study / עיון בתלמוד": ("עיון בתלמוד", "A Study"), "A Study - Part Two - עיון": ("עיון", "A Study - Part Two"),
+        "רק עברית": ("רק עברית", ""), "Only English": ("", "Only English"), "Studies/ עיון בתלמוד": ("עיון בתלמוד", "Studies"), "abc עיון": ("abc עיון", ""),
+        "A Study: המשך הכותרת / עיון": ("עיון: המשך הכותרת", "A Study"),
+    }
+    got = spark.createDataFrame([(t,) for t in titles], "t string").select("t", *metadata.split_title(metadata.clean_title(F.col("t")))).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == titles
+    no = ["Front Matter", "Review of books", "English Summaries", "[ללא כותרת]", "שער קדמי", "תקצירים באנגלית", "ספרים שנתקבלו במערכת", "הערת המערכת"]
+    yes = ["A Review", "עיון בתלמוד", "הקדמה לספר"]
+    t = metadata.clean_title(F.col("t"))
+    out = {r[0]: r[1] for r in spark.createDataFrame([(x,) for x in no + yes], "t string").select("t", metadata.not_an_article(t, *metadata.split_title(t))).collect()}
+    assert [x for x in out if out[x]] == no
+    kinds = {"": None, "הקיצורים": metadata.ABBREVIATIONS, "רשימת מקורות": metadata.BIBLIOGRAPHY, "קיצורים ומקורות": metadata.ABBREVIATIONS, "[Footnotes]": None, "[אחר]": "אחר"}
+    out = {r[0]: r[1] for r in spark.createDataFrame([(x,) for x in kinds], "t string").select("t", metadata.reference_kind(F.col("t"))).collect()}
+    assert out == kinds
+    labels = {"אב\"ג = ספר": 'אבג', "word and more": "word", "a": "", "x, y": "", "כ\"י לונדון—British": "כי לונדון"}
+    out = {r[0]: r[1] for r in spark.createDataFrame([(x,) for x in labels], "t string").select("t", metadata.label_of(F.col("t"))).collect()}
+    assert out == labels
+    pages = {"pp. 7-19": ("7", "19"), "PP. 7–9": ("7", "9"), "p. 12": ("12", "12"), "odd": ("odd", "odd")}
+    out = {r[0]: (r[1], r[2]) for r in spark.createDataFrame([(x,) for x in pages], "t string").select("t", *metadata.page_range(F.col("t"))).collect()}
+    assert out == pages
+    row = spark.createDataFrame([(["a", "b", "c"], ["x  y [illegible text]"], "Vol. 12 (3)", "חוברת ד")], "a array<string>, s array<string>, v string, i string")
+    got = row.select(*metadata.authors_in(F.col("a")), metadata.abstract(F.col("s")), metadata.volume(F.col("v")), metadata.issue(F.col("i"))).first()
+    assert tuple(got) == ("a", "b, c", "x y `", "12", "ד")
+    assert [r[0] for r in spark.createDataFrame([("מקורות",), ("א. כתבי יד",), ("מאמר",)], "t string").select(metadata.is_subtype(F.col("t"))).collect()] == [True, True, False]
