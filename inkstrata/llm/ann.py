@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded_batches, written
 from .vectors import matrix, usable
 
 PARTS = 16
@@ -175,6 +175,7 @@ def search(
     gives an empty result; fewer than k candidates give fewer rows. Other columns are not read.
     """
     spark = vectors.sparkSession
+    bounded_batches(spark)
     good = usable(vectors.select("vec_id", "embedding")).dropDuplicates(["vec_id"])
     good = written(good.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding")), "vectors")
     asked = good.where(F.col("vec_id") % every == 0) if queries is None else usable(queries.select("vec_id", "embedding"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import CHUNK_BYTES, HashTable, SpanHasher, U64, mix, text_chunks, worker_cache
+from .common import CHUNK_BYTES, U64, HashTable, SpanHasher, bounded_batches, mix, text_chunks, worker_cache
 
 #: Fixed value: the public split pattern of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -493,6 +493,7 @@ def encode_documents(
     units end; what is written for a batch is cut by bytes, not by rows.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     with open(vocabulary_path, "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())
     fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import bounded_batches, components, written
 from .vectors import matrix, usable
 
 BLOCK = 1024
@@ -74,6 +74,7 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, height: floa
     counted, not expanded. Repeated rows of one vec_id count once (smallest label and vector); an
     empty table gives an empty result.
     """
+    bounded_batches(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label").where("vec_id is not null")
     ids = rows.groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("x")).select("vec_id", "x.label", "x.embedding")
     ids = written(ids, "vectors")

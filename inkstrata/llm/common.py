@@ -34,6 +34,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
+#: Bytes of a batch that goes to a Python worker. Without a bound ten thousand texts are one
+#: batch, which executor and worker each hold several times.
+BATCH_BYTES = 4_000_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches in bytes; a smaller bound that is set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    found = spark.conf.get(key, None)
+    kept = int(found) if found and str(found).isdigit() else None
+    if kept is None or kept > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here
     and a lost executor costs a re-read, not a recomputation."""

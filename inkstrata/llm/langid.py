@@ -16,14 +16,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import parse_ranks
-from .common import BROADCAST_ITEMS, LOWER, SpanHasher, U64, fold, text_chunks, word_spans, worker_cache, written
+from .common import BROADCAST_ITEMS, LOWER, U64, SpanHasher, bounded_batches, fold, text_chunks, word_spans, worker_cache, written
 
 UNKNOWN = "und"
 LONGEST = 16  # bytes of a piece
 SHORT = 24  # bytes; products over longer words are scaled at each step
 CELLS = 250_000  # positions times words handled at once
 SMOOTH = 0.05
-REMEMBERED = 4_000_000  # numbers: word scores times languages
+REMEMBERED = 2_000_000  # numbers: word scores times languages
 
 
 def lowered(buf: np.ndarray) -> np.ndarray:
@@ -282,6 +282,7 @@ def identify(docs: DataFrame, vocabulary_path: str, *, training: DataFrame | Non
     is ``und`` with score 0. Rows are scored one by one: repeated rows repeat, an empty table
     gives an empty one, very long texts are scored whole, other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     with open(vocabulary_path, "rb") as f:
         vocabulary = f.read()
     if training is None:

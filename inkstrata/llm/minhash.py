@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SpanHasher, U64, components, long_list, mix, text_chunks, with_checked_broadcast, word_spans, written
+from .common import LOWER, U64, SpanHasher, bounded_batches, components, long_list, mix, text_chunks, with_checked_broadcast, word_spans, written
 
 K = 32
 BLOCK = 1024
@@ -180,6 +180,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     """
     if percent < 80:
         raise ValueError("retained overlaps are set for similarities of 80 % and more")
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     made = written(_sketches(docs, words, k), "sketches")
     if not made.groupBy("doc_id").count().where("count > 1").isEmpty():

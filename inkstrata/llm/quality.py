@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, U64, fold, long_list, mix, text_chunks, word_spans, written
+from .common import U64, SpanHasher, bounded_batches, fold, long_list, mix, text_chunks, word_spans, written
 
 NAMES = [
     "log_bytes", "log_words", "word_bytes", "upper", "digit", "bang", "bar", "stop", "comma", "other_punct", "non_ascii",
@@ -186,6 +186,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
     nothing to learn from every score is 0.5. Repeated rows repeat; an empty table gives an
     empty one; other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     # statistics (160 bytes a document) are written once, for learning and for scoring
     stats = written(document_statistics(docs), "stats")
     wanted = labels.where(F.col("quality").isNotNull() & (fold("doc_id", 5) != 0))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, U64, mix, text_chunks, written
+from .common import U64, SpanHasher, bounded_batches, mix, text_chunks, written
 
 GRAM = 16
 CHUNK = 1_000_000
@@ -395,6 +395,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, *, with_text: bool = Fals
     unique: of repeated rows of one doc_id each loses what any of them must lose. An empty
     table gives an empty result; other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     spans = written(repeated(docs, length, large_group), "spans")
 
     def run(batches):

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, U64, fold, text_chunks, word_spans
+from .common import U64, SpanHasher, bounded_batches, fold, text_chunks, word_spans
 from .langid import lowered
 
 BITS = 18
@@ -142,6 +142,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, m
     scored ``threshold`` or more. Null and empty texts have no sentence: score 0. Repeated
     rows repeat; an empty table gives an empty one; other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     weights, bias = train(docs, labels.where(fold("doc_id", 5) != 0), max_rows)
     model = docs.sparkSession.sparkContext.broadcast((weights, bias))
 
