@@ -9,6 +9,9 @@ rest cannot reach it. Vectors are joined on filters and verified exactly.
 
 from __future__ import annotations
 
+from math import erfc, sqrt
+from statistics import NormalDist
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +23,8 @@ from .vectors import matrix, usable
 BLOCK = 1024
 AT_LEAST = 24
 LUMP = 4096
+OTHERS = 0.1
+HEIGHTS = (3.0, 4.75)
 
 
 class ProductCode:
@@ -53,26 +58,39 @@ class ProductCode:
             if run.sum() >= AT_LEAST:
                 ids = np.concatenate([i * self.size + by_b[: run[i]] for i in used])
             else:
-                both = (a[:, None] + b[None, :]).ravel()
-                ids = np.argpartition(-both, min(AT_LEAST, len(both)) - 1)[:AT_LEAST]
+                # the best are sums of the best of both parts
+                by_a, by_b = np.argsort(-a)[:AT_LEAST], by_b[:AT_LEAST]
+                both = (a[by_a, None] + b[None, by_b]).ravel()
+                best = np.argpartition(-both, min(AT_LEAST, len(both)) - 1)[:AT_LEAST]
+                ids = by_a[best // len(by_b)] * self.size + by_b[best % len(by_b)]
             out.append(np.sort(ids))
         return out
 
 
-def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, height: float = 3.0, expected: int = 40) -> DataFrame:
+def height_for(n: int) -> float:
+    """The filters' threshold, in standard deviations of a random inner product, at which a filter
+    that one of n vectors exceeds holds OTHERS unrelated ones on average; within bounds that keep
+    the number of codewords small."""
+    share = min(max(OTHERS / max(n, 1), _tail(HEIGHTS[1])), _tail(HEIGHTS[0]))
+    return NormalDist().inv_cdf(1 - share)
+
+
+def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, height: float | None = None, expected: int = 40) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each distinct vec_id.
 
     Vectors of one label (not null) are linked where their cosine in double precision is at
     least ``least``. ``height`` is the filters' threshold in standard deviations of a random
-    inner product and ``expected`` how many filters a vector exceeds on average; together
-    they give the number of directions, expected / P(normal > height). Of two vectors with
-    cosine 0.93 the second exceeds a filter of the first with probability 0.55, so that a
-    pair meets in more than 10 filters on average.
-
-    Null, zero and non-finite vectors, those of another length than most, and those without
-    label link with nothing. Equal vectors of one label are one class from the start and are
-    counted, not expanded. Repeated rows of one vec_id count once (smallest label and vector); an
-    empty table gives an empty result.
+    inner product (default: by the size of the largest label, so that few unrelated vectors
+    meet) and ``expected`` how many filters a vector exceeds on average; together they give the
+    number of directions, expected / P(normal > height). Of two vectors with cosine 0.93 the
+    second exceeds a filter of the first with probability 0.55 at a height of 3 and 0.36 at
+    4.75, so that a pair meets in more than 10 filters on average.
+
+    Filters are joined as numbers; vectors are sent only to filters that another vector of their
+    label exceeds too. Null, zero and non-finite vectors, those of another length than most, and
+    those without label link with nothing. Equal vectors of one label are one class from the
+    start and are counted, not expanded. Repeated rows of one vec_id count once (smallest label
+    and vector); an empty table gives an empty result; other columns are not read.
     """
     bounded_batches(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label").where("vec_id is not null")
@@ -81,49 +99,40 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, height: floa
     good = usable(ids.where("label is not null"))
     classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = written(classes, "classes")
-    n = classes.count()
-    dim = classes.select(F.size("embedding").alias("n")).first()["n"] if n else 1
-    share = float(_tail(height))
-    code = ProductCode(dim, int(np.ceil(np.sqrt(expected / share))), height)
+    some = classes.select(F.size("embedding").alias("n")).first()
+    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    height = height_for(largest) if height is None else height
+    code = ProductCode(some["n"] if some else 1, int(np.ceil(np.sqrt(expected / _tail(height)))), height)
     shared = vectors.sparkSession.sparkContext.broadcast(code)
 
     def spread(batches):
         for batch in batches:
-            for at in range(0, len(batch), 2000):
-                part = batch.slice(at, 2000)
-                x = matrix(part.column(3))
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                found = shared.value.filters(x)
-                size = np.array([len(f) for f in found])
-                row = np.repeat(np.arange(len(found)), size)
-                offs = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
-                flat = np.concatenate(found)
-                lists = pa.ListArray.from_arrays(offs, pa.array(flat.astype(np.int32)))
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), pa.array(flat.astype(np.int32)), part.column(1).take(take), part.column(2).take(take), part.column(3).take(take), lists.take(take)],
-                    names=["label", "filter", "rep", "copies", "embedding", "filters"],
-                )
-
-    kind = classes.schema["embedding"].dataType.simpleString()
+            for at in range(0, len(batch), 1000):
+                part = batch.slice(at, 1000)
+                x = matrix(part.column(1))
+                found = shared.value.filters(x / np.linalg.norm(x, axis=1, keepdims=True))
+                offs = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(found).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, part.column(2)], names=["rep", "filters", "label"])
+
     label = classes.schema["label"].dataType.simpleString()
-    spreads = classes.select("label", "rep", "copies", "embedding").mapInArrow(
-        spread, f"label {label}, filter int, rep bigint, copies bigint, embedding {kind}, filters array<int>"
-    )
+    exceeded = written(classes.select("rep", "embedding", "label").mapInArrow(spread, f"rep bigint, filters array<int>, label {label}"), "filters")
+    # which filters a vector shares with another: numbers only
+    each = exceeded.select("rep", "label", F.explode("filters").alias("filter"))
+    sizes = each.groupBy("label", "filter").agg(F.count("*").alias("n")).where("n >= 2")
+    met = each.join(sizes, ["label", "filter"]).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("filter", "n"))).alias("met"))
+    met = written(met.withColumn("filters", F.col("met")["filter"]), "met")
+    total = met.agg(F.sum(F.size("met"))).first()[0] or 0
     # A filter with many vectors is cut into blocks and each pair of blocks is a group; filters
     # with few are put together into groups of about LUMP rows.
-    ids_only = classes.select("label", "rep", "copies", "embedding").mapInArrow(_only_ids(shared), f"label {label}, filter int")
-    sizes = ids_only.groupBy("label", "filter").agg(F.count("*").alias("n")).where("n >= 2")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    lumps = max(1, n * expected // LUMP)
     both = F.xxhash64("label", "filter")
     grouped = (
-        spreads.join(sizes, ["label", "filter"])
-        .withColumn("blocks", blocks)
+        met.join(classes, "rep").withColumn("x", F.explode("met")).select("label", "rep", "copies", "embedding", "filters", "x.*")
+        .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
         .withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
-        .withColumn("lump", F.when(F.col("blocks") > 1, both).otherwise(F.pmod(both, F.lit(lumps))))
+        .withColumn("lump", F.when(F.col("blocks") > 1, both).otherwise(F.pmod(both, F.lit(max(1, total // LUMP)))))
         .drop("n", "blocks", "other")
     )
     found = grouped.groupBy("lump", "lo", "hi").applyInArrow(_verify(least), "u bigint, v bigint, n bigint")
@@ -143,24 +152,9 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.93, height: floa
 
 
 def _tail(z: float) -> float:
-    from math import erfc, sqrt
-
     return erfc(z / sqrt(2)) / 2
 
 
-def _only_ids(shared):
-    def run(batches):
-        for batch in batches:
-            for at in range(0, len(batch), 2000):
-                part = batch.slice(at, 2000)
-                x = matrix(part.column(3))
-                found = shared.value.filters(x / np.linalg.norm(x, axis=1, keepdims=True))
-                row = np.repeat(np.arange(len(found)), [len(f) for f in found])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(np.concatenate(found).astype(np.int32))], names=["label", "filter"])
-
-    return run
-
-
 def _verify(least: float):
     """Of the filters of one group: (u, null, n): u's linked vectors that meet it here first,
     counted with copies; and (u, v, 0): links that join what this group links, no more than its
