@@ -1,9 +1,9 @@
 """Clustering, embedding and anomaly operators.
 
 Linear ones (scaling, PCA, k-means, mixtures, Mahalanobis, forests' scoring) run distributed.
-Those that compare all pairs (neighbours, LOF, DBSCAN, silhouette) compare every row with a
-reference matrix that is broadcast; its size is checked against ``MAX_REFERENCE`` rows, as
-the analyses they serve run on bounded samples.
+Those that compare all pairs (neighbours, LOF, DBSCAN, silhouette) cut the rows into blocks and
+compare each block with each, one matrix product a pair of blocks; nothing is broadcast, and
+their work grows with the square of the rows.
 """
 
 from __future__ import annotations
@@ -16,10 +16,11 @@ import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans, PowerIterationClustering
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MAX_REFERENCE = 50_000
+BLOCK = 4096
+PAIRS = "_mine", "_other"
 
 
 def standard_scaled(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -146,36 +147,54 @@ def meta_clusters(df: DataFrame, cluster: str, vec: str, clusters: int, name: st
 # --- neighbours -----------------------------------------------------------------------
 
 
-def _reference(df: DataFrame, key: str, vec: str):
-    n = df.count()
-    if n > MAX_REFERENCE:
-        raise ValueError(f"{n} rows: take a sample of at most {MAX_REFERENCE}")
-    got = df.select(key, vec).orderBy(key).toPandas()
-    x = np.stack(got[vec].to_numpy()).astype(float) if n else np.zeros((0, 0))
-    return df.sparkSession.sparkContext.broadcast((got[key].to_numpy(), x))
+def _with_blocks(df: DataFrame, key: str, compare, schema: str) -> DataFrame:
+    """``compare`` of two pandas frames for every pair of blocks of rows: rows of the first frame
+    are each in one block, and meet every block."""
+    n = max(1, -(-df.count() // BLOCK))
+    own = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = df.withColumn("_mine", own).withColumn("_other", every)
+    right = df.toDF(*df.columns).withColumn("_other", own).withColumn("_mine", every)
+    return left.groupBy(*PAIRS).cogroup(right.groupBy(*PAIRS)).applyInPandas(compare, schema)
 
 
-def knn_edges(df: DataFrame, key: str, vec: str, k: int) -> DataFrame:
-    """(src, dst, rank, dist): the k nearest of each row, itself excluded, ties by key."""
-    shared = _reference(df, key, vec)
+def _matrix(f: pd.DataFrame, vec: str) -> np.ndarray:
+    return np.stack(f[vec].to_numpy()).astype(float)
 
-    def run(frames):
-        ids, x = shared.value
-        for f in frames:
-            if not len(f):
-                continue
-            for at in range(0, len(f), 256):
-                part = f.iloc[at : at + 256]
-                y = np.stack(part[vec].to_numpy()).astype(float)
-                rows = []
-                for i, v in zip(part[key].to_numpy(), y, strict=True):
-                    d = np.sqrt(((x - v) ** 2).sum(axis=1))
-                    d[ids == i] = np.inf
-                    best = np.lexsort((ids, d))[: min(k, len(ids) - 1)]
-                    rows.append(pd.DataFrame({"src": i, "dst": ids[best], "rank": np.arange(1, len(best) + 1), "dist": d[best]}))
-                yield pd.concat(rows)
 
-    return df.select(key, vec).mapInPandas(run, "src bigint, dst bigint, rank int, dist double")
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of two matrices, by one product; off by rounding only."""
+    return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ y.T + (y * y).sum(axis=1), 0)
+
+
+def _margin(x: np.ndarray, y: np.ndarray) -> float:
+    return 1e-9 * (1 + float((x * x).sum(axis=1).max()) + float((y * y).sum(axis=1).max()))
+
+
+def knn_edges(df: DataFrame, key: str, vec: str, k: int) -> DataFrame:
+    """(src, dst, rank, dist): the k nearest of each row, itself excluded, ties by key."""
+    schema = "src bigint, dst bigint, dist double"
+
+    def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"src": np.zeros(0, np.int64), "dst": np.zeros(0, np.int64), "dist": np.zeros(0)})]
+        if len(a) and len(b):
+            y, other = _matrix(b, vec), b[key].to_numpy()
+            for low in range(0, len(a), 512):
+                x, own = _matrix(a.iloc[low : low + 512], vec), a[key].to_numpy()[low : low + 512]
+                d = _squares(x, y)
+                d[own[:, None] == other[None, :]] = np.inf
+                most = np.partition(d, k - 1, axis=1)[:, k - 1] if len(other) > k else np.full(len(x), np.finfo(float).max)
+                row, at = np.nonzero(d <= (most + _margin(x, y))[:, None])  # the product picks, exact distances rank
+                dist = np.sqrt(((x[row] - y[at]) ** 2).sum(axis=1))
+                order = np.lexsort((other[at], dist, row))
+                row, at, dist = row[order], at[order], dist[order]
+                keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+                out.append(pd.DataFrame({"src": own[row[keep]], "dst": other[at[keep]], "dist": dist[keep]}))
+        return pd.concat(out)
+
+    found = _with_blocks(df.select(key, vec), key, near, schema)
+    rank = F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("src", "dst", "rank", "dist")
 
 
 def lof(edges: DataFrame, k: int) -> DataFrame:
@@ -190,17 +209,19 @@ def lof(edges: DataFrame, k: int) -> DataFrame:
 def dbscan(df: DataFrame, key: str, vec: str, eps: float, min_samples: int, name: str = "cluster") -> DataFrame:
     """Clusters 0.. by smallest core key, -1 for noise. A border row joins the cluster of its
     nearest core row, ties by key."""
-    shared = _reference(df, key, vec)
-
-    def run(frames):
-        ids, x = shared.value
-        for f in frames:
-            for i, v in zip(f[key].to_numpy(), f[vec].to_numpy(), strict=True):
-                d = np.sqrt(((x - np.asarray(v, float)) ** 2).sum(axis=1))
-                near = np.flatnonzero(d <= eps)
-                yield pd.DataFrame({"src": i, "dst": ids[near], "dist": d[near]})
-
-    edges = df.select(key, vec).mapInPandas(run, "src bigint, dst bigint, dist double")
+    def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"src": np.zeros(0, np.int64), "dst": np.zeros(0, np.int64), "dist": np.zeros(0)})]
+        if len(a) and len(b):
+            y, other = _matrix(b, vec), b[key].to_numpy()
+            for low in range(0, len(a), 512):
+                x, own = _matrix(a.iloc[low : low + 512], vec), a[key].to_numpy()[low : low + 512]
+                row, at = np.nonzero(_squares(x, y) <= eps * eps + _margin(x, y))
+                dist = np.sqrt(((x[row] - y[at]) ** 2).sum(axis=1))
+                keep = dist <= eps
+                out.append(pd.DataFrame({"src": own[row[keep]], "dst": other[at[keep]], "dist": dist[keep]}))
+        return pd.concat(out)
+
+    edges = _with_blocks(df.select(key, vec), key, near, "src bigint, dst bigint, dist double")
     edges = _kept(edges)
     core = edges.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("src")
     among = _kept(edges.join(core, "src", "left_semi").join(core.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst"))
@@ -223,8 +244,6 @@ def dbscan(df: DataFrame, key: str, vec: str, eps: float, min_samples: int, name
 
 
 def _ordered(*columns: str):
-    from pyspark.sql import Window
-
     return Window.orderBy(*columns)
 
 
@@ -233,6 +252,8 @@ def _kept(df: DataFrame) -> DataFrame:
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="inkstrata-"))
     return df.checkpoint()
 
@@ -279,33 +300,28 @@ def calinski_davies(df: DataFrame, vec: str, cluster: str) -> DataFrame:
 
 
 def silhouette(df: DataFrame, key: str, vec: str, cluster: str) -> DataFrame:
-    """(silhouette): the mean Euclidean silhouette of a bounded sample."""
-    ref = df.select(F.col(key), F.struct(vec, cluster).alias("_x"))
-    n = ref.count()
-    if n > MAX_REFERENCE:
-        raise ValueError(f"{n} rows: take a sample of at most {MAX_REFERENCE}")
-    got = df.select(vec, cluster).toPandas()
-    shared = df.sparkSession.sparkContext.broadcast((np.stack(got[vec].to_numpy()).astype(float), got[cluster].to_numpy()))
-
-    def run(frames):
-        x, label = shared.value
-        names, at = np.unique(label, return_inverse=True)
-        size = np.bincount(at)
-        for f in frames:
-            out = []
-            for v, c in zip(f[vec].to_numpy(), f[cluster].to_numpy(), strict=True):
-                d = np.sqrt(((x - np.asarray(v, float)) ** 2).sum(axis=1))
-                mean = np.bincount(at, d)
-                own = int(np.searchsorted(names, c))
-                if size[own] < 2:
-                    out.append(0.0)
-                    continue
-                a = mean[own] / (size[own] - 1)
-                b = np.delete(mean / size, own).min() if len(names) > 1 else a
-                out.append((b - a) / max(a, b) if max(a, b) else 0.0)
-            yield pd.DataFrame({"s": out})
-
-    return df.select(vec, cluster).mapInPandas(run, "s double").agg(F.avg("s").alias("silhouette"))
+    """(silhouette): the mean Euclidean silhouette; a row alone in its cluster counts 0."""
+    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"id": np.zeros(0, np.int64), "own": np.zeros(0, np.int64), "to": np.zeros(0, np.int64), "d": np.zeros(0)})]
+        if len(a) and len(b):
+            names, at = np.unique(b["_c"].to_numpy(), return_inverse=True)
+            belongs = np.zeros((len(b), len(names)))
+            belongs[np.arange(len(b)), at] = 1
+            y, other = _matrix(b, vec), b[key].to_numpy()
+            for low in range(0, len(a), 512):
+                part = a.iloc[low : low + 512]
+                d = np.sqrt(_squares(_matrix(part, vec), y))
+                d[part[key].to_numpy()[:, None] == other[None, :]] = 0
+                total = d @ belongs
+                out.append(pd.DataFrame({"id": np.repeat(part[key].to_numpy(), len(names)), "own": np.repeat(part["_c"].to_numpy(), len(names)), "to": np.tile(names, len(part)), "d": total.ravel()}))
+        return pd.concat(out)
+
+    rows = df.select(key, vec, F.col(cluster).cast("bigint").alias("_c"))
+    size = rows.groupBy(F.col("_c").alias("to")).agg(F.count("*").alias("n"))
+    d = _with_blocks(rows, key, sums, "id bigint, own bigint, to bigint, d double").groupBy("id", "own", "to").agg(F.sum("d").alias("d"))
+    d = d.join(size, "to").withColumn("mean", F.when(F.col("own") == F.col("to"), F.try_divide("d", F.col("n") - 1)).otherwise(F.col("d") / F.col("n")))
+    one = d.groupBy("id").agg(F.max(F.when(F.col("own") == F.col("to"), F.col("mean"))).alias("a"), F.min(F.when(F.col("own") != F.col("to"), F.col("mean"))).alias("b"))
+    return one.agg(F.avg(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("silhouette"))
 
 
 def trustworthiness(x: np.ndarray, y: np.ndarray, k: int = 5) -> float:
@@ -375,10 +391,37 @@ def _scored(df: DataFrame, vec: str, score, name: str) -> DataFrame:
     return df.withColumn(name, F.pandas_udf(run, "double")(F.col(vec)))
 
 
+def quantile(df: DataFrame, column: str, q: float, few: int = 10_000, bins: int = 1000) -> float:
+    """The exact quantile with linear interpolation, without sorting all rows: histograms narrow
+    the range around its two order statistics until few values are left."""
+    x = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
+    low, high, n = x.agg(F.min("x"), F.max("x"), F.count("*")).first()
+    if not n:
+        return math.nan
+    place = q * (n - 1)
+    return (1 - place % 1) * _ranked(x, math.floor(place), low, high, few, bins) + (place % 1) * (_ranked(x, math.ceil(place), low, high, few, bins) if place % 1 else 0.0)
+
+
+def _ranked(x: DataFrame, rank: int, low: float, high: float, few: int, bins: int) -> float:
+    below = 0  # values under low
+    while low < high:
+        inside = x.where((F.col("x") >= low) & (F.col("x") <= high))
+        if inside.count() <= few:
+            return sorted(r["x"] for r in inside.collect())[rank - below]
+        width = (high - low) / bins
+        each = F.least(F.floor((F.col("x") - low) / width), F.lit(bins - 1)).alias("bin")
+        for r in inside.groupBy(each).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("bin").collect():
+            if rank < below + r["n"]:
+                low, high = r["low"], r["high"]
+                break
+            below += r["n"]
+    return low
+
+
 def _flag_top(df: DataFrame, score: str, share: float, name: str) -> DataFrame:
     """-1 for the ``share`` of rows with the largest scores, 1 for the others."""
-    cut = df.agg(F.percentile(score, 1 - share).alias("_cut"))
-    return df.crossJoin(F.broadcast(cut)).withColumn(name, F.when(F.col(score) > F.col("_cut"), -1).otherwise(1)).drop("_cut")
+    cut = quantile(df, score, 1 - share)
+    return df.withColumn(name, F.when(F.col(score) > cut, -1).otherwise(1))
 
 
 def isolation_forest(df: DataFrame, key: str, vec: str, share: float = 0.01, trees: int = 100, name: str = "anomaly_iforest", max_sample: int = 20_000) -> DataFrame:
@@ -403,8 +446,9 @@ def elliptic_envelope(df: DataFrame, vec: str, share: float = 0.01, name: str =
 
 
 def one_class(df: DataFrame, key: str, vec: str, share: float = 0.01, features: int = 256, gamma: float | None = None, name: str = "anomaly_svm", max_sample: int = 20_000) -> DataFrame:
-    """Distance from the mean in random Fourier features of a Gaussian kernel, cut at the
-    share nu: the one-class machine with all rows as support, an approximation."""
+    """Distance from the mean of all rows in random Fourier features of a Gaussian kernel, cut at
+    the share nu: the one-class machine with all rows as support, an approximation. Only the
+    kernel's width comes from a sample; the mean is summed by partition."""
     from .profile import keyed_sample
 
     sample = np.stack(keyed_sample(df.select(key, vec), key, max_sample).toPandas()[vec].to_numpy()).astype(float)
@@ -412,7 +456,16 @@ def one_class(df: DataFrame, key: str, vec: str, share: float = 0.01, features:
     rng = np.random.default_rng(0)
     w, b = rng.normal(size=(sample.shape[1], features)) * math.sqrt(2 * gamma), rng.uniform(0, 2 * math.pi, features)
     phi = lambda x: np.cos(x @ w + b)
-    mean = phi(sample).mean(axis=0)
+
+    def sums(frames):
+        total, n = np.zeros(features), 0
+        for f in frames:
+            if len(f):
+                total, n = total + phi(_matrix(f, vec)).sum(axis=0), n + len(f)
+        yield pd.DataFrame({"i": np.arange(features), "s": total, "n": n})
+
+    rows = df.select(vec).mapInPandas(sums, "i int, s double, n bigint").groupBy("i").agg((F.sum("s") / F.sum("n")).alias("m")).orderBy("i").collect()
+    mean = np.array([r["m"] for r in rows])
     return _flag_top(_scored(df, vec, lambda x: -(phi(x) @ mean), "_score"), "_score", share, name).drop("_score")
 
 

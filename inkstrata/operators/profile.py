@@ -58,3 +58,41 @@ def normalised_counts(df: DataFrame, column: str, digits: int = 3) -> DataFrame:
 def keyed_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows by a keyed hash: the same rows on every engine run and partitioning."""
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+
+
+def described(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, count, mean, std, min, q25, q50, q75, max) of numeric columns."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "feature", "value").where("value is not null")
+    q = F.percentile("value", [0.25, 0.5, 0.75])
+    one = long.groupBy("feature").agg(F.count("*").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), q.alias("q"), F.max("value").alias("max"))
+    return one.select("feature", "count", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
+
+
+def columns_like(df: DataFrame, prefix: str = "", numeric: bool = False) -> list[str]:
+    """Names that begin with ``prefix``, if asked for only of numeric columns."""
+    kinds = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
+    return [c for c, kind in df.dtypes if c.startswith(prefix) and (not numeric or kind.startswith(kinds))]
+
+
+def group_rate(df: DataFrame, by: str, flag, name: str = "rate") -> DataFrame:
+    """Percentage of each group's rows on which the flag holds."""
+    return df.where(F.col(by).isNotNull()).groupBy(by).agg((F.avg(flag.cast("double")) * 100).alias(name))
+
+
+def top_groups(df: DataFrame, by: str, value: str, top: int = 10, digits: int = 3) -> DataFrame:
+    """(by, count, mean) of the groups with the largest means."""
+    one = df.groupBy(by).agg(F.count(value).alias("count"), F.round(F.avg(value), digits).alias("mean"))
+    return one.orderBy(F.desc("mean"), by).limit(top)
+
+
+def wide(df: DataFrame, row: str, column: str, values: list, value: str) -> DataFrame:
+    """Means of ``value`` in a column for each of a fixed list of column values; a missing cell
+    is 0."""
+    cells = df.groupBy(row).pivot(column, values).agg(F.avg(value))
+    return cells.fillna(0.0, [str(v) for v in values])
+
+
+def transposed(df: DataFrame, key: str, columns: list[str], keys: list) -> DataFrame:
+    """Columns as rows: (feature, a column for each of a fixed list of key values)."""
+    long = melted(df, [key], columns)
+    return long.groupBy("feature").pivot(key, keys).agg(F.first("value"))

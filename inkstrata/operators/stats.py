@@ -4,6 +4,7 @@ from the incomplete beta function on the driver-size result rows."""
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -41,21 +42,34 @@ def welch(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
     )
 
 
+def counted_before(counts: DataFrame, by: list[str], value: str, n: str, name: str, ranges: int = 64) -> DataFrame:
+    """Sum of ``n`` over the smaller values of a group, for rows of different values. Values are
+    cut into ranges at approximate quantiles; ranges are summed first, so that only a range's
+    values are ordered in one task, however many a group has."""
+    cuts = counts.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
+    cuts = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    rows = counts.withColumn("_range", F.size(F.filter(cuts, lambda c: c < F.col(value))))
+    sums = rows.groupBy(*by, "_range").agg(F.sum(n).alias("_sum"))
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")  # at most ``ranges`` rows a group
+    within = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(sums, [*by, "_range"])
+    return rows.withColumn(name, F.col("_base") + F.coalesce(F.sum(n).over(within), F.lit(0))).drop("_base", "_range")
+
+
 def average_ranks(df: DataFrame, value: str, by: list[str], name: str = "rank") -> DataFrame:
     """Tie-averaged ranks. Values are counted and the counts prefix-summed, so that only the
     different values of a group are ordered."""
     counts = df.groupBy(*by, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn(name, F.coalesce(F.sum("_c").over(w), F.lit(0)) + (F.col("_c") + 1) / 2.0)
-    return df.join(ranks.drop("_c"), [*by, value])
+    ranks = counted_before(counts, by, value, "_c", "_b").withColumn(name, F.col("_b") + (F.col("_c") + 1) / 2.0)
+    return df.join(ranks.drop("_c", "_b"), [*by, value])
 
 
 def mann_whitney(df: DataFrame, flag: Column, value: str) -> DataFrame:
     """(u_stat, z) of the flagged against the other rows, two-sided, with tie correction."""
     rows = df.where(F.col(value).isNotNull()).select(flag.cast("boolean").alias("f"), F.col(value).alias("x"))
     counts = rows.groupBy("x").agg(F.count("*").alias("c"), F.count_if("f").alias("a"))
-    w = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("r", F.coalesce(F.sum("c").over(w), F.lit(0)) + (F.col("c") + 1) / 2.0)
+    ranked = counted_before(counts, [], "x", "c", "b").withColumn("r", F.col("b") + (F.col("c") + 1) / 2.0)
     s = ranked.agg(F.sum(F.col("r") * F.col("a")).alias("ra"), F.sum("a").alias("n1"), F.sum(F.col("c") - F.col("a")).alias("n2"), F.sum(F.pow(F.col("c"), F.lit(3.0)) - F.col("c")).alias("ties"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
@@ -77,6 +91,79 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
 
 
+# --- normality ------------------------------------------------------------------------
+
+
+def shapiro_wilk(x: list[float]) -> tuple[float, float]:
+    """(W, p) of 3 to 5,000 values by Royston's approximation; (nan, nan) for fewer, (1, 1) where
+    all are equal."""
+    n = len(x)
+    if n < 3:
+        return math.nan, math.nan
+    x = sorted(x)
+    middle = sum(x) / n
+    spread = sum((v - middle) ** 2 for v in x)
+    if spread <= 0:
+        return 1.0, 1.0
+    normal = NormalDist()
+    m = [normal.inv_cdf((i + 1 - 0.375) / (n + 0.25)) for i in range(n)]
+    mm = sum(v * v for v in m)
+    u = n**-0.5
+    a = [0.0] * n
+    if n == 3:
+        a[0], a[2] = -math.sqrt(0.5), math.sqrt(0.5)
+    else:
+        last = _poly([m[-1] / math.sqrt(mm), 0.221157, -0.147981, -2.071190, 4.434685, -2.706056], u)
+        first = 2 if n > 5 else 1
+        before = _poly([m[-2] / math.sqrt(mm), 0.042981, -0.293762, -1.752461, 5.682633, -3.582633], u)
+        if first == 2:
+            phi = (mm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * before**2)
+            a[-2], a[1] = before, -before
+        else:
+            phi = (mm - 2 * m[-1] ** 2) / (1 - 2 * last**2)
+        a[-1], a[0] = last, -last
+        for i in range(first, n - first):
+            a[i] = m[i] / math.sqrt(phi)
+    w = min(1.0, sum(c * v for c, v in zip(a, x, strict=True)) ** 2 / spread)
+    if n == 3:
+        return w, max(0.0, min(1.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))))
+    if w == 1.0:
+        return w, 1.0
+    if n <= 11:
+        g, centre, scale = 0.459 * n - 2.273, _poly([0.5440, -0.39978, 0.025054, -6.714e-4], n), math.exp(_poly([1.3822, -0.77857, 0.062767, -0.0020322], n))
+        if math.log(1 - w) >= g:
+            return w, 0.0
+        z = (-math.log(g - math.log(1 - w)) - centre) / scale
+    else:
+        log = math.log(n)
+        centre, scale = _poly([-1.5861, -0.31082, -0.083751, 0.0038915], log), math.exp(_poly([-0.4803, -0.082676, 0.0030302], log))
+        z = (math.log(1 - w) - centre) / scale
+    return w, 1 - normal.cdf(z)
+
+
+def _poly(c: list[float], x: float) -> float:
+    return sum(v * x**i for i, v in enumerate(c))
+
+
+def normality(df: DataFrame, key: str, columns: list[str], most: int = 5000, seed: int = 42) -> DataFrame:
+    """(feature, n, w, p_value) of the test on at most ``most`` rows of each column, chosen by a
+    keyed hash among those that are not null, so that reruns agree."""
+    long = df.select(key, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot([key], columns, "feature", "value").where("value is not null")
+    total = long.groupBy("feature").agg(F.count("*").alias("_n"))  # a row for each column
+    # only hashes in the lowest part, which holds twice as many rows as are wanted, are ranked
+    h = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40))
+    low = long.withColumn("_h", h).join(F.broadcast(total), "feature").where(F.col("_h") < F.greatest(F.lit(2.0 * most) / F.col("_n"), F.when(F.col("_n") <= 4 * most, 1.0).otherwise(0.0)) * (1 << 40))
+    rank = F.row_number().over(Window.partitionBy("feature").orderBy("_h", key))
+    chosen = low.withColumn("_r", rank).where(F.col("_r") <= most)
+
+    def test(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([shapiro_wilk(list(v)) for v in values], columns=["w", "p_value"])
+
+    one = chosen.groupBy("feature").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("value")).alias("_v"))
+    tested = F.pandas_udf(test, "w double, p_value double", F.PandasUDFType.SCALAR)(F.col("_v"))
+    return one.select("feature", "n", tested.alias("x")).select("feature", "n", "x.*")
+
+
 # --- p-values -------------------------------------------------------------------------
 
 

@@ -213,6 +213,98 @@ def deterministic_sample(spark, sf_dir):
     return profile.keyed_sample(Tables(spark, sf_dir).customer, "c_custkey", 100).select("c_custkey", "c_mktsegment")
 
 
+@query("""SELECT feature, count(v)::BIGINT AS count, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, min(v) AS min, quantile_cont(v, 0.25) AS q25,
+quantile_cont(v, 0.5) AS q50, quantile_cont(v, 0.75) AS q75, max(v) AS max FROM (SELECT 'l_quantity' AS feature, l_quantity AS v FROM lineitem UNION ALL
+SELECT 'l_discount', l_discount FROM lineitem UNION ALL SELECT 'l_tax', l_tax FROM lineitem) GROUP BY feature""")
+def describe_columns(spark, sf_dir):
+    df = profile.described(Tables(spark, sf_dir).lineitem, ["l_quantity", "l_discount", "l_tax"])
+    return df.withColumns({c: F.round(c, 6) for c in ("mean", "std")})
+
+
+@query("SELECT c_nationkey, round(avg(CASE WHEN c_acctbal < 0 THEN 1.0 ELSE 0.0 END) * 100, 6) AS rate FROM customer GROUP BY 1")
+def group_rate(spark, sf_dir):
+    return profile.group_rate(Tables(spark, sf_dir).customer, "c_nationkey", F.col("c_acctbal") < 0).select("c_nationkey", F.round("rate", 6).alias("rate"))
+
+
+@query("SELECT p_brand, count(p_retailprice)::BIGINT AS count, round(avg(p_retailprice), 3) AS mean FROM part GROUP BY 1 ORDER BY mean DESC, p_brand LIMIT 10")
+def top_groups(spark, sf_dir):
+    return profile.top_groups(Tables(spark, sf_dir).part, "p_brand", "p_retailprice")
+
+
+@query("SELECT l_linenumber, " + ", ".join(f"round(coalesce(avg(l_quantity) FILTER (l_returnflag = '{f}' AND l_linestatus = 'O'), 0), 6) AS \"{f}\"" for f in "ANR") + " FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1")
+def wide_profile(spark, sf_dir):
+    df = profile.wide(Tables(spark, sf_dir).lineitem.where("l_linestatus = 'O'"), "l_linenumber", "l_returnflag", ["A", "N", "R"], "l_quantity")
+    return df.select("l_linenumber", *[F.round(c, 6).alias(c) for c in "ANR"])
+
+
+@query("""WITH m AS (SELECT l_returnflag, avg(l_quantity) AS l_quantity, avg(l_tax) AS l_tax FROM lineitem GROUP BY 1)
+SELECT f AS feature, """ + ", ".join(f"round(max(CASE WHEN l_returnflag = '{k}' THEN v END), 6) AS \"{k}\"" for k in "ANR") + """
+FROM (SELECT l_returnflag, unnest(['l_quantity', 'l_tax']) AS f, unnest([l_quantity, l_tax]) AS v FROM m) GROUP BY f""")
+def transposed_means(spark, sf_dir):
+    m = Tables(spark, sf_dir).lineitem.groupBy("l_returnflag").agg(F.avg("l_quantity").alias("l_quantity"), F.avg("l_tax").alias("l_tax"))
+    return profile.transposed(m, "l_returnflag", ["l_quantity", "l_tax"], ["A", "N", "R"]).select("feature", *[F.round(c, 6).alias(c) for c in "ANR"])
+
+
+_BANDS = "CASE p_size % 14 " + " ".join(f"WHEN {i} THEN '{b}'" for i, b in enumerate(recode.AGE_BANDS)) + " ELSE 'unknown' END"
+_DIABETIC = ["No", "Yes", "No, borderline diabetes", "Yes (during pregnancy)", "0", "1", "other"]
+
+
+@query(f"""WITH s AS (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'Yes' WHEN p_size % 3 = 1 THEN 'No' ELSE 'Perhaps' END AS answer,
+ CASE p_size % 3 WHEN 0 THEN 'Female' WHEN 1 THEN 'Male' ELSE 'other' END AS s, {_BANDS} AS band, list_extract({_DIABETIC}, (p_size % 7 + 1)::BIGINT) AS d FROM part)
+SELECT p_partkey, CASE answer WHEN 'Yes' THEN '1' WHEN 'No' THEN '0' ELSE answer END AS answer, coalesce(CASE s WHEN 'Female' THEN 0 WHEN 'Male' THEN 1 END, -1) AS sex,
+coalesce(CASE band {' '.join(f"WHEN '{b}' THEN {m}" for b, m in zip(recode.AGE_BANDS, recode.AGE_MIDPOINTS, strict=True))} END, -1) AS midpoint,
+coalesce(CASE band {' '.join(f"WHEN '{b}' THEN {i}" for i, b in enumerate(recode.AGE_BANDS))} END, -1) AS ordinal,
+CASE d WHEN 'No' THEN 0.0 WHEN '0' THEN 0.0 WHEN 'No, borderline diabetes' THEN 0.33 WHEN 'Yes (during pregnancy)' THEN 0.67 WHEN '1' THEN 1.0 WHEN 'Yes' THEN 1.0 END::DOUBLE AS diabetic FROM s""")
+def survey_recodes(spark, sf_dir):
+    n = F.col("p_size")
+    s = Tables(spark, sf_dir).part.select(
+        "p_partkey", F.when(n % 3 == 0, "Yes").when(n % 3 == 1, "No").otherwise("Perhaps").alias("answer"), F.when(n % 3 == 0, "Female").when(n % 3 == 1, "Male").otherwise("other").alias("s"),
+        F.coalesce(F.get(F.array(*map(F.lit, recode.AGE_BANDS)), n % 14), F.lit("unknown")).alias("band"), F.get(F.array(*map(F.lit, _DIABETIC)), n % 7).alias("d"),
+    )
+    s = recode.yes_no(s.select("p_partkey", "answer")).join(s.drop("answer"), "p_partkey")
+    known = {"sex": recode.sex(F.col("s")), "midpoint": recode.age_midpoint(F.col("band")), "ordinal": recode.age_ordinal(F.col("band"))}
+    return s.select("p_partkey", "answer", *[F.coalesce(c, F.lit(-1)).alias(n) for n, c in known.items()], recode.diabetic(F.col("d")).alias("diabetic"))
+
+
+@query("""WITH s AS (SELECT p_partkey, p_size AS a, p_size % 5 AS b, p_size / 2500.0 AS p FROM part)
+SELECT p_partkey, CASE WHEN b = 0 THEN 'Infinity'::DOUBLE ELSE round((a - b) / b::DOUBLE * 100, 6) END AS deviation, round(-log10(CASE WHEN b = 0 THEN 1e-300 ELSE p END), 6) AS strength,
+CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS stars,
+CASE WHEN a > 0 AND b > 0 THEN printf('%.1f%%', a / b::DOUBLE * 100) ELSE '' END AS accuracy,
+coalesce((CASE WHEN b = 0 AND a > 0 THEN 100.0 WHEN b = 0 THEN 0.0 ELSE abs(a - b) / b::DOUBLE * 100 END > 8) AND (abs(a - a % 7) > 3 OR abs(a - b) > 3), false) AS differs FROM s""")
+def report_marks(spark, sf_dir):
+    a, b = F.col("p_size"), F.col("p_size") % 5
+    p = a / F.lit(2500.0)
+    return Tables(spark, sf_dir).part.select(
+        "p_partkey", F.round(recode.percent_deviation(a.cast("double"), b), 6).alias("deviation"), F.round(recode.minus_log10(F.when(b == 0, 0.0).otherwise(p)), 6).alias("strength"),
+        recode.significance(p).alias("stars"), recode.accuracy_percent(a, b).alias("accuracy"), recode.report_difference(a, a % 7, b).alias("differs"),
+    )
+
+
+@query("""SELECT d.doc_id, coalesce(l.quality, -1) AS quality, l.doc_id IS NOT NULL AS labelled FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+WHERE EXISTS (SELECT 1 FROM (SELECT source FROM documents GROUP BY source HAVING count(*) >= 2) s WHERE s.source = d.source)""")
+def attached_labels(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    often = t.documents.groupBy("source").agg(F.count("*").alias("n")).where("n >= 2")
+    labels = t.labels.select("doc_id", "quality", F.lit(True).alias("labelled"))
+    out = t.documents.select("doc_id", "source").join(often, "source", "left_semi").join(labels, "doc_id", "left")
+    return out.select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("labelled", F.lit(False)).alias("labelled"))
+
+
+@query("""SELECT event_type, count(*)::BIGINT AS n_events, count(DISTINCT user_id)::BIGINT AS n_users FROM (SELECT event_type, user_id FROM events WHERE value IS NOT NULL AND event_type IN ('click', 'purchase', 'view')
+UNION ALL SELECT event_type, user_id FROM events WHERE value > 50) GROUP BY 1 ORDER BY n_events DESC, event_type LIMIT 10""")
+def value_counts(spark, sf_dir):
+    e = Tables(spark, sf_dir).events
+    rows = e.where(F.col("value").isNotNull() & F.col("event_type").isin("click", "purchase", "view")).select("event_type", "user_id").unionByName(e.where("value > 50").select("event_type", "user_id"))
+    return rows.groupBy("event_type").agg(F.count("*").alias("n_events"), F.count_distinct("user_id").alias("n_users")).orderBy(F.desc("n_events"), "event_type").limit(10)
+
+
+@query()
+def normality(spark, sf_dir):
+    """No SQL: the test's weights come from the inverse normal distribution; held against published
+    values in the tests."""
+    return stats.normality(Tables(spark, sf_dir).customer, "c_custkey", ["c_acctbal"])
+
+
 # --- ordered sequences ----------------------------------------------------------------
 
 _EVENTS = "SELECT event_id, user_id, ts, event_type, value, epoch_us(ts) / 1e6 AS pos, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events"
