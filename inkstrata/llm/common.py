@@ -22,12 +22,14 @@ _own_dir: str | None = None
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests, local runs) a temporary one is made.
+    Only where the session has none a temporary one is made, and only for a local master.
     """
     global _own_dir
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="inkstrata-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
@@ -255,7 +257,7 @@ def fold(doc_id, n: int):
 # --- connected components -------------------------------------------------------------
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for each node on an edge (u, v).
 
     Alternating large-star and small-star steps on the edge table: each step is an
@@ -266,9 +268,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     e = written(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges"
     )
-    for _ in range(rounds):
-        if _are_stars(e):
-            break
+    while not _are_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
         low = low.select("u", F.least("u", "m").alias("m"))

@@ -38,7 +38,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     return by.select("source", "source_size", "n_docs", F.when(F.col("level").isNull() | (F.col("cap") <= F.col("level") * F.col("weight")), F.col("cap")).otherwise(F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken) for every row.
 
     A document is expected target / source_size times. Within its source, in order of size
@@ -46,13 +46,18 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     are prefix-summed; with one offset for the source, it is emitted once for each integer
     the sum passes. The offset is a digest of the source, so reruns agree.
 
-    A null text has size 0, a null source is a source of its own; a source without words has
+    ``carry`` names narrow columns to pass through, each with ``_`` before its name; other columns
+    are not read, and very long texts only counted. A null text has size 0, a null source is a source of its own; a source without words has
     target 0 and its documents are not taken. Repeated rows of one doc_id follow each other
-    in the order, each counts for itself. An empty table gives an empty result.
+    in the order, each counts for itself; rows without doc_id are ordered by their carried columns.
+    An empty table gives an empty result.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select("doc_id", "source", size.alias("size"))
-    rows = written(rows.withColumn("digest", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))), "sizes")
+    more = [f"_{c}" for c in carry]
+    rows = docs.select("doc_id", "source", size.alias("size"), *[F.col(c).alias(f"_{c}") for c in carry])
+    # rows without doc_id are told apart by what is carried
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat_ws(",", *[F.col(c).cast("string") for c in more]) if more else F.lit(""))
+    rows = written(rows.withColumn("digest", F.md5(F.concat(F.lit(seed), name))), "sizes")
     targets = source_targets(rows, weights, most)
 
     # Ranks within a source without bringing a source into one task: rows of one source and
@@ -66,7 +71,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     counts = counts.withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     counts = _join(counts, targets, "source")
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce("source", F.lit("")))), 1, 5), 16, 10).cast("double") / F.lit(2.0**20)
-    within = Window.partitionBy("source", "size", "part").orderBy("digest", "doc_id")
+    within = Window.partitionBy("source", "size", "part").orderBy("digest", "doc_id", *more)
     rank = (F.col("earlier") + F.row_number().over(within)).cast("double")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     return (
@@ -75,7 +80,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
         .withColumn("each", each)
         .withColumn("offset", offset)
         .withColumn("copies", F.least(F.floor(F.col("offset") + F.col("each") * F.col("rank")) - F.floor(F.col("offset") + F.col("each") * (F.col("rank") - 1)), F.lit(most)).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *more)
     )
 
 
