@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -66,3 +67,10 @@ def config_table(spark: SparkSession, rows: dict[tuple[str, str], Thresholds] |
     columns = list(asdict(Thresholds()))
     data = [(j, m, *(float(asdict(t)[c]) for c in columns)) for (j, m), t in sorted(full.items())]
     return spark.createDataFrame(data, "journal string, mode string, " + ", ".join(f"{c} double" for c in columns))
+
+
+def with_thresholds(df: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows with journal and mode get their thresholds as columns, the defaults where the table
+    has none. The table has a row for each journal and mode and is broadcast."""
+    out = df.join(F.broadcast(table), ["journal", "mode"], "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(float(v))) for c, v in asdict(Thresholds()).items()})

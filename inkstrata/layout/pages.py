@@ -25,7 +25,7 @@ REQUIRED = ["conf", "height", "width", "text"]
 
 @dataclass(frozen=True)
 class Rules:
-    """What a paragraph and a footnote are. ``legacy_duplicate`` repeats a last paragraph
+    """What a paragraph and a footnote are; names and phrases are fixed values. ``legacy_duplicate`` repeats a last paragraph
     that is no footnote in the main text, as files of old have it."""
 
     paragraph_gap: float = 35.0
@@ -134,25 +134,35 @@ def footnote_pieces(df: DataFrame, stats: DataFrame, thresholds: Thresholds, rul
     return cut.withColumn("note_no", F.dense_rank().over(w))
 
 
+def first_line_left(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """(doc_id, page, first_left): sum of the left edges of a page's footnote rows from the second
+    one up to the first structural row."""
+    w = Window.partitionBy(*PAGE).orderBy("row_no")
+    rows = df.join(stats.where("is_footnote").select(*PARA), PARA).withColumn("_r", F.row_number().over(w))
+    stopped = F.sum(F.when((F.col("_r") > 1) & (F.col("conf") == -1), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_stop", stopped)
+    return rows.groupBy(*PAGE).agg(F.coalesce(F.sum(F.when((F.col("_r") > 1) & (F.col("_stop") == 0), F.col("left"))), F.lit(0.0)).alias("first_left"))
+
+
 def footnotes(df: DataFrame, stats: DataFrame, thresholds: Thresholds, rules: Rules = Rules()) -> DataFrame:
     """(doc_id, page, page_no, note_no, text) with footnotes that go on on the next page put
     together under their first page. A note goes on if it is its page's last, ends within
-    the bottom margin with a word left of the margin threshold, and the next page's first
-    note starts without a word beyond the width threshold. One that is still open at the
-    document's end is lost."""
+    the bottom margin with a word left of the margin threshold, the next page's first note
+    starts without a word beyond the width threshold, and the left edges of its first words add
+    up to ``total_left`` at most. One that is still open at the document's end is lost."""
     pieces = footnote_pieces(df, stats, thresholds, rules)
     note = [*PAGE, "note_no"]
     body = sequence.ordered_text(lines(pieces, note, rules), note, ["line_no"], "line", " ", "text")
     edge = F.max_by(F.col("left") + F.col("width"), F.struct("left", -F.col("row_no")))
     facts = pieces.groupBy(*note).agg(F.first("page_no").alias("page_no"), F.first("even").alias("even"), F.max("top").alias("max_top"), F.min("left").alias("min_left"), edge.alias("edge"))
-    rows = body.join(facts, note)
+    rows = body.join(facts, note).join(first_line_left(df, stats), PAGE, "left")
     doc = Window.partitionBy("doc_id").orderBy("page_no", "page", "note_no")
     last = F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc("note_no"))) == 1
-    rows = rows.withColumn("last", last).withColumn("next_edge", F.lead("edge").over(doc)).withColumn("next_even", F.lead("even").over(doc))
+    rows = rows.withColumn("last", last).withColumn("next_edge", F.lead("edge").over(doc)).withColumn("next_even", F.lead("even").over(doc)).withColumn("next_left", F.lead("first_left").over(doc))
     width = F.when(F.col("next_even"), F.lit(thresholds.width_threshold_even)).otherwise(F.lit(thresholds.width_threshold_odd))
     on = (
         F.col("last") & F.col("max_top").between(thresholds.bottom_margin_min, thresholds.bottom_margin_max)
-        & (F.col("min_left") < _by_parity(thresholds, "left_margin_threshold")) & (F.col("next_edge") <= width)
+        & (F.col("min_left") < _by_parity(thresholds, "left_margin_threshold")) & (F.col("next_edge") <= width) & (F.coalesce("next_left", F.lit(0.0)) <= thresholds.total_left)
     )
     rows = rows.withColumn("continues", on)
     out = sequence.carry_forward(rows, ["doc_id"], ["page_no", "page", "note_no"], F.col("continues"), "text", "content")

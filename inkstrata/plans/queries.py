@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import recode, text
+from ..layout import config, pages
 from ..operators import learn, profile, relational, sequence, stats
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -437,6 +438,75 @@ def band_join(spark, sf_dir):
     return relational.band_join(a, b, ["user_id"], "a_us", "b_us", 3_600_000_000).select("a_id", "b_id")
 
 
+# --- layout ---------------------------------------------------------------------------
+
+#: The words of documents as a page of OCR words: 300 a page, ten a line, three structural rows
+#: before every block of 57, the fifth block in small type.
+_PAGES = """w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS text, generate_subscripts(string_split(text, ' '), 1) - 1 AS i FROM documents),
+g AS (SELECT doc_id, 'p' || lpad((i // 300 + 1)::VARCHAR, 4, '0') AS page, i % 300 AS row_no, CASE WHEN i % 300 % 60 < 3 THEN -1.0 ELSE 90.0 END::DOUBLE AS conf,
+ (i % 300 // 10 * 20 + i % 300 // 60 * 40)::DOUBLE AS top, (i % 10 * 70 + 20)::DOUBLE AS lft, (10 * length(text))::DOUBLE AS width,
+ (20 + length(text) % 9 - CASE WHEN i % 300 >= 240 THEN 10 ELSE 0 END)::DOUBLE AS height, text FROM w),
+"""
+_PARAGRAPHS = _PAGES + """b AS (SELECT *, coalesce(conf = -1 AND lag(conf, 1) OVER o = -1 AND lag(conf, 2) OVER o = -1 AND top - lag(top, 3) OVER o >= 35, false) AS b,
+ max(CASE WHEN conf >= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page) AS has_word FROM g WINDOW o AS (PARTITION BY doc_id, page ORDER BY row_no)),
+p AS (SELECT *, sum(CASE WHEN b THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY row_no ROWS UNBOUNDED PRECEDING)::BIGINT AS para_no,
+ conf >= 0 AND trim(text) <> '' AS is_word, regexp_matches(text, '[לA-Zbdfhklt]') AS up, regexp_matches(text, '[ךןףץקgjpqy]') AS down FROM b WHERE has_word = 1),
+f AS (SELECT *, CASE WHEN NOT is_word THEN NULL WHEN NOT up AND NOT down AND regexp_matches(text, '[^י]') THEN height WHEN up AND down THEN trunc(height / 2)
+ WHEN up OR down THEN trunc(height * 2 / 3) WHEN contains(text, ',') THEN height - 3 ELSE height END AS font FROM p),
+st AS (SELECT doc_id, page, para_no, avg(height) AS avg_height, avg(width) AS avg_width, avg(font) AS mean_font, count(*) FILTER (is_word) AS n_words, max(top) - min(top) AS extent FROM f GROUP BY 1, 2, 3),
+v AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY para_no DESC)::INT AS from_end FROM st WHERE n_words >= 3 AND NOT (extent >= 60 AND n_words < 4)),
+m AS (SELECT doc_id, page, coalesce(sum(mean_font * n_words) / nullif(sum(n_words), 0), 0) AS main_font, arg_max(avg_height, (greatest(avg_height, avg_width), -para_no)) AS main_height,
+ arg_max(avg_width, (greatest(avg_height, avg_width), -para_no)) AS main_width FROM v WHERE from_end > 1 GROUP BY 1, 2),
+c AS (SELECT v.*, coalesce(from_end = 1 AND (main_font = 0 OR mean_font <= main_font - 0.35)
+ AND NOT (abs(avg_height - main_height) <= 2 + 1e-5 * abs(main_height) AND abs(avg_width - main_width) <= 2 + 1e-5 * abs(main_width)), false) AS is_footnote
+ FROM v LEFT JOIN m ON v.doc_id = m.doc_id AND v.page = m.page)
+"""
+
+
+def _ocr_words(spark, sf_dir) -> DataFrame:
+    w = Tables(spark, sf_dir).documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "text"))
+    row, length = F.col("i") % 300, F.length("text")
+    return w.select(
+        "doc_id", F.concat(F.lit("p"), F.lpad((F.floor(F.col("i") / 300) + 1).cast("string"), 4, "0")).alias("page"), row.alias("row_no"), F.when(row % 60 < 3, -1.0).otherwise(90.0).alias("conf"),
+        (F.floor(row / 10) * 20 + F.floor(row / 60) * 40).cast("double").alias("top"), (F.col("i") % 10 * 70 + 20).cast("double").alias("left"), (length * 10).cast("double").alias("width"),
+        (20 + length % 9 - F.when(row >= 240, 10).otherwise(0)).cast("double").alias("height"), "text",
+    )
+
+
+@query("WITH " + _PARAGRAPHS + "SELECT doc_id, page, para_no, n_words::BIGINT AS n_words, round(avg_height, 5) AS avg_height, round(avg_width, 5) AS avg_width, round(mean_font, 5) AS mean_font, from_end FROM v")
+def layout_paragraphs(spark, sf_dir):
+    s = pages.paragraph_stats(pages.paragraphs(pages.validated(_ocr_words(spark, sf_dir))))
+    return s.select("doc_id", "page", "para_no", "n_words", *[F.round(c, 5).alias(c) for c in ("avg_height", "avg_width", "mean_font")], "from_end")
+
+
+@query("WITH " + _PARAGRAPHS + "SELECT doc_id, page, para_no, is_footnote FROM c")
+def layout_footnotes(spark, sf_dir):
+    df = pages.paragraphs(pages.validated(_ocr_words(spark, sf_dir)))
+    return pages.classified(pages.paragraph_stats(df)).select("doc_id", "page", "para_no", "is_footnote")
+
+
+@query("WITH " + _PARAGRAPHS + """, body AS (SELECT f.* FROM f JOIN c ON f.doc_id = c.doc_id AND f.page = c.page AND f.para_no = c.para_no WHERE NOT is_footnote AND is_word AND top <= 1695),
+l AS (SELECT doc_id, page, para_no, top, string_agg(text, ' ' ORDER BY lft, row_no) AS line FROM body GROUP BY 1, 2, 3, 4),
+q AS (SELECT doc_id, page, para_no, string_agg(line, ' | ' ORDER BY top) AS content FROM l GROUP BY 1, 2, 3)
+SELECT doc_id, page, md5(string_agg(content, chr(10) || chr(10) ORDER BY para_no)) AS content_md5 FROM q GROUP BY 1, 2""")
+def layout_main_text(spark, sf_dir):
+    df = pages.paragraphs(pages.validated(_ocr_words(spark, sf_dir)))
+    main = pages.main_text(df, pages.classified(pages.paragraph_stats(df)), config.Thresholds())
+    return main.select("doc_id", "page", F.md5("content").alias("content_md5"))
+
+
+_SITES = [("wiki", "zion"), ("blog", "tarbiz"), ("news", "sidra")]
+
+
+@query("""WITH c(journal, bottom, total) AS (VALUES """ + ", ".join(f"('{j}', {config.thresholds(j, 'printed').bottom_margin_max}, {config.thresholds(j, 'printed').total_left})" for _, j in _SITES) + """),
+u AS (SELECT page_id, CASE """ + " ".join(f"WHEN contains(url, '{k}') THEN '{j}'" for k, j in _SITES) + """ ELSE 'none' END AS journal FROM pages)
+SELECT page_id, u.journal, coalesce(bottom, 1695)::DOUBLE AS bottom_margin_max, coalesce(total, 7400)::DOUBLE AS total_left FROM u LEFT JOIN c ON u.journal = c.journal""")
+def journal_thresholds(spark, sf_dir):
+    """Each page with its journal's thresholds, the defaults where it has none."""
+    named = Tables(spark, sf_dir).pages.select("page_id", relational.first_containing(F.col("url"), _SITES, "none").alias("journal"), F.lit("printed").alias("mode"))
+    return config.with_thresholds(named, config.config_table(spark)).select("page_id", "journal", "bottom_margin_max", "total_left")
+
+
 # --- votes and tests ------------------------------------------------------------------
 
 

@@ -41,6 +41,21 @@ def test_footnote_goes_on(spark):
     assert [(r["page"], r["text"]) for r in notes.collect()] == [("p01", "1 ooo sssaaa mmm vvv")]
 
 
+def test_first_line_decides_whether_a_footnote_goes_on(spark):
+    body = [(100, 30, ["aa nn oo", "ss uu cc"]), (300, 30, ["mm nn", "rr ss vv"])]
+    data = page("d", "p01", [*body, (1700, 20, ["1 ooo sss"])]) + page("d", "p02", [*body, (1500, 20, ["aaa mmm vvv"])])
+    df = spark.createDataFrame(data, SCHEMA)
+    stats = spark.createDataFrame([("d", "p02", 2)], "doc_id string, page string, para_no long").withColumn("is_footnote", F.lit(True))
+    paragraphs = df.withColumn("para_no", F.lit(2).cast("long")).where("page = 'p02'")
+    left = lambda x: pages.first_line_left(x, stats).first()["first_left"]
+    assert left(paragraphs) == 0.0
+    rows = [("d", "p02", i, 2, 100.0 * (i + 1), c) for i, c in enumerate([90.0, 90.0, 90.0, -1.0, 90.0])]
+    assert left(spark.createDataFrame(rows, "doc_id string, page string, row_no long, para_no long, left double, conf double")) == 500.0
+    for total, texts in ((480.0, ["1 ooo sssaaa mmm vvv"]), (479.0, ["1 ooo sss", "aaa mmm vvv"])):
+        _, notes = pages.extract(df, Thresholds(bottom_margin_max=1850.0, total_left=total))
+        assert [r["text"] for r in notes.orderBy("number").collect()] == texts
+
+
 def test_validation(spark):
     df = spark.createDataFrame([("d", "p1", 0, "x", "1", "2", "3", "-1", None)], SCHEMA.replace("double", "string"))
     assert pages.validated(df).count() == 0
