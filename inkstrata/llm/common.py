@@ -4,6 +4,7 @@ byte hashing, word spans and connected components."""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -136,6 +137,16 @@ class SpanHasher:
         return mix((self.sums[end] - self.sums[start]) * self.down[start])
 
 
+def give_back() -> None:
+    """Return freed memory of a Python worker to the system: allocators keep it for the worker,
+    while executor and other workers need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 class HashTable:
     """Open addressing from mixed 64-bit keys to int32 values from 0 on, whole arrays at a time."""
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, SpanHasher, bounded_batches, components, long_list, mix, text_chunks, with_checked_broadcast, word_spans, written
+from .common import LOWER, U64, SpanHasher, bounded_batches, components, give_back, long_list, mix, text_chunks, with_checked_broadcast, word_spans, written
 
 K = 32
 BLOCK = 1024
@@ -302,7 +302,11 @@ def _across(label: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
         for a, b in zip(u.tolist(), v.tolist(), strict=True):
             if not (found[a] and found[b]) and union_estimate(sketches[a], sketches[b], k) >= max(least[a], least[b]):
                 found[a] = found[b] = True
-        return group.select(["value", "size_class", "lo", "hi", "mine", "doc_id", "label"]).filter(pa.array(found))
+        out = group.select(["value", "size_class", "lo", "hi", "mine", "doc_id", "label"]).filter(pa.array(found))
+        if len(ids) > BLOCK // 4:
+            del pair, u, v, keep, first, columns, listed, group
+            give_back()
+        return out
 
     return rows.groupBy("value", "size_class", "lo", "hi").applyInArrow(
         run, "value bigint, size_class int, lo int, hi int, mine int, doc_id bigint, label bigint"
@@ -346,6 +350,9 @@ def _linked_across(near: DataFrame, percent: int) -> DataFrame:
                     home[max(x, y)] = min(x, y)
                     u.append(ids[r])
                     v.append(ids[j])
+        if len(ids) > BLOCK // 4:
+            del sets, values, column, mark, group
+            give_back()
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return near.groupBy("value", "size_class", "lo", "hi").applyInArrow(run, "u bigint, v bigint")
