@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, capdedup, convtrie, langid, licenses, minhash, mixing, quality, suffixdedup, toxicity
+from . import ann, bpe, capdedup, convrepair, convtrie, langid, licenses, minhash, mixing, pii, quality, suffixdedup, toxicity
 from .common import table
 
 
@@ -56,10 +56,18 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convtrie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convrepair.repair(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_quality, op2_toxicity, op3_bpe, op4_nearest_neighbours, op5_language_id, op6_embedding_near_dedup,
-        op7_license_scan, op8_suffix_array_dedup, op9_mix_sources, op10_minhash_near_dedup, op11_conversation_trie,
+        op7_license_scan, op8_suffix_array_dedup, op9_mix_sources, op10_minhash_near_dedup, op11_conversation_trie, op12_personal_data, op13_conversation_repair,
     ]
     return {f.__name__: f for f in found}
 
