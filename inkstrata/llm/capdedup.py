@@ -166,7 +166,7 @@ def _verify(least: float):
         labels = np.unique(np.asarray(group["label"]), return_inverse=True)[1]
         lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
         x = matrix(group["embedding"])
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
         lists = group["filters"].chunk(0)
         offs, flat = np.asarray(lists.offsets), np.asarray(lists.values)
         order = np.lexsort((filters, labels))

@@ -19,8 +19,7 @@ from .bpe import parse_ranks
 from .common import BROADCAST_ITEMS, LOWER, U64, SpanHasher, bounded_batches, fold, text_chunks, word_spans, worker_cache, written
 
 UNKNOWN = "und"
-LONGEST = 16  # bytes of a piece
-SHORT = 24  # bytes; products over longer words are scaled at each step
+SHORT = 24  # bytes; of longer words logarithms are summed
 CELLS = 250_000  # positions times words handled at once
 SMOOTH = 0.05
 REMEMBERED = 2_000_000  # numbers: word scores times languages
@@ -42,11 +41,12 @@ class Pieces:
         found = {bytes([i]) for i in range(256)}
         for t in ranks:
             t = lowered(np.frombuffer(t.lstrip(b" "), np.uint8)).tobytes()
-            if 0 < len(t) <= LONGEST and not any(x in t for x in b" \t\n\v\f\r"):
+            if t and not any(x in t for x in b" \t\n\v\f\r"):
                 found.add(t)
         pieces = sorted(found)
         self.n = len(pieces)
         size = np.array([len(p) for p in pieces])
+        self.lengths = np.unique(size)  # in bytes, from 1 on
         ends = np.cumsum(size)
         h = SpanHasher(np.frombuffer(b"".join(pieces), np.uint8)).of(ends - size, ends)
         self.bits = 18
@@ -77,7 +77,7 @@ class Pieces:
     def lattice(self, hasher: SpanHasher, start: np.ndarray, n: int):
         """(i, j, rows, pieces): the words (all of n bytes) that have a piece from i to j."""
         for i in range(n):
-            for j in range(i + 1, min(n, i + LONGEST) + 1):
+            for j in (i + self.lengths[self.lengths <= n - i]).tolist():
                 piece = self.find(hasher.of(start + i, start + j))
                 rows = np.flatnonzero(piece >= 0)
                 if len(rows):
@@ -87,15 +87,18 @@ class Pieces:
 def chain(pieces: Pieces, prob: np.ndarray, hasher: SpanHasher, start: np.ndarray, size: np.ndarray, backward: bool = False, keep: bool = False) -> np.ndarray:
     """log of the sum over all segmentations of words of any length, from the longest to the
     shortest, for each word and language; with ``keep`` for each number of first (``backward``:
-    last) bytes. The sums are scaled at each step, as products over long words underflow."""
+    last) bytes. Sums of logarithms, as products over long words underflow."""
     rows, langs, n = len(start), prob.shape[1], int(size[0])
-    prob = np.vstack([prob, np.zeros((1, langs))])  # the last row: no such piece
-    near = np.zeros((LONGEST, rows, langs))  # sums up to 1, 2, ... bytes before, over the last one
-    near[0] = 1
+    with np.errstate(divide="ignore"):
+        log_prob = np.log(np.vstack([prob, np.zeros((1, langs))]))  # the last row: no such piece
+    lengths = pieces.lengths
+    around = int(lengths[-1]) + 1  # as many sums are looked back at
+    near = np.full((around, rows, langs), -np.inf)
+    near[0] = 0
     log = np.zeros((rows, langs))
     kept = np.zeros((n + 1, rows, langs)) if keep else log
-    back = np.arange(1, LONGEST + 1)[:, None]
-    step = max(1, CELLS // (LONGEST * rows))
+    back = lengths[:, None]
+    step = max(1, CELLS // (len(lengths) * rows))
     for low in range(0, n, step):
         j = np.arange(low + 1, min(n, low + step) + 1)[:, None, None]
         held = (back <= j) & (j <= size)
@@ -104,13 +107,13 @@ def chain(pieces: Pieces, prob: np.ndarray, hasher: SpanHasher, start: np.ndarra
         piece = np.full(held.shape, -1)
         piece[held] = pieces.find(hasher.of(first, first + np.broadcast_to(back, held.shape)[held]))
         for at in range(len(j)):
-            m = int(np.searchsorted(-size, -(low + 1 + at), side="right"))
-            total = (near[:, :m] * prob[piece[at, :, :m]]).sum(axis=0)
-            near[1:, :m] = near[:-1, :m] / total
-            near[0, :m] = 1
-            log[:m] += np.log(total)
+            now = low + 1 + at
+            m = int(np.searchsorted(-size, -now, side="right"))
+            terms = near[(now - lengths) % around, :m] + log_prob[piece[at, :, :m]]
+            top = terms.max(axis=0)
+            log[:m] = near[now % around, :m] = top + np.log(np.exp(terms - top).sum(axis=0))
             if keep:
-                kept[low + 1 + at, :m] = log[:m]
+                kept[now, :m] = log[:m]
     return kept
 
 
@@ -147,7 +150,7 @@ def long_counts(pieces: Pieces, prob: np.ndarray, hasher: SpanHasher, start: np.
     before = chain(pieces, prob[:, None], hasher, start, size, keep=True)[:, :, 0]
     after = chain(pieces, prob[:, None], hasher, start, size, backward=True, keep=True)[:, :, 0]
     for r, n in enumerate(size.tolist()):
-        for k in range(1, min(n, LONGEST) + 1):
+        for k in pieces.lengths[pieces.lengths <= n].tolist():
             i = np.arange(n - k + 1)
             piece = pieces.find(hasher.of(start[r] + i, start[r] + i + k))
             i, piece = i[piece >= 0], piece[piece >= 0]

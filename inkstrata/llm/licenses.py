@@ -61,6 +61,9 @@ SENTENCES = {
     "cc0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.",
     "boost": "Distributed under the Boost Software License, Version 1.0.",
     "psf-title": "PYTHON SOFTWARE FOUNDATION LICENSE VERSION 2",
+    "bsd-author": "The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission.",
+    "isc-old-grant": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "isc-as-is": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
     "spdx-bsd2": "SPDX-License-Identifier: BSD-2-Clause",
     "spdx-mpl": "SPDX-License-Identifier: MPL-2.0",
     "spdx-lgpl": "SPDX-License-Identifier: LGPL-3.0-or-later",
@@ -75,11 +78,12 @@ RULES = [
     ("MIT", ("mit-licensed",)), ("MIT", ("mit-terms",)), ("MIT", ("spdx-mit",)),
     ("Apache-2.0", ("apache-header", "apache-limits", "apache-copy", "apache-as-is")), ("Apache-2.0", ("apache-released",)),
     ("Apache-2.0", ("apache-licensed",)), ("Apache-2.0", ("spdx-apache",)),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-author")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")), ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
     ("BSD-3-Clause", ("spdx-bsd",)),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-warranty", "gpl-received")), ("GPL-2.0-or-later", ("gpl2-free", "gpl-warranty", "gpl-received")),
     ("GPL-3.0", ("gpl-work",)), ("GPL-3.0", ("gpl-licensed",)), ("GPL-3.0", ("spdx-gpl",)), ("GPL-3.0-or-later", ("spdx-gpl-later",)),
-    ("MPL-2.0", ("mpl-source",)), ("ISC", ("isc-grant", "as-is")), ("CC-BY-4.0", ("cc-by",)), ("CC-BY-4.0", ("cc-by-short",)),
+    ("MPL-2.0", ("mpl-source",)), ("ISC", ("isc-grant", "as-is")), ("ISC", ("isc-grant", "isc-as-is")), ("ISC", ("isc-old-grant", "isc-as-is")), ("CC-BY-4.0", ("cc-by",)), ("CC-BY-4.0", ("cc-by-short",)),
     ("CC-BY-SA-4.0", ("cc-by-sa",)), ("CC-BY-SA-4.0", ("cc-by-sa-short",)), ("CC-BY-NC-4.0", ("cc-by-nc",)), ("CC-BY-NC-4.0", ("cc-by-nc-short",)),
     ("LGPL-3.0-or-later", ("lgpl-free", "lgpl-warranty", "lgpl-received")), ("LGPL-2.1-or-later", ("lgpl21-free", "lgpl-warranty", "lgpl-received")),
     ("AGPL-3.0-or-later", ("agpl-free", "gpl-warranty", "agpl-received")), ("Unlicense", ("unlicense-domain", "unlicense-free")),
@@ -87,8 +91,31 @@ RULES = [
     ("BSD-2-Clause", ("spdx-bsd2",)), ("MPL-2.0", ("spdx-mpl",)), ("LGPL-3.0-or-later", ("spdx-lgpl",)), ("AGPL-3.0-or-later", ("spdx-agpl",)), ("ISC", ("spdx-isc",)),
 ]
 
-#: Every part of a known sentence has one of these; a text without any has no known sentence.
-KEYWORDS = ["licen", "permission", "warrant", "redistribution", "copyright", "free software", "this software", "public domain"]
+#: Every part of a known sentence has one of these, also where a line ends inside; a text without any
+#: has no known sentence.
+KEYWORDS = ["licen", "permission", "warrant", "redistribution", "copyright", "free[^a-z]+software", "this[^a-z]+software", "public[^a-z]+domain"]
+
+#: Parts of known sentences, as they are compared, in which a number or a holder's name stands, and what stands for all.
+SLOTS = [
+    ("^[0-9]{1,2} ", ""),
+    ("^neither the names? of .+ nor the names of (?:its|their|any) contributors may be used", "neither the name of the copyright holder nor the names of its contributors may be used"),
+    ("^the names? of .+ may not be used to endorse", "the name of the author may not be used to endorse"),
+    ("^the software is provided as is and .+ disclaims? all warranties", "the software is provided as is and the author disclaims all warranties"),
+]
+
+#: Identifiers that a tag may hold, alone or in an expression, and what they are reported as.
+SPDX = {
+    x: x
+    for x in (
+        "0BSD AFL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSD-4-Clause BSL-1.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 ECL-2.0 EPL-1.0 "
+        "EPL-2.0 EUPL-1.2 GPL-2.0-only GPL-2.0-or-later GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL NCSA OFL-1.1 OSL-3.0 PostgreSQL "
+        "PSF-2.0 Python-2.0 Unlicense UPL-1.0 WTFPL Zlib"
+    ).split()
+} | {"GPL-3.0-only": "GPL-3.0", "GPL-3.0": "GPL-3.0", "GPL-2.0": "GPL-2.0-only", "GPL-2.0+": "GPL-2.0-or-later", "GPL-3.0+": "GPL-3.0-or-later"}
+#: A tag's expression, to the end of its line; an exception is no licence.
+TAG = r"SPDX-License-Identifier:[ \t]*([^\r\n]*)"
+EXCEPTION = r"\b[Ww][Ii][Tt][Hh][ \t]+[A-Za-z0-9.+-]+"
+IDENTIFIER = r"[A-Za-z0-9][A-Za-z0-9.+-]*"
 
 #: A tag and its value stand on a line of their own, and an abbreviated version is not cut
 #: apart. A line that ends without a stop goes on in the next one if that starts in lower
@@ -98,6 +125,7 @@ WRAP = [
     (r"(SPDX-License-Identifier):[ \t]+([^ \t\r\n]+)", "\n.\n$1 $2\n.\n"), (r"( v)[.] ([0-9])", r"$1 $2"), (r"\n[ \t]*(?:[#*]+|//+|--+|;+)[ \t]*", "\n"),
     (r"([a-z,0-9)\"])[ \t]*\r?\n[ \t]*([a-z(\"])", r"$1 $2"), (r"([A-Z,])[ \t]*\r?\n[ \t]*([A-Z][A-Z])", r"$1 $2"),
     (r"( (?:GNU|Lesser|Affero|General|Mozilla|Eclipse|Public|Free|Software|Creative|Boost|Apache|Source|Code|the|of|by|in|under|this))[ \t]*\r?\n[ \t]*([A-Z])", r"$1 $2"),
+    (r"( (?:Inc|Ltd|Corp|Co))[.] ([a-z])", r"$1 $2"),
 ]
 END = (r"([.!?;:])[ \t\r]+", "$1\n")
 OTHER = "[^a-z0-9]+"
@@ -108,7 +136,13 @@ def parts_of(sentence: str) -> list[str]:
     without punctuation."""
     for pattern, by in [*WRAP[:2], END]:
         sentence = re.sub(pattern, re.sub(r"[$](\d)", r"\\\1", by), sentence)
-    return [key for x in sentence.split("\n") if (key := re.sub(OTHER, " ", x.lower()).strip())]
+    return [key for x in sentence.split("\n") if (key := _with_slots(re.sub(OTHER, " ", x.lower()).strip()))]
+
+
+def _with_slots(key: str) -> str:
+    for pattern, by in SLOTS:
+        key = re.sub(pattern, by, key)
+    return key
 
 
 def known_parts() -> dict[str, str]:
@@ -150,8 +184,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     ``sentence_ids``: the known sentences in order, with a blank around each; ``licenses``:
     the licences whose rules match, in code point order, joined by ``;``. A text that has all
-    sentences of the three-clause BSD licence is not reported as the two-clause one too. No
-    shuffle and no Python: string and array functions only. Null and empty texts and texts
+    sentences of the three-clause BSD licence is not reported as the two-clause one too; the
+    identifiers in SPDX tags, alone or in expressions, are reported with them. No shuffle and no Python: string and array functions only. Null and empty texts and texts
     without a known sentence give 0, a blank and an empty string. Repeated rows repeat; an
     empty table gives an empty one; very long texts are read whole; other columns, whatever
     their names, are not read.
@@ -160,7 +194,13 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     for pattern, by in WRAP:
         text = F.regexp_replace(text, pattern, by)
     sentences = F.split(F.regexp_replace(text, *END), "\n")
-    key = lambda s: F.trim(F.regexp_replace(F.lower(s), OTHER, " "))
+
+    def key(s):
+        s = F.trim(F.regexp_replace(F.lower(s), OTHER, " "))
+        for pattern, by in SLOTS:
+            s = F.regexp_replace(s, pattern, by)
+        return s
+
     known = F.create_map(*[F.lit(x) for pair in known_parts().items() for x in pair])
     found = F.transform(sentences, lambda s: F.concat(F.lit(" "), F.coalesce(F.try_element_at(known, key(s)), F.lit("?")), F.lit(" ")))
     found = F.array_join(found, "")
@@ -169,12 +209,18 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     ids = F.regexp_replace(found, LEFT_OVER, "")
     has = F.lower("text").rlike("|".join(KEYWORDS))
     ids = F.coalesce(F.nullif(F.when(has, ids), F.lit("")), F.lit(" "))
-    out = docs.select("doc_id", ids.alias("sentence_ids"))
-    out = out.select("doc_id", F.regexp_count("sentence_ids", F.lit("[^ ]+")).cast("long").alias("n_known"), "sentence_ids")
+    tags = F.regexp_extract_all("text", F.lit(TAG), F.lit(1))
+    tagged = F.flatten(F.transform(tags, lambda t: F.regexp_extract_all(F.regexp_replace(t, EXCEPTION, ""), F.lit(IDENTIFIER), F.lit(0))))
+    named = F.create_map(*[F.lit(x) for pair in SPDX.items() for x in pair])
+    tagged = F.coalesce(F.filter(F.transform(tagged, lambda t: F.try_element_at(named, t)), lambda t: t.isNotNull()), F.array().cast("array<string>"))
+    out = docs.select("doc_id", ids.alias("sentence_ids"), tagged.alias("tagged"))
+    out = out.select("doc_id", F.regexp_count("sentence_ids", F.lit("[^ ]+")).cast("long").alias("n_known"), "sentence_ids", "tagged")
     patterns = dict(_patterns())
     match = {name: F.col("sentence_ids").rlike(pattern) for name, pattern in patterns.items()}
     hits = [F.when(match[name] & ~match[CONTAINED[name]] if name in CONTAINED else match[name], F.lit(name)) for name in patterns]
-    return out.withColumn("licenses", F.when(F.col("n_known") == 0, F.lit("")).otherwise(F.concat_ws(";", *hits)))
+    ruled = F.when(F.col("n_known") == 0, F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*hits)))
+    found = F.array_join(F.array_sort(F.array_union(ruled, "tagged")), ";")
+    return out.select("doc_id", "n_known", "sentence_ids", found.alias("licenses"))
 
 
 def _quoted(x: str) -> str:
@@ -191,6 +237,9 @@ def sql() -> str:
         return f"string_split({text}, chr(10))"
 
     key = f"trim(regexp_replace(lower(part), '{OTHER}', ' ', 'g'))"
+    for pattern, by in SLOTS:
+        key = f"regexp_replace({key}, {_quoted(pattern)}, {_quoted(by)})"
+    spdx = ", ".join(f"({_quoted(x)}, {_quoted(y)})" for x, y in SPDX.items())
     raw = ", ".join(f"({n}, {_quoted(i)}, {_quoted(s)})" for n, (i, s) in enumerate(SENTENCES.items()))
     joined = "string_agg(' ' || coalesce(k.id, '?') || ' ', '' ORDER BY o.pos)"
     for parts, whole in _in_parts():
@@ -206,12 +255,17 @@ WITH raw(nr, id, sentence) AS (VALUES {raw}),
 cut AS (SELECT nr, id, list_filter({cut('sentence', WRAP[:2])}, lambda x: regexp_matches(lower(x), '[a-z0-9]')) AS parts FROM raw),
 each AS (SELECT nr, id, len(parts) AS n, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM cut),
 known AS (SELECT {key} AS sentence, arg_min(CASE WHEN n = 1 THEN id ELSE id || '/' || pos END, nr) AS id FROM each GROUP BY 1),
-texts AS (SELECT row_number() OVER () AS r, doc_id, {cut("coalesce(text, '')", WRAP)} AS parts FROM documents),
+texts AS (SELECT row_number() OVER () AS r, doc_id, text, {cut("coalesce(text, '')", WRAP)} AS parts FROM documents),
 one AS (SELECT r, doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM texts),
+spdx(tag, name) AS (VALUES {spdx}),
+lines AS (SELECT r, unnest(regexp_extract_all(text, {_quoted(TAG)}, 1)) AS line FROM texts),
+tags AS (SELECT r, unnest(regexp_extract_all(regexp_replace(line, {_quoted(EXCEPTION)}, '', 'g'), {_quoted(IDENTIFIER)})) AS tag FROM lines),
+tagged AS (SELECT r, list(DISTINCT name) AS names FROM tags JOIN spdx USING (tag) GROUP BY r),
 ids AS (SELECT r, o.doc_id, regexp_replace({joined}, '{LEFT_OVER}', '', 'g') AS ids
         FROM (SELECT r, doc_id, pos, {key} AS sentence FROM one) o LEFT JOIN known k ON o.sentence = k.sentence GROUP BY r, o.doc_id),
-found AS (SELECT doc_id, coalesce(nullif(ids, ''), ' ') AS sentence_ids FROM ids)
+found AS (SELECT doc_id, coalesce(nullif(ids, ''), ' ') AS sentence_ids, coalesce(names, []) AS names FROM ids LEFT JOIN tagged USING (r)),
+ruled AS (SELECT doc_id, sentence_ids, names, CASE WHEN sentence_ids = ' ' THEN [] ELSE list_filter([{hits}], lambda x: x IS NOT NULL) END AS hits FROM found)
 SELECT doc_id, len(regexp_extract_all(sentence_ids, '[^ ]+'))::BIGINT AS n_known, sentence_ids,
-       CASE WHEN sentence_ids = ' ' THEN '' ELSE concat_ws(';', {hits}) END AS licenses
-FROM found
+       array_to_string(list_sort(list_distinct(list_concat(hits, names))), ';') AS licenses
+FROM ruled
 """

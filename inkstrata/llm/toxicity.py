@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, SpanHasher, bounded_batches, fold, text_chunks, word_spans
+from .common import U64, SpanHasher, bounded_batches, fold, text_chunks, word_spans, written
 from .langid import lowered
 
 BITS = 18
@@ -70,11 +70,14 @@ def fit_noisy_or(sentence_doc: np.ndarray, row: np.ndarray, feature: np.ndarray,
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000):
-    """(weight by bucket, bias) from at most ``max_rows`` labelled documents, chosen by a hash."""
+    """(weight by bucket, bias) from at most ``max_rows`` labelled documents, chosen by a hash among
+    those that are there; one row of each doc_id, the smallest text."""
     labels = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
+    labels = labels.join(docs.where("text is not null").select("doc_id"), "doc_id", "left_semi")
     sample = labels.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(max_rows)
     # a bounded table: max_rows rows of two numbers
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "y")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = written(rows.select("text", "y"), "labelled")
 
     def count(batches):
         total = np.zeros((2, 2**BITS), np.int64)
@@ -90,7 +93,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000):
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[0][used]), pa.array(total[1][used])], names=["bucket", "clean", "toxic"])
 
     counts = rows.select("text", "y").mapInArrow(count, "bucket bigint, clean bigint, toxic bigint").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    n = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     weights = np.zeros(2**BITS, np.float32)
     if not n.get(1) or not n.get(0):
         return weights, -20.0 if not n.get(1) else 20.0

@@ -142,3 +142,26 @@ def test_noisy_or_fit_lowers_the_loss_of_the_documents():
     assert loss(w, b) < 0.1 * loss(np.full(6, 2.0), -6.0) and np.argmax(w) == 2
     for k in range(6):  # no single weight can be moved to a clearly smaller loss
         assert all(loss(w + step * np.eye(6)[k], b) > loss(w, b) - 5e-3 for step in (-0.5, 0.5))
+
+
+def test_toxicity_of_repeated_rows_is_that_of_single_ones(spark):
+    rows, labelled, _ = toxic_corpus()
+    table, marks = spark.createDataFrame(rows, DOC), spark.createDataFrame(labelled, LABELS)
+    scores = lambda d, lab: {r["doc_id"]: round(r["score"], 6) for r in toxicity.score_toxicity(d, lab).collect()}
+    want = scores(table, marks)
+    assert scores(table.union(table).union(table), marks.union(marks)) == want
+    # labels without a document take no place among those that are learned from
+    strangers = spark.range(10_000, 30_000).selectExpr("id doc_id", "1 quality", "1 toxic")
+    assert scores(table, marks.union(strangers)) == want
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_near_vectors_of_both_element_types(spark, kind):
+    rng = np.random.default_rng(9)
+    base = np.repeat(rng.normal(size=(40, 24)), 3, axis=0)
+    x = base + 0.05 * rng.normal(size=base.shape)
+    df = spark.createDataFrame([(i, 0, row.tolist()) for i, row in enumerate(x)], f"vec_id bigint, label int, embedding array<{kind}>")
+    y = x.astype(np.float32).astype(float) if kind == "float" else x
+    unit = y / np.linalg.norm(y, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+    assert [r["n_links"] for r in capdedup.near_duplicate_vectors(df).orderBy("vec_id").collect()] == links.tolist()
