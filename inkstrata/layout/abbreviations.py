@@ -15,6 +15,8 @@ from . import metadata
 
 #: What separates a label from its explanation.
 SEPARATOR = r"\s*(?:=|[-–—]\s|:)\s*"
+
+
 def has_abbreviations(meta: DataFrame) -> DataFrame:
     """doc_id of the papers with a list of abbreviations or a bibliography."""
     kinds = F.transform("content.references.reference_blocks", lambda b: metadata.reference_kind(b["title"]))
@@ -42,15 +44,6 @@ def partitioned(notes: DataFrame, labels: DataFrame, text: str = "text") -> tupl
     return rows.join(known, "_k", "left_semi").drop("_k"), rows.join(known, "_k", "left_anti").drop("_k")
 
 
-def repaired_word(x: Column, width: Column, from_end: Column) -> Column:
-    """OCR repairs that need no context but the place: a blank of 20 to 30 pixels near the
-    line's end is an equals sign, doubled apostrophes are quotes, odd dashes are dashes."""
-    blank = F.trim(F.coalesce(x, F.lit(""))) == ""
-    fixed = F.regexp_replace(tx.plain_quotes(F.coalesce(x, F.lit(""))), "''", '"')
-    fixed = F.regexp_replace(fixed, "[‐‑‒]", "-")
-    return F.when(blank & width.between(20, 30) & (from_end <= 3), F.lit("=")).otherwise(fixed)
-
-
 def superscripts(df: DataFrame, by: list[str]) -> DataFrame:
     """Digit-only spans smaller than 0.7 of the line's size on its top line become <fn-N>."""
     w = Window.partitionBy(*by)
@@ -138,41 +131,3 @@ def collected_references(rows: DataFrame, end_marker: str) -> DataFrame:
 
     kinds = dict(rows.dtypes)
     return rows.groupBy("doc_id").applyInPandas(run, f"doc_id {kinds['doc_id']}, page {kinds['page']}, number bigint, content string")
-
-
-def line_kinds(lines: DataFrame) -> DataFrame:
-    """HEADER, TEXT, ABBREV or FOOTNOTE of each line of a document: headers are the high or
-    centred lines before any text, abbreviations begin at a known title and last to the end of
-    the list even over pages, footnotes begin at a page's separator. Needs doc_id, page,
-    line_no, text, font_size, centred, below_separator. A document is a group."""
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["page", "line_no"])
-        state, page, out = "HEADER", None, []
-        for p, line, centred, below in zip(f["page"], f["text"].fillna(""), f["centred"], f["below_separator"], strict=True):
-            if p != page:
-                page = p
-                state = state if state == "ABBREV" else "HEADER"
-            if below and state != "ABBREV":
-                state = "FOOTNOTE"
-            elif line.strip() in metadata.ABBREVIATION_TITLES:
-                state = "ABBREV"
-            elif state == "HEADER" and not centred:
-                state = "TEXT"
-            elif state == "ABBREV" and centred:
-                state = "TEXT"
-            out.append(state)
-        return f[["doc_id", "page", "line_no"]].assign(kind=out)
-
-    kinds = dict(lines.dtypes)
-    return lines.groupBy("doc_id").applyInPandas(run, f"doc_id {kinds['doc_id']}, page {kinds['page']}, line_no {kinds['line_no']}, kind string")
-
-
-def separators(lines: DataFrame) -> DataFrame:
-    """(doc_id, page, line_no) of the lowest line whose gap to the line before exceeds the
-    page's mean by ten times sqrt(variance) / n."""
-    w = Window.partitionBy("doc_id", "page").orderBy("line_no")
-    g = lines.withColumn("gap", F.col("top") - F.lag("bottom").over(w))
-    stat = g.groupBy("doc_id", "page").agg(F.avg("gap").alias("_m"), F.var_pop("gap").alias("_v"), F.count("gap").alias("_n"))
-    hit = g.join(stat, ["doc_id", "page"]).where((F.col("_n") > 1) & (F.col("gap") - F.col("_m") > 10 * F.sqrt("_v") / F.col("_n")))
-    return hit.groupBy("doc_id", "page").agg(F.max("line_no").alias("line_no"))

@@ -64,3 +64,89 @@ def _typeset_series(x: pd.Series) -> pd.Series:
 
 def typeset_column(words: Column) -> Column:
     return F.pandas_udf(_typeset_series, "string")(words)
+
+
+# --- the two other orders, on arrays of (left, text) of a line, inside the JVM ---------
+
+#: Hebrew letters, the marks of direction, and brackets that turn around.
+HEBREW_LETTER = "[א-תׯ-ײיִײַ-ﬨשׁ-ﭏ]"
+LEFT_MARK, RIGHT_MARK = "‎", "‏"
+BRACKETS, TURNED = "()[]", ")(]["
+
+
+def _turned(x: Column) -> Column:
+    """Punctuation seen from the other side, without marks."""
+    return F.regexp_replace(F.reverse(F.translate(x, BRACKETS, TURNED)), f"[{LEFT_MARK}{RIGHT_MARK}]", "")
+
+
+def turned_at_edges(run: Column) -> Column:
+    """A run of left-to-right words with the brackets at its edges moved to the side on which they
+    stand in reading order: what closes the last word opens the first, and the other way round. If both
+    happen, what closed the last word is lost."""
+    first, last = run[0], F.element_at(run, -1)
+    closing = F.regexp_extract(last, rf"([\p{{P}}\p{{S}}]*\)[{LEFT_MARK}{RIGHT_MARK}]?)$", 1)
+    opening = F.regexp_extract(first, r"^(\([\p{P}\p{S}]*)", 1)
+    start = F.when(opening != "", F.substring(first, F.length(opening) + 1, F.length(first))).otherwise(F.concat(_turned(closing), first))
+    end = F.concat(F.substring(last, F.lit(1), F.length(last) - F.length(closing)), _turned(opening))
+    inner = F.slice(run, F.lit(2), F.greatest(F.size(run) - 2, F.lit(0)))
+    return F.when(F.size(run) > 1, F.concat(F.array(start), inner, F.array(end))).otherwise(run)
+
+
+def _sorted(words: Column, sign: int) -> Column:
+    """The words by their left edge, equal ones in their order."""
+    keyed = F.transform(words, lambda w, i: F.struct((sign * w["left"]).alias("k"), i.alias("i"), w["left"].alias("left"), w["text"].alias("text")))
+    return F.transform(F.array_sort(keyed), lambda w: F.struct(w["left"].alias("left"), w["text"].alias("text")))
+
+
+def reading_order(words: Column, had_right: Column | bool = False) -> Column:
+    """Texts of a line's words, an array of (left, text), in reading order: from the right, runs of
+    left-to-right words in their own order, words without letters in the direction before them. After
+    a right-to-left word (or with ``had_right``) brackets at the edges of such runs are turned."""
+    none, had_right = F.array().cast("array<string>"), F.lit(had_right) if isinstance(had_right, bool) else had_right
+    line = _sorted(words, -1)
+    start = F.coalesce(line[0]["text"].rlike(HEBREW_LETTER), F.lit(False))
+    state = lambda out, run, right, had: F.struct(out.alias("out"), run.alias("run"), right.alias("right"), had.alias("had"))
+    closed = lambda a: F.concat(a["out"], F.when(a["had"], turned_at_edges(a["run"])).otherwise(a["run"]))
+
+    def step(a: Column, w: Column) -> Column:
+        text = F.array(w["text"])
+        right = F.when(w["text"].rlike(HEBREW_LETTER), True).when(w["text"].rlike(r"^\P{L}+$"), a["right"]).otherwise(False)
+        changed = right != a["right"]
+        out, run = F.when(changed, closed(a)).otherwise(a["out"]), F.when(changed, none).otherwise(a["run"])
+        return state(F.when(right, F.concat(out, text)).otherwise(out), F.when(right, run).otherwise(F.concat(text, run)), right, a["had"] | right)
+
+    read = F.aggregate(F.filter(line, lambda w: w["text"] != ""), state(none, none, start, had_right), step, closed)
+    return F.when(F.size(words) <= 1, F.transform(words, lambda w: w["text"])).otherwise(read)
+
+
+def marked_order(words: Column) -> Column:
+    """The order by marks: the page's direction is that of the first two words, marks at words' ends
+    (and in a right-to-left line the next word's letters) switch it, and what goes the other way is
+    turned around, in a left-to-right line to its front. Words from the right, unless the given
+    order has its first word at neither or only one end of the line."""
+    none = F.array().cast("array<string>")
+    by_right, by_left = _sorted(words, -1), _sorted(words, 1)
+    first, last, far, near = words[0]["left"], F.element_at(words, -1)["left"], by_right[0]["left"], F.element_at(by_right, -1)["left"]
+    line = F.when((far != first) & (far != last) | (far == first) & (near == last), by_right).otherwise(by_left)
+    main = line[1]["left"] < line[0]["left"]
+    ends = lambda text, mark: F.endswith(text, F.lit(mark))
+    begin = F.when(main & ends(line[0]["text"], RIGHT_MARK), False).when(~main & ends(line[0]["text"], LEFT_MARK), True).otherwise(main)
+    steps = F.zip_with(
+        F.transform(line, lambda w, i: F.struct(w["text"].alias("text"), i.alias("i"))), F.concat(F.slice(F.transform(line, lambda w: w["text"]), 2, 10_000), F.array(F.lit(None).cast("string"))),
+        lambda w, following: F.struct(w["text"].alias("text"), w["i"].alias("i"), following.alias("following")),
+    )
+    state = lambda out, run, right, main: F.struct(out.alias("out"), run.alias("run"), right.alias("right"), main.alias("main"))
+    closed = lambda out, run, main: F.when(main, F.concat(out, F.reverse(run))).otherwise(F.concat(F.reverse(run), out))
+
+    def step(a: Column, w: Column) -> Column:
+        text, own = F.array(w["text"]), a["right"] == a["main"]
+        out, run = F.when(own, F.concat(a["out"], text)).otherwise(a["out"]), F.when(own, a["run"]).otherwise(F.concat(a["run"], text))
+        right = (
+            F.when((w["i"] > 0) & ends(w["text"], LEFT_MARK), False).when((w["i"] > 0) & ends(w["text"], RIGHT_MARK), True)
+            .when(a["main"] & F.coalesce(w["following"].rlike(HEBREW_LETTER), F.lit(False)), True).otherwise(a["right"])
+        )
+        turn = (right != a["right"]) & ~own
+        return state(F.when(turn, closed(out, run, a["main"])).otherwise(out), F.when(turn, none).otherwise(run), right, a["main"])
+
+    read = F.aggregate(F.filter(steps, lambda w: w["text"] != ""), state(none, none, begin, main), step, lambda a: closed(a["out"], a["run"], a["main"]))
+    return F.when(F.size(words) <= 1, F.transform(words, lambda w: w["text"])).otherwise(read)
