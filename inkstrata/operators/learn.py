@@ -19,6 +19,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .kept import kept as _kept
+
 BLOCK = 4096
 PAIRS = "_mine", "_other"
 
@@ -247,17 +249,6 @@ def _ordered(*columns: str):
     return Window.orderBy(*columns)
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="inkstrata-"))
-    return df.checkpoint()
-
-
 def spectral(edges: DataFrame, k: int) -> DataFrame:
     """Power-iteration clustering of a neighbour graph, an approximation of spectral
     clustering: (id, cluster)."""

@@ -42,11 +42,16 @@ def welch(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
     )
 
 
-def counted_before(counts: DataFrame, by: list[str], value: str, n: str, name: str, ranges: int = 64) -> DataFrame:
+def _cuts(df: DataFrame, columns: list[str], ranges: int = 64) -> list[list[float]]:
+    """Approximate quantiles of columns, in one pass."""
+    return [list(x or []) for x in df.agg(*[F.percentile_approx(c, [i / ranges for i in range(1, ranges)], 10_000) for c in columns]).first()]
+
+
+def counted_before(counts: DataFrame, by: list[str], value: str, n: str, name: str, ranges: int = 64, cuts: list[float] | None = None) -> DataFrame:
     """Sum of ``n`` over the smaller values of a group, for rows of different values. Values are
     cut into ranges at approximate quantiles; ranges are summed first, so that only a range's
-    values are ordered in one task, however many a group has."""
-    cuts = counts.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
+    values are ordered in one task, however many a group has. ``cuts``: quantiles that are known."""
+    cuts = _cuts(counts, [value], ranges)[0] if cuts is None else cuts
     cuts = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
     rows = counts.withColumn("_range", F.size(F.filter(cuts, lambda c: c < F.col(value))))
     sums = rows.groupBy(*by, "_range").agg(F.sum(n).alias("_sum"))
@@ -79,9 +84,18 @@ def mann_whitney(df: DataFrame, flag: Column, value: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
+    """(rho) of tie-averaged ranks. Pairs of values are counted, and the ranks of x summed for each value
+    of y, so that rows are read twice and never joined."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y"))
-    rows = average_ranks(average_ranks(rows, "x", [], "rx"), "y", [], "ry")
-    return rows.agg(F.corr("rx", "ry").alias("rho"))
+    cut_x, cut_y = _cuts(rows, ["x", "y"])
+    pairs = rows.groupBy("x", "y").agg(F.count("*").alias("c"))
+    rank = lambda c: F.col("b") + (F.col(c) + 1) / 2.0
+    by_x = counted_before(rows.groupBy("x").agg(F.count("*").alias("cx")), [], "x", "cx", "b", cuts=cut_x).select("x", "cx", rank("cx").alias("rx"))
+    by_y = pairs.join(by_x, "x").groupBy("y").agg(F.sum("c").alias("cy"), F.sum(F.col("c") * F.col("rx")).alias("sx"), F.sum(F.col("c") * F.col("rx") * F.col("rx")).alias("xx"))
+    by_y = counted_before(by_y, [], "y", "cy", "b", cuts=cut_y).withColumn("ry", rank("cy"))
+    s = by_y.agg(F.sum("cy").alias("n"), F.sum(F.col("sx") * F.col("ry")).alias("xy"), F.sum("xx").alias("xx"), F.sum(F.col("cy") * F.col("ry") * F.col("ry")).alias("yy"))
+    middle = F.col("n") * F.pow((F.col("n") + 1) / 2.0, F.lit(2.0))
+    return s.select(F.try_divide(F.col("xy") - middle, F.sqrt((F.col("xx") - middle) * (F.col("yy") - middle))).alias("rho"))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -199,6 +213,20 @@ def t_p_value(t: float, dof: float) -> float:
     return incomplete_beta(dof / 2, 0.5, dof / (dof + t * t)) if t is not None and t == t else float("nan")
 
 
+def chi2_cdf(x: float, dof: float) -> float:
+    """The regularised lower incomplete gamma function of dof / 2 and x / 2, by its series."""
+    a, x = dof / 2, x / 2
+    if x <= 0:
+        return 0.0
+    term = total = 1.0
+    n = 0
+    while term > 1e-17 * total:
+        n += 1
+        term *= x / (a + n)
+        total += term
+    return min(1.0, total * math.exp(a * math.log(x) - x - math.lgamma(a + 1)))
+
+
 def z_p_value(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
@@ -216,3 +244,23 @@ def f_p(f: Column, d1: Column, d2: Column) -> Column:
 
 def t_p(t: Column, dof: Column) -> Column:
     return F.pandas_udf(_of_pandas(t_p_value), "double", F.PandasUDFType.SCALAR)(t, dof)
+
+
+def anova_p(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """``anova`` with the p-value of each column."""
+    return anova(df, by, columns).withColumn("p_value", f_p(F.col("f_stat"), (F.col("k") - 1).cast("double"), (F.col("n") - F.col("k")).cast("double")))
+
+
+def welch_p(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """``welch`` with the two-sided p-value of each pair."""
+    return welch(df, by, columns).withColumn("p_value", t_p(F.col("t_stat"), F.col("dof")))
+
+
+def mann_whitney_p(df: DataFrame, flag: Column, value: str) -> DataFrame:
+    """``mann_whitney`` with the two-sided p-value."""
+    return mann_whitney(df, flag, value).withColumn("p_value", F.pandas_udf(_of_pandas(z_p_value), "double", F.PandasUDFType.SCALAR)(F.col("z")))
+
+
+def significant(tests: DataFrame, level: float = 0.05) -> DataFrame:
+    """The tests whose p-value is below the level."""
+    return tests.where((F.col("p_value") < level) & ~F.isnan("p_value"))

@@ -1,3 +1,3 @@
 """The queries of the core; importing a module of this package registers all of them."""
 
-from . import queries, structure  # noqa: F401
+from . import learners, queries, structure  # noqa: F401

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import recode, text
 from ..layout import config, pages
-from ..operators import learn, profile, relational, sequence, stats
+from ..operators import learn, profile, relational, robust, sequence, stats
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -663,8 +663,8 @@ def logit_terms(spark, sf_dir):
 @query()
 def detector_votes(spark, sf_dir):
     df, _ = learn.pca(Tables(spark, sf_dir).embeddings, "embedding", 6)
-    df = learn.elliptic_envelope(learn.isolation_forest(df, "vec_id", "pc", trees=30), "pc")
-    df = learn.one_class(df, "vec_id", "pc")
+    df = robust.robust_envelope(learn.isolation_forest(df, "vec_id", "pc", trees=30), "vec_id", "pc")
+    df = robust.one_class_machine(df, "vec_id", "pc")
     edges = learn.lof(learn.knn_edges(df.select("vec_id", "pc"), "vec_id", "pc", 20), 20)
     df = df.join(edges.withColumnRenamed("row_id", "vec_id"), "vec_id")
     df = learn._flag_top(df, "lof", 0.01, "anomaly_lof")
