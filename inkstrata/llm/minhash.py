@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from .common import LOWER, U64, SpanHasher, bounded_batches, components, give_back, long_list, mix, text_chunks, with_checked_broadcast, word_spans, written
 
 K = 32
-BLOCK = 1024
+BLOCK = 1024  # members of a list that are one block, fewer if their sets are large
+SET_VALUES = 2_000_000  # hashes in all sets of a block
+PAIRS = 65_536  # looked at together
 SIZE_CLASS = math.log(1.2501)
 
 
@@ -249,8 +251,11 @@ def _across(label: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
     """Members of a list that pass the union-sketch estimate with a member of another label. A
     list of more than BLOCK members is cut into blocks and every pair of blocks is a group.
     Only the first list that both are on looks at a pair. Not the pairs are returned but the
-    members, once for each group, so that rows never grow with the square of a list."""
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int")
+    members, once for each group, so that rows never grow with the square of a list. A list's sets are of
+    like sizes, so that its size class bounds the bytes of a block."""
+    largest = F.exp((F.col("size_class") + 2) * F.lit(SIZE_CLASS))
+    members = F.least(F.lit(BLOCK), F.greatest(F.floor(F.lit(SET_VALUES) / largest), F.lit(1)))
+    blocks = F.greatest(F.ceil(F.col("n") / members), F.lit(1)).cast("int")
     mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     rows = (
         label.withColumn("blocks", blocks)
@@ -274,8 +279,22 @@ def _across(label: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
         # the commonest label's members need no comparison among themselves
         names, count = np.unique(labels, return_counts=True)
         from_ = np.flatnonzero(labels != names[count.argmax()])
+        inner = np.zeros(len(ids), bool)
+        inner[from_] = True
         mark = np.zeros(len(values) + 1, np.uint8)
-        u, v = [], []
+        found = np.zeros(len(ids), bool)
+
+        def settle(u: np.ndarray, v: np.ndarray) -> None:
+            first = (own[u] != own[v]) | (own[u] == size_class)
+            u, v = u[first], v[first]
+            for at in range(0, len(u), 8192):
+                a, b = listed[u[at : at + 8192]], listed[v[at : at + 8192]]
+                earlier = ((a[:, :, None] == b[:, None, :]) & (a < this)[:, :, None]).any(axis=(1, 2))
+                for i, j in zip(u[at : at + 8192][~earlier].tolist(), v[at : at + 8192][~earlier].tolist(), strict=True):
+                    if not (found[i] and found[j]) and union_estimate(sketches[i], sketches[j], k) >= max(least[i], least[j]):
+                        found[i] = found[j] = True
+
+        us, vs, waiting = [], [], 0
         for r in from_:
             mark[columns[r]] = 1
             mark[-1] = 0
@@ -284,27 +303,18 @@ def _across(label: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
             near = np.flatnonzero((overlap >= np.maximum(least, least[r])) & (labels != labels[r]))
             if lo != hi:
                 near = near[mine[near] != mine[r]]
-            u.append(np.full(len(near), r))
-            v.append(near)
-        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
-        pair = np.unique(np.minimum(u, v) * len(ids) + np.maximum(u, v))
-        u, v = pair // len(ids), pair % len(ids)
-        first = (own[u] != own[v]) | (own[u] == size_class)
-        u, v = u[first], v[first]
-        keep = []
-        for at in range(0, len(u), 8192):
-            a, b = listed[u[at : at + 8192]], listed[v[at : at + 8192]]
-            earlier = ((a[:, :, None] == b[:, None, :]) & (a < this)[:, :, None]).any(axis=(1, 2))
-            keep.append(~earlier)
-        keep = np.concatenate(keep) if keep else np.zeros(0, bool)
-        u, v = u[keep], v[keep]
-        found = np.zeros(len(ids), bool)
-        for a, b in zip(u.tolist(), v.tolist(), strict=True):
-            if not (found[a] and found[b]) and union_estimate(sketches[a], sketches[b], k) >= max(least[a], least[b]):
-                found[a] = found[b] = True
+            near = near[(~inner[near] | (near > r)) & ~(found[r] & found[near])]  # each pair once
+            us.append(np.full(len(near), r))
+            vs.append(near)
+            waiting += len(near)
+            if waiting >= PAIRS:
+                settle(np.concatenate(us), np.concatenate(vs))
+                us, vs, waiting = [], [], 0
+        if waiting:
+            settle(np.concatenate(us), np.concatenate(vs))
         out = group.select(["value", "size_class", "lo", "hi", "mine", "doc_id", "label"]).filter(pa.array(found))
         if len(ids) > BLOCK // 4:
-            del pair, u, v, keep, first, columns, listed, group
+            del us, vs, columns, listed, group
             give_back()
         return out
 
