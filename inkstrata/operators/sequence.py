@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kept import kept
+
 Names = list[str]
 
 
@@ -89,9 +91,22 @@ def from_end(df: DataFrame, by: Names, order: Names, name: str = "from_end") ->
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*[F.desc(c) for c in order])))
 
 
+def numbered(df: DataFrame, by: Names, order: Names, name: str) -> DataFrame:
+    """1, 2, ... in each group, however large: rows are sorted by ranges over all tasks, each range of a group is
+    numbered by itself, and what the ranges before it hold is added. ``order`` is total within a group."""
+    ranged = kept(df.repartitionByRange(*by, *order).withColumn("_p", F.spark_partition_id()))
+    counts = ranged.groupBy(*by, "_p").agg(F.count("*").alias("_c"))  # a row for each range and group in it
+    earlier = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_base", F.coalesce(F.sum("_c").over(earlier), F.lit(0))).drop("_c")
+    null_safe = [F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")) for c in (*by, "_p")]
+    out = ranged.alias("_l").join(counts.alias("_r"), null_safe).select("_l.*", "_r._base")
+    own = F.row_number().over(Window.partitionBy(*by, "_p").orderBy(*order))
+    return out.withColumn(name, (own + F.col("_base")).cast("int")).drop("_p", "_base")
+
+
 def two_numberings(df: DataFrame, page: Names, collected: Names, by: Names) -> DataFrame:
     """Numbers in page order and in the order of collection."""
-    return df.withColumn("page_order_no", F.row_number().over(_w(by, page))).withColumn("collected_no", F.row_number().over(_w(by, collected)))
+    return numbered(numbered(df, by, page, "page_order_no"), by, collected, "collected_no")
 
 
 def ordered_text(df: DataFrame, by: Names, order: Names, text: str, separator: str, name: str = "content") -> DataFrame:
