@@ -107,7 +107,7 @@ def _refined(edges: DataFrame, nodes: DataFrame, total: float, resolution: float
     return fine.select("id", F.col("c").alias("part"))
 
 
-def leiden(edges: DataFrame, resolution: float = 1.0, levels: int = 10, rounds: int = 8) -> DataFrame:
+def leiden(edges: DataFrame, resolution: float = 1.0, levels: int = 10, rounds: int = 5) -> DataFrame:
     """(id, cluster): communities of an undirected graph (src, dst and, if there is one, w) of high modularity
     with ``resolution``; each hangs together and is called by its smallest node.
 

@@ -63,13 +63,14 @@ def chi2_quantile(p: float, d: int) -> float:
     return (low + high) / 2
 
 
-def minimum_covariance(df: DataFrame, key: str, vec: str, support: float | None = None, starts: int = 8, steps: int = 3, most: int = 30, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def minimum_covariance(df: DataFrame, key: str, vec: str, support: float | None = None, starts: int = 6, steps: int = 2, most: int = 12, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """(mean, covariance) of the ``support`` share of rows whose covariance has the least determinant, brought
     to the scale of normal rows and weighted again.
 
     Starts are d + 1 rows each, of a keyed sample; concentration steps take the rows nearest by the last
     covariance, all starts in one pass over all rows, then the best two to the end.
     """
+    df = _kept(df.select(key, vec))
     few = np.stack(keyed_sample(df.select(key, vec), key, 500).orderBy(key).toPandas()[vec].to_numpy()).astype(float)
     d, rng = few.shape[1], np.random.default_rng(seed)
     n = df.count()
@@ -115,7 +116,7 @@ def robust_envelope(df: DataFrame, key: str, vec: str, share: float = 0.01, name
 
 
 def one_class_machine(
-    df: DataFrame, key: str, vec: str, nu: float = 0.01, features: int = 256, gamma: float | None = None, rounds: int = 30, name: str = "anomaly_svm", score: str | None = None, max_sample: int = 20_000
+    df: DataFrame, key: str, vec: str, nu: float = 0.01, features: int = 256, gamma: float | None = None, rounds: int = 12, name: str = "anomaly_svm", score: str | None = None, max_sample: int = 20_000
 ) -> DataFrame:
     """-1 for rows outside the one-class machine with a Gaussian kernel, 1 for the others.
 
@@ -125,6 +126,7 @@ def one_class_machine(
     nu-quantile of the scores, so that a share of nu rows, those at the margin, is outside. Only the kernel's
     width comes from a sample. ``score`` names a column for the distance from the offset.
     """
+    rest, df = df, _kept(df.select(key, vec))
     if gamma is None:
         sample = np.stack(keyed_sample(df.select(key, vec), key, max_sample).toPandas()[vec].to_numpy()).astype(float)
         gamma = 1 / max(sample.shape[1] * sample.var(), 1e-12)
@@ -155,5 +157,6 @@ def one_class_machine(
         direction = direction + min(1.0, max(0.0, -float(direction @ step) / max(float(step @ step), 1e-300))) * step
     scored = _kept(_scored(df, vec, lambda x: phi(x) @ direction, "_s"))
     rho = quantile(scored, "_s", nu)
-    out = scored.withColumn(name, F.when(F.col("_s") < rho, -1).otherwise(1))
+    scored = scored.select(F.col(key), "_s")
+    out = rest.join(scored, key).withColumn(name, F.when(F.col("_s") < rho, -1).otherwise(1))
     return out.withColumn(score, F.col("_s") - rho).drop("_s") if score else out.drop("_s")

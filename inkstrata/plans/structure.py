@@ -14,7 +14,7 @@ from .queries import Tables, query
 
 _LINES = """l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents),
 g AS (SELECT doc_id, n // 20 + 1 AS page, n AS line_no, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, length(text) AS len,
- (100 + length(text) * 7 % 13 * 20)::DOUBLE AS lft, (1000 - length(text) % 5 * 40)::DOUBLE AS rgt, (n % 20 * 60 + length(text) % 30)::DOUBLE AS top, (n % 20 * 60 + length(text) % 30 + 20)::DOUBLE AS bottom,
+ (100 + length(text) * 7 % 13 * 20)::DOUBLE AS lft, (1000 - length(text) % 5 * 60)::DOUBLE AS rgt, (n % 20 * 60 + length(text) % 30)::DOUBLE AS top, (n % 20 * 60 + length(text) % 30 + 20)::DOUBLE AS bottom,
  (20 + length(text) % 12)::DOUBLE AS size, n // 3 AS block_num FROM l),
 a AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no) > 1 AS later FROM g WHERE size <= 30),
 m AS (SELECT *, arg_max(CASE WHEN later THEN size END, CASE WHEN later THEN (rgt - lft, -line_no) END) OVER (PARTITION BY doc_id, page) AS main_size FROM a),
@@ -42,7 +42,7 @@ def _lines(spark, sf_dir) -> DataFrame:
     top = n % 20 * 60 + size % 30
     df = l.select(
         "doc_id", (F.floor(n / 20) + 1).alias("page"), n.alias("line_no"), F.trim(F.regexp_replace("raw", r"\s+", " ")).alias("text"), size.alias("len"), (100 + size * 7 % 13 * 20).cast("double").alias("left"),
-        (1000 - size % 5 * 40).cast("double").alias("right"), top.cast("double").alias("top"), (top + 20).cast("double").alias("bottom"), (20 + size % 12).cast("double").alias("size"), F.floor(n / 3).alias("block_num"),
+        (1000 - size % 5 * 60).cast("double").alias("right"), top.cast("double").alias("top"), (top + 20).cast("double").alias("bottom"), (20 + size % 12).cast("double").alias("size"), F.floor(n / 3).alias("block_num"),
     )
     return lines.kept_lines(df.withColumn("text_size", F.col("size")), F.col("page"), F.lit(1100.0))
 
