@@ -150,14 +150,21 @@ def meta_clusters(df: DataFrame, cluster: str, vec: str, clusters: int, name: st
 
 
 def _with_blocks(df: DataFrame, key: str, compare, schema: str) -> DataFrame:
-    """``compare`` of two pandas frames for every pair of blocks of rows: rows of the first frame
-    are each in one block, and meet every block."""
+    """``compare`` of two pandas frames for every ordered pair of blocks of rows: rows of the first frame
+    are each in one block, and meet every block. A task has two blocks and compares both ways, so that a row
+    is sent once for each block."""
     n = max(1, -(-df.count() // BLOCK))
     own = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = df.withColumn("_mine", own).withColumn("_other", every)
-    right = df.toDF(*df.columns).withColumn("_other", own).withColumn("_mine", every)
-    return left.groupBy(*PAIRS).cogroup(right.groupBy(*PAIRS)).applyInPandas(compare, schema)
+    sent = df.withColumn("_own", own).withColumn("_met", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    sent = sent.withColumns({PAIRS[0]: F.least("_own", "_met"), PAIRS[1]: F.greatest("_own", "_met")}).drop("_met")
+
+    def both(pair, f):
+        if pair[0] == pair[1]:
+            return compare(f, f)
+        a, b = f[f["_own"] == pair[0]], f[f["_own"] == pair[1]]
+        return pd.concat([compare(a, b), compare(b, a)])
+
+    return sent.groupBy(*PAIRS).applyInPandas(both, schema)
 
 
 def _matrix(f: pd.DataFrame, vec: str) -> np.ndarray:
