@@ -337,15 +337,14 @@ def trustworthiness(x: np.ndarray, y: np.ndarray, k: int = 5) -> float:
 
 
 class Forest:
-    """Isolation trees grown on driver-size subsamples; path lengths by array lookups."""
+    """Isolation trees as tables of nodes (feature or -1, cut or depth, low, high); path lengths by array lookups."""
 
-    def __init__(self, sample: np.ndarray, trees: int = 100, size: int = 256, seed: int = 42):
-        rng = np.random.default_rng(seed)
-        self.size = min(size, len(sample))
-        self.trees = [self._grow(sample[rng.choice(len(sample), self.size, replace=False)], rng) for _ in range(trees)]
+    def __init__(self, trees: list[np.ndarray], size: int):
+        self.trees, self.size = trees, size
 
-    def _grow(self, x: np.ndarray, rng) -> list[tuple]:
-        limit, nodes = math.ceil(math.log2(max(2, self.size))), []
+    @classmethod
+    def grow(cls, x: np.ndarray, rng) -> list[list]:
+        limit, nodes = math.ceil(math.log2(max(2, len(x)))), []
         stack = [(x, 0, None, 0)]
         while stack:
             part, depth, parent, side = stack.pop()
@@ -354,7 +353,7 @@ class Forest:
                 nodes[parent][2 + side] = at
             wide = np.flatnonzero(part.max(axis=0) > part.min(axis=0)) if len(part) > 1 else []
             if depth >= limit or not len(wide):
-                nodes.append([-1, depth + self.average(len(part)), 0, 0])
+                nodes.append([-1, depth + cls.average(len(part)), 0, 0])
                 continue
             f = int(rng.choice(wide))
             cut = rng.uniform(part[:, f].min(), part[:, f].max())
@@ -368,8 +367,7 @@ class Forest:
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
-        for nodes in self.trees:
-            t = np.array(nodes, float)
+        for t in self.trees:
             at = np.zeros(len(x), int)
             while True:
                 inner = np.flatnonzero(t[at, 0] >= 0)
@@ -422,11 +420,26 @@ def _flag_top(df: DataFrame, score: str, share: float, name: str) -> DataFrame:
     return df.withColumn(name, F.when(F.col(score) > cut, -1).otherwise(1))
 
 
-def isolation_forest(df: DataFrame, key: str, vec: str, share: float = 0.01, trees: int = 100, name: str = "anomaly_iforest", max_sample: int = 20_000) -> DataFrame:
-    from .profile import keyed_sample
-
-    sample = np.stack(keyed_sample(df.select(key, vec), key, max_sample).toPandas()[vec].to_numpy()).astype(float)
-    return _flag_top(_scored(df, vec, Forest(sample, trees).scores, "_score"), "_score", share, name).drop("_score")
+def isolation_forest(df: DataFrame, key: str, vec: str, share: float = 0.01, trees: int = 100, name: str = "anomaly_iforest", size: int = 256, seed: int = 42) -> DataFrame:
+    """Flags by the mean path length in trees on ``size`` rows each, drawn from all rows by a hash of key and tree and grown
+    in tasks of their own. The driver sees nodes only, fewer than 2 * size a tree."""
+    n, whole = df.count(), 1 << 62
+    if not n:
+        return df.withColumn(name, F.lit(1))
+    drawn = lambda t: F.pmod(F.xxhash64(F.col(key), t, F.lit(seed)), F.lit(whole))
+    most = whole if n <= 2 * size else whole * 2 * size // n  # twice as many as needed, the smallest count
+    every = F.sequence(F.lit(0), F.lit(trees - 1))
+    rows = df.select(key, vec, F.explode(F.filter(every, lambda t: drawn(t) < F.lit(most))).alias("tree")).withColumn("_h", drawn(F.col("tree")))
+
+    def grown(f: pd.DataFrame) -> pd.DataFrame:
+        tree = int(f["tree"].iloc[0])
+        f = f.sort_values("_h", kind="stable").head(size)
+        out = pd.DataFrame(Forest.grow(_matrix(f, vec), np.random.default_rng([seed, tree])), columns=["feature", "cut", "low", "high"])
+        return out.assign(tree=tree, node=np.arange(len(out)))
+
+    nodes = rows.groupBy("tree").applyInPandas(grown, "tree int, node int, feature int, cut double, low int, high int").toPandas()
+    tables = [t.sort_values("node")[["feature", "cut", "low", "high"]].to_numpy(float) for _, t in nodes.groupby("tree")]
+    return _flag_top(_scored(df, vec, Forest(tables, min(size, n)).scores, "_score"), "_score", share, name).drop("_score")
 
 
 def elliptic_envelope(df: DataFrame, vec: str, share: float = 0.01, name: str = "anomaly_ee") -> DataFrame:

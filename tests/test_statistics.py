@@ -88,3 +88,16 @@ def test_columns_by_name_and_kind(spark):
     df = spark.createDataFrame([(1, "x", 2.0)], "a_n int, a_s string, b double")
     assert profile.columns_like(df, "a_") == ["a_n", "a_s"] and profile.columns_like(df, numeric=True) == ["a_n", "b"]
     assert profile.described(df.withColumn("b", F.lit(None).cast("double")), ["a_n", "b"]).count() == 1
+
+
+def test_forest_from_all_rows(spark):
+    """Far rows are flagged, however few of all rows a tree sees; any partitions, no rows and equal rows."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 3))
+    x[:6] += 15
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<double>")
+    flags = [{r["id"] for r in learn.isolation_forest(df.repartition(p), "id", "v", 0.002, 40, size=64).where("anomaly_iforest = -1").collect()} for p in (3, 8)]
+    assert flags[0] == flags[1] == set(range(6))
+    assert learn.isolation_forest(df.limit(0), "id", "v").count() == 0
+    same = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(9)], "id bigint, v array<double>")
+    assert learn.isolation_forest(same, "id", "v").where("anomaly_iforest = -1").count() == 0
