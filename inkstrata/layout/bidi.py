@@ -74,6 +74,12 @@ LEFT_MARK, RIGHT_MARK = "‎", "‏"
 BRACKETS, TURNED = "()[]", ")(]["
 
 
+def bound(x: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used: what an expression repeats, it computes again,
+    and in nested ones that multiplies."""
+    return F.transform(F.array(x), body)[0]
+
+
 def _turned(x: Column) -> Column:
     """Punctuation seen from the other side, without marks."""
     return F.regexp_replace(F.reverse(F.translate(x, BRACKETS, TURNED)), f"[{LEFT_MARK}{RIGHT_MARK}]", "")
@@ -83,13 +89,19 @@ def turned_at_edges(run: Column) -> Column:
     """A run of left-to-right words with the brackets at its edges moved to the side on which they
     stand in reading order: what closes the last word opens the first, and the other way round. If both
     happen, what closed the last word is lost."""
+
+    def turned(e: Column) -> Column:
+        first, last, opening, closing = e["first"], e["last"], e["opening"], e["closing"]
+        start = F.when(opening != "", F.substring(first, F.length(opening) + 1, F.length(first))).otherwise(F.concat(_turned(closing), first))
+        end = F.concat(F.substring(last, F.lit(1), F.length(last) - F.length(closing)), _turned(opening))
+        return F.concat(F.array(start), F.slice(run, F.lit(2), F.greatest(F.size(run) - 2, F.lit(0))), F.array(end))
+
     first, last = run[0], F.element_at(run, -1)
-    closing = F.regexp_extract(last, rf"([\p{{P}}\p{{S}}]*\)[{LEFT_MARK}{RIGHT_MARK}]?)$", 1)
-    opening = F.regexp_extract(first, r"^(\([\p{P}\p{S}]*)", 1)
-    start = F.when(opening != "", F.substring(first, F.length(opening) + 1, F.length(first))).otherwise(F.concat(_turned(closing), first))
-    end = F.concat(F.substring(last, F.lit(1), F.length(last) - F.length(closing)), _turned(opening))
-    inner = F.slice(run, F.lit(2), F.greatest(F.size(run) - 2, F.lit(0)))
-    return F.when(F.size(run) > 1, F.concat(F.array(start), inner, F.array(end))).otherwise(run)
+    closing = F.when(last.contains(")"), F.regexp_extract(last, rf"([\p{{P}}\p{{S}}]*\)[{LEFT_MARK}{RIGHT_MARK}]?)$", 1)).otherwise("")
+    opening = F.when(first.startswith("("), F.regexp_extract(first, r"^(\([\p{P}\p{S}]*)", 1)).otherwise("")
+    edges = F.struct(first.alias("first"), last.alias("last"), opening.alias("opening"), closing.alias("closing"))
+    some = last.contains(")") | first.startswith("(")
+    return F.when((F.size(run) > 1) & some, bound(edges, turned)).otherwise(run)
 
 
 def _sorted(words: Column, sign: int) -> Column:
@@ -103,20 +115,27 @@ def reading_order(words: Column, had_right: Column | bool = False) -> Column:
     left-to-right words in their own order, words without letters in the direction before them. After
     a right-to-left word (or with ``had_right``) brackets at the edges of such runs are turned."""
     none, had_right = F.array().cast("array<string>"), F.lit(had_right) if isinstance(had_right, bool) else had_right
-    line = _sorted(words, -1)
-    start = F.coalesce(line[0]["text"].rlike(HEBREW_LETTER), F.lit(False))
     state = lambda out, run, right, had: F.struct(out.alias("out"), run.alias("run"), right.alias("right"), had.alias("had"))
     closed = lambda a: F.concat(a["out"], F.when(a["had"], turned_at_edges(a["run"])).otherwise(a["run"]))
 
     def step(a: Column, w: Column) -> Column:
+        # a word's letters tell its direction: true, false or (null) that of the word before
         text = F.array(w["text"])
-        right = F.when(w["text"].rlike(HEBREW_LETTER), True).when(w["text"].rlike(r"^\P{L}+$"), a["right"]).otherwise(False)
-        changed = right != a["right"]
-        out, run = F.when(changed, closed(a)).otherwise(a["out"]), F.when(changed, none).otherwise(a["run"])
-        return state(F.when(right, F.concat(out, text)).otherwise(out), F.when(right, run).otherwise(F.concat(text, run)), right, a["had"] | right)
 
-    read = F.aggregate(F.filter(line, lambda w: w["text"] != ""), state(none, none, start, had_right), step, closed)
-    return F.when(F.size(words) <= 1, F.transform(words, lambda w: w["text"])).otherwise(read)
+        def turn(right: Column) -> Column:
+            same = F.when(right, state(F.concat(a["out"], text), a["run"], right, a["had"] | right)).otherwise(state(a["out"], F.concat(text, a["run"]), right, a["had"] | right))
+            other = F.when(right, state(F.concat(closed(a), text), none, right, a["had"] | right)).otherwise(state(closed(a), text, right, a["had"] | right))
+            return F.when(right != a["right"], other).otherwise(same)
+
+        return bound(F.coalesce(w["right"], a["right"]), turn)
+
+    def read(line: Column) -> Column:
+        start = F.coalesce(line[0]["text"].rlike(HEBREW_LETTER), F.lit(False))
+        own = lambda t: F.when(t.rlike(HEBREW_LETTER), True).when(~t.rlike(r"\p{L}") & (t != ""), F.lit(None).cast("boolean")).otherwise(False)
+        texts = F.filter(line, lambda w: w["text"] != "")
+        return F.aggregate(F.transform(texts, lambda w: F.struct(w["text"].alias("text"), own(w["text"]).alias("right"))), state(none, none, start, had_right), step, closed)
+
+    return bound(words, lambda ws: F.when(F.size(ws) <= 1, F.transform(ws, lambda w: w["text"])).otherwise(bound(_sorted(ws, -1), read)))
 
 
 def marked_order(words: Column) -> Column:
@@ -125,28 +144,35 @@ def marked_order(words: Column) -> Column:
     turned around, in a left-to-right line to its front. Words from the right, unless the given
     order has its first word at neither or only one end of the line."""
     none = F.array().cast("array<string>")
-    by_right, by_left = _sorted(words, -1), _sorted(words, 1)
-    first, last, far, near = words[0]["left"], F.element_at(words, -1)["left"], by_right[0]["left"], F.element_at(by_right, -1)["left"]
-    line = F.when((far != first) & (far != last) | (far == first) & (near == last), by_right).otherwise(by_left)
-    main = line[1]["left"] < line[0]["left"]
     ends = lambda text, mark: F.endswith(text, F.lit(mark))
-    begin = F.when(main & ends(line[0]["text"], RIGHT_MARK), False).when(~main & ends(line[0]["text"], LEFT_MARK), True).otherwise(main)
-    steps = F.zip_with(
-        F.transform(line, lambda w, i: F.struct(w["text"].alias("text"), i.alias("i"))), F.concat(F.slice(F.transform(line, lambda w: w["text"]), 2, 10_000), F.array(F.lit(None).cast("string"))),
-        lambda w, following: F.struct(w["text"].alias("text"), w["i"].alias("i"), following.alias("following")),
-    )
     state = lambda out, run, right, main: F.struct(out.alias("out"), run.alias("run"), right.alias("right"), main.alias("main"))
     closed = lambda out, run, main: F.when(main, F.concat(out, F.reverse(run))).otherwise(F.concat(F.reverse(run), out))
 
     def step(a: Column, w: Column) -> Column:
-        text, own = F.array(w["text"]), a["right"] == a["main"]
-        out, run = F.when(own, F.concat(a["out"], text)).otherwise(a["out"]), F.when(own, a["run"]).otherwise(F.concat(a["run"], text))
+        text = F.array(w["text"])
+
+        def turn(right: Column) -> Column:
+            own = a["right"] == a["main"]
+            kept = F.when(own, state(F.concat(a["out"], text), a["run"], right, a["main"])).otherwise(state(a["out"], F.concat(a["run"], text), right, a["main"]))
+            return F.when((right != a["right"]) & ~own, state(closed(a["out"], F.concat(a["run"], text), a["main"]), none, right, a["main"])).otherwise(kept)
+
         right = (
             F.when((w["i"] > 0) & ends(w["text"], LEFT_MARK), False).when((w["i"] > 0) & ends(w["text"], RIGHT_MARK), True)
             .when(a["main"] & F.coalesce(w["following"].rlike(HEBREW_LETTER), F.lit(False)), True).otherwise(a["right"])
         )
-        turn = (right != a["right"]) & ~own
-        return state(F.when(turn, closed(out, run, a["main"])).otherwise(out), F.when(turn, none).otherwise(run), right, a["main"])
-
-    read = F.aggregate(F.filter(steps, lambda w: w["text"] != ""), state(none, none, begin, main), step, lambda a: closed(a["out"], a["run"], a["main"]))
-    return F.when(F.size(words) <= 1, F.transform(words, lambda w: w["text"])).otherwise(read)
+        return bound(right, turn)
+
+    def read(line: Column) -> Column:
+        following = lambda i: F.get(line, i + 1)["text"]
+        steps = F.transform(line, lambda w, i: F.struct(w["text"].alias("text"), i.alias("i"), following(i).alias("following")))
+        begin = lambda main: F.when(main & ends(line[0]["text"], RIGHT_MARK), False).when(~main & ends(line[0]["text"], LEFT_MARK), True).otherwise(main)
+        read = lambda main: F.aggregate(F.filter(steps, lambda w: w["text"] != ""), state(none, none, begin(main), main), step, lambda a: closed(a["out"], a["run"], a["main"]))
+        return bound(line[1]["left"] < line[0]["left"], read)
+
+    def placed(ws: Column) -> Column:
+        lefts = F.transform(ws, lambda w: w["left"])
+        ends_at = F.struct(ws[0]["left"].alias("first"), F.element_at(ws, -1)["left"].alias("last"), F.array_max(lefts).alias("far"), F.array_min(lefts).alias("near"))
+        by_right = bound(ends_at, lambda e: (e["far"] != e["first"]) & (e["far"] != e["last"]) | (e["far"] == e["first"]) & (e["near"] == e["last"]))
+        return bound(F.when(by_right, _sorted(ws, -1)).otherwise(_sorted(ws, 1)), read)
+
+    return bound(words, lambda ws: F.when(F.size(ws) <= 1, F.transform(ws, lambda w: w["text"])).otherwise(placed(ws)))

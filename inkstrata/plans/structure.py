@@ -119,14 +119,22 @@ a8 AS (SELECT doc_id, line, string_agg(text, ' ' ORDER BY CASE WHEN c = 1 OR (NO
 @query("WITH " + _MIXED + _BY_LETTERS + _BY_MARKS + "SELECT doc_id, line, by_letters, by_marks FROM j JOIN a8 USING (doc_id, line)")
 def reading_orders(spark, sf_dir):
     """Eight words of a document as a line of mixed script, in two orders."""
-    w = Tables(spark, sf_dir).documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("p", "word")).where("word <> ''")
-    p, n, line = F.col("p"), F.length("word"), F.floor(F.col("p") / 8)
-    left = (F.when(line % 3 == 0, p * 5 % 8).otherwise(p % 8) * 90 * F.when(line % 3 == 1, -1).otherwise(1)).cast("double")
-    body = F.when(n % 5 < 2, F.translate("word", "abcdefghijklmnopqrstuvwxyz", "אבגדהוזחטיכלמנסעפצקרשתםןףך")).when(n % 5 == 2, F.lit("12")).otherwise(F.col("word"))
-    mark = F.when(n % 11 == 5, F.lit(bidi.LEFT_MARK)).when(n % 11 == 7, F.lit(bidi.RIGHT_MARK)).otherwise("")
-    text = F.concat(F.when(n % 7 == 3, "(").otherwise(""), body, F.when(n % 7 == 4, ")").otherwise(""), mark)
-    words = F.array_sort(F.collect_list(F.struct((p % 8).alias("k"), left.alias("left"), text.alias("text"))))
-    own = w.groupBy("doc_id", line.alias("line")).agg(words.alias("words")).withColumn("words", F.transform("words", lambda x: F.struct(x["left"].alias("left"), x["text"].alias("text"))))
+
+    def word(x):
+        p, line, n = x["p"], x["line"], x["n"]
+        left = (F.when(line % 3 == 0, p * 5 % 8).otherwise(p % 8) * 90 * F.when(line % 3 == 1, -1).otherwise(1)).cast("double")
+        body = F.when(n % 5 < 2, F.translate(x["word"], "abcdefghijklmnopqrstuvwxyz", "אבגדהוזחטיכלמנסעפצקרשתםןףך")).when(n % 5 == 2, F.lit("12")).otherwise(x["word"])
+        mark = F.when(n % 11 == 5, F.lit(bidi.LEFT_MARK)).when(n % 11 == 7, F.lit(bidi.RIGHT_MARK)).otherwise("")
+        return F.struct(left.alias("left"), F.concat(F.when(n % 7 == 3, "(").otherwise(""), body, F.when(n % 7 == 4, ")").otherwise(""), mark).alias("text"))
+
+    def lines_of(ws):
+        places = lambda line: F.sequence(line * 8, F.least(line * 8 + 7, F.size(ws).cast("long") - 1))
+        words = lambda line: F.filter(F.transform(places(line), lambda p: F.struct(p.alias("p"), line.alias("line"), ws[p.cast("int")].alias("word"), F.length(ws[p.cast("int")]).alias("n"))), lambda x: x["word"] != "")
+        return F.transform(F.sequence(F.lit(0).cast("long"), F.floor((F.size(ws) - 1) / 8)), lambda line: F.struct(line.alias("line"), words(line).alias("words")))
+
+    # a line's words stand together in their text, so that lines are cut where the text is
+    own = Tables(spark, sf_dir).documents.where("text is not null").select("doc_id", F.explode(bidi.bound(F.split("text", " "), lines_of)).alias("l")).where(F.size("l.words") > 0)
+    own = own.select("doc_id", "l.line", F.transform("l.words", word).alias("words"))
     joined = lambda order: F.array_join(order(F.col("words")), " ")
     return own.select("doc_id", "line", joined(bidi.reading_order).alias("by_letters"), joined(bidi.marked_order).alias("by_marks"))
 

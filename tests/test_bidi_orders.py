@@ -105,3 +105,11 @@ def test_hand_made_lines(spark):
     # within the run 1999) stands first, so its bracket opens the run's other end
     assert row["a"] == row["b"] == by_letters(line)
     assert bidi.typeset(["abc", "def", "שלום"]) == "שלום abc def"
+
+
+def test_orders_compute_each_value_once_and_need_no_shuffle(spark):
+    from inkstrata.plans.structure import reading_orders
+
+    plan = reading_orders(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # what is repeated in an expression is computed again: lines were sorted dozens of times
+    assert "Exchange" not in plan and plan.count("array_sort(") <= 4
