@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from .kept import kept as _kept
 from .learn import _margin, _matrix, _squares, _with_blocks
 
+#: Rows of a block of ``linked_within``.
+BLOCK = 8192
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """(src, dst, w), each pair in both directions, weighted by how often it is there; loops go. An edge
@@ -293,9 +296,95 @@ def spanning_tree(df: DataFrame, key: str, vec: str, edges: DataFrame, height: f
     return tree if tree is not None else df.sparkSession.createDataFrame([], "src bigint, dst bigint, dist double")
 
 
-def single_linkage(df: DataFrame, key: str, vec: str, edges: DataFrame, clusters: int | None = None, height: float | None = None, name: str = "cluster") -> DataFrame:
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of the places 0 to n - 1 that each is joined to by pairs of places."""
+    low = np.arange(n)
+    while len(a):
+        new = low.copy()
+        np.minimum.at(new, low[a], low[b])
+        np.minimum.at(new, low[b], low[a])
+        while True:  # to the end of each chain
+            up = new[new]
+            if (up == new).all():
+                break
+            new = up
+        low = new
+        apart = low[a] != low[b]
+        a, b = a[apart], b[apart]
+    return low
+
+
+def _within(x: np.ndarray, y: np.ndarray, height: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of rows of two matrices up to ``height`` apart: by one product, exactly where rounding might tell."""
+    d, margin = _squares(x, y), _margin(x, y)
+    row, at = np.nonzero(d <= height * height + margin)
+    near = d[row, at] > height * height - margin
+    sure = ~near
+    sure[near] = np.sqrt(((x[row[near]] - y[at[near]]) ** 2).sum(axis=1)) <= height
+    return row[sure], at[sure]
+
+
+def linked_within(df: DataFrame, key: str, vec: str, height: float) -> DataFrame:
+    """(id, component): the smallest key that each row reaches by steps of at most ``height``, for all rows.
+
+    First the rows of a block are linked, in two cuts into blocks by different hashes, which takes a multiple of the rows.
+    A row of the largest component needs no more among its own: only the others are compared with all rows, in
+    blocks, which give the components that they join and no pairs.
+    """
+    rows = _kept(df.select(F.col(key).cast("long").alias("id"), F.col(vec).alias("v")))
+    ids, n = rows.select("id"), rows.count()
+    usable = rows.where(F.col("v").isNotNull())
+    blocks = max(1, -(-n // BLOCK))
+
+    def inside(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("id")
+        x, own = _matrix(f, "v"), f["id"].to_numpy()
+        low = np.arange(len(own))
+        for i in range(0, len(own), 512):
+            row, at = _within(x[i : i + 512], x[i:], height)
+            low = _joined(len(own), np.concatenate([low[row + i], np.arange(len(own))]), np.concatenate([low[at + i], low]))
+        return pd.DataFrame({"src": own, "dst": own[low]})
+
+    cuts = [usable.withColumn("_b", F.pmod(F.xxhash64("id", F.lit(c)), F.lit(blocks)).cast("int")).groupBy("_b").applyInPandas(inside, "src bigint, dst bigint") for c in range(2 if blocks > 1 else 1)]
+    stars = cuts[0].union(cuts[1]) if len(cuts) > 1 else cuts[0]
+    found = components(_both(_kept(stars.where("src <> dst"))), ids)
+    if blocks == 1:
+        return found
+    most = found.groupBy("component").agg(F.count("*").alias("n")).agg(F.max_by("component", F.struct("n", "component"))).first()[0]
+    labelled = _kept(usable.join(found, "id"))
+    asked = labelled.where(F.col("component") != most)
+    parts = -(-asked.count() // BLOCK)
+    if not parts:
+        return found
+
+    def across(f: pd.DataFrame) -> pd.DataFrame:
+        a, b = f[f["_ask"]], f[~f["_ask"]]
+        names, at = np.unique(np.concatenate([a["component"], b["component"]]).astype(np.int64), return_inverse=True)
+        low, mine, other = np.arange(len(names)), at[: len(a)], at[len(a) :]
+        if len(a) and len(b):
+            y = _matrix(b, "v")
+            for i in range(0, len(a), 512):
+                row, to = _within(_matrix(a.iloc[i : i + 512], "v"), y, height)
+                low = _joined(len(names), np.concatenate([mine[row + i], np.arange(len(names))]), np.concatenate([other[to], low]))
+        return pd.DataFrame({"src": names, "dst": names[low]})
+
+    dealt = lambda frame, mine, copies, ask: frame.select("id", "component", "v", F.pmod(F.xxhash64("id"), F.lit(mine)).cast("int").alias("_own"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("_met"), F.lit(ask).alias("_ask"))
+    sent = dealt(asked, parts, blocks, True).withColumns({"_p": F.col("_own"), "_q": F.col("_met")}).union(dealt(labelled, blocks, parts, False).withColumns({"_p": F.col("_met"), "_q": F.col("_own")}))
+    more = _kept(sent.groupBy("_p", "_q").applyInPandas(across, "src bigint, dst bigint").where("src <> dst").distinct())
+    names = components(_both(more), found.select(F.col("component").alias("id")).distinct())
+    return found.join(names.select(F.col("id").alias("component"), F.col("component").alias("_c")), "component").select("id", F.col("_c").alias("component"))
+
+
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
+def single_linkage(df: DataFrame, key: str, vec: str, edges: DataFrame | None = None, clusters: int | None = None, height: float | None = None, name: str = "cluster") -> DataFrame:
     """Rows with the smallest key of their cluster: single linkage, cut at a height or into a number of
-    clusters (the tree's longest edges, ties by keys, are cut)."""
+    clusters (the tree's longest edges, ties by keys, are cut). A height alone needs no tree and no ``edges``."""
+    if clusters is None and height is not None:
+        found = linked_within(df, key, vec, height)
+        return df.join(found.select(F.col("id").alias(key), F.col("component").alias(name)), key)
     return cut(df, key, spanning_tree(df, key, vec, edges, height), clusters, height, name)
 
 

@@ -172,3 +172,21 @@ def test_optimum_of_the_one_class_machine(spark):
     out = robust.one_class_machine(table(spark, x), "id", "v", nu=nu, gamma=0.5, features=m, rounds=40, score="margin").orderBy("id").collect()
     margin = np.array([r["margin"] for r in out])
     assert np.corrcoef(margin, s)[0, 1] > 0.995
+
+
+def test_single_linkage_at_a_height_needs_no_tree_and_no_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "BLOCK", 32)
+    rng = np.random.default_rng(8)
+    # one large cluster, copies, small clusters over several blocks, rows alone, one without a vector
+    x = np.concatenate([rng.normal(0, 0.4, (300, 3)), np.repeat(rng.normal(6, 1, (3, 3)), 12, axis=0), rng.normal(-6, 1.5, (60, 3)), rng.uniform(-30, 30, (40, 3))])
+    rows = [(i + 5, v.tolist()) for i, v in enumerate(x)] + [(1, None)]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>")
+    for height in (0.0, 0.35, 1.2):
+        got = {r["id"]: r["cluster"] for r in graphs.single_linkage(df, "id", "v", height=height).collect()}
+        near, label = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)) <= height, np.arange(len(x))
+        while True:
+            new = np.where(near, label[None], len(x)).min(axis=1)
+            if (new == label).all():
+                break
+            label = new
+        assert got == {1: 1} | {i + 5: int(c) + 5 for i, c in enumerate(label)}
