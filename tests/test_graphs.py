@@ -190,3 +190,17 @@ def test_single_linkage_at_a_height_needs_no_tree_and_no_neighbours(spark, monke
                 break
             label = new
         assert got == {1: 1} | {i + 5: int(c) + 5 for i, c in enumerate(label)}
+
+
+def test_neighbours_over_blocks_bring_only_what_can_be_nearest(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(0, 1, (150, 4)), np.repeat(rng.normal(0, 1, (4, 4)), 9, axis=0), 1e4 + rng.normal(0, 1e-3, (40, 4)), [[1e20] * 4, [-1e20] * 4]])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    want = {(i, int(j)) for i in range(len(x)) for j in np.lexsort((np.arange(len(x)), d[i]))[:5]}
+    for block in (16_384, 64, 4):
+        monkeypatch.setattr(learn, "BLOCK", block)
+        assert {(r["src"], r["dst"]) for r in learn.knn_edges(table(spark, x), "id", "v", 5).collect()} == want
+    # a row whose bound is known takes no row beyond it from another block
+    row, at = learn._close(x[:150], x[150:186], np.full(150, 0.5), 10_000)
+    assert set(zip(row.tolist(), at.tolist())) >= set(zip(*np.nonzero(d[:150, 150:186] <= 0.5))) and len(row) < 150
