@@ -16,6 +16,8 @@ from inkstrata.llm.common import table, with_checked_broadcast, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_LANGUAGE_SCORE = 0.5
+#: A passage of over 50 words is a repeat, even if it has fewer than 400 bytes.
+PASSAGE_WORDS = 51
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +41,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings of 400 that occur more than once; a document of which
-    nothing is left goes, one that was empty before stays. A character that a border cuts is
+    """Texts without the byte strings of 400 that occur more than once and without the passages of
+    over 50 words that another document holds too; a document of which nothing is left goes, one that was empty before stays. A character that a border cuts is
     dropped. Rows without doc_id are not searched and stay as they are."""
-    cut = suffixdedup.remove_repeats(docs, 400, with_text=True, carry=("lang", "source", "n_chars"))
+    cut = suffixdedup.remove_repeats(docs, 400, words=PASSAGE_WORDS, with_text=True, carry=("lang", "source", "n_chars"))
     cut = cut.where("n_removed = 0 or n_removed < n_bytes")
     chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("_n_chars"))
     return cut.select("doc_id", "text", F.col("_lang").alias("lang"), F.col("_source").alias("source"), chars.alias("n_chars"))

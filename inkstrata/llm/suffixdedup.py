@@ -12,6 +12,9 @@ with one anchor are consecutive; the bytes they span are the anchor's context.
    depth, then blind tries for the groups with longer common prefixes. The common prefixes
    of neighbours give the windows that another context holds too. Very large groups of
    contexts are instead split by the windows themselves and counted.
+
+Passages of words that several documents hold (``shared_passages``) are found by anchors too: there
+a window is a number of words, and only windows whose anchor several documents hold are counted.
 """
 
 from __future__ import annotations
@@ -24,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, SpanHasher, bounded_batches, mix, text_chunks, written
+from .common import U64, SpanHasher, bounded_batches, mix, text_chunks, with_checked_broadcast, word_spans, written
 
 GRAM = 16
 CHUNK = 1_000_000
+#: Words that are hashed at a time.
+WORDS = 150_000
 LARGE_GROUP = 8192
 SHALLOW = 32
 
@@ -187,6 +192,17 @@ def shared_windows(befores: list[bytes], afters: list[bytes], length: int, known
 # --- anchors --------------------------------------------------------------------------
 
 
+def window_minima(value: np.ndarray, reach: int, starts: int) -> np.ndarray:
+    """The smallest of the ``reach`` values from each of the first ``starts`` positions on."""
+    rows = -(-len(value) // reach) + 1
+    padded = np.full(rows * reach, np.iinfo(np.uint64).max, np.uint64)
+    padded[: len(value)] = value
+    padded = padded.reshape(rows, reach)
+    prefix = np.minimum.accumulate(padded, axis=1).ravel()
+    suffix = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(suffix[:starts], prefix[reach - 1 : reach - 1 + starts])
+
+
 def anchors(buf: np.ndarray, offs: np.ndarray, length: int, reach: int):
     """Anchors of all windows inside the documents of a chunk: (document, anchor, first and
     last window start), positions in the chunk."""
@@ -197,14 +213,8 @@ def anchors(buf: np.ndarray, offs: np.ndarray, length: int, reach: int):
     hasher = SpanHasher(buf)
     gram = mix((hasher.sums[GRAM:] - hasher.sums[:-GRAM]) * hasher.down[: n - GRAM + 1])
     value = (gram & U64(0xFFFFFFFF00000000)) | np.arange(len(gram), dtype=np.uint64)
-    rows = -(-len(value) // reach) + 1
-    padded = np.full(rows * reach, np.iinfo(np.uint64).max, np.uint64)
-    padded[: len(value)] = value
-    padded = padded.reshape(rows, reach)
-    prefix = np.minimum.accumulate(padded, axis=1).ravel()
-    suffix = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
     starts = n - length + 1
-    low = np.minimum(suffix[:starts], prefix[reach - 1 : reach - 1 + starts])
+    low = window_minima(value, reach, starts)
     anchor = (low & U64(0xFFFFFFFF)).astype(np.int64)
     inside = np.zeros(n + 1, np.int32)  # windows that end in their document
     size = np.diff(offs)
@@ -353,9 +363,67 @@ def _binary_chunks(column: pa.Array):
         yield at, np.frombuffer(b"".join(part.to_pylist()), np.uint8), np.concatenate([[0], np.cumsum(size[at : at + 1000])])
 
 
-def repeated(docs: DataFrame, length: int = 400, large_group: int = LARGE_GROUP) -> DataFrame:
+# --- passages of words ----------------------------------------------------------------
+
+
+def word_windows(buf: np.ndarray, offs: np.ndarray, words: int):
+    """Yield (document, first byte, end, key, hash) of all windows of ``words`` words inside the
+    documents of a chunk. The key is the smallest hash of a quarter of the window's words, in
+    their order, so that equal windows have equal keys."""
+    gram = max(1, words // 4)
+    begin, end, doc = word_spans(buf, offs)
+    for at in range(0, len(begin) - words + 1, WORDS):
+        b, e, d = (x[at : at + WORDS + words - 1] for x in (begin, end, doc))
+        n = len(b)
+        own = SpanHasher(buf[b[0] : e[-1]]).of(b - b[0], e - b[0])
+        up, down = SpanHasher._grown(n + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * up[:n])])
+        of = lambda size: mix((sums[size:] - sums[:-size]) * down[: n - size + 1])  # noqa: B023, E731
+        grams = of(gram)
+        low = window_minima((grams & U64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64), words - gram + 1, n - words + 1)
+        s = np.flatnonzero(d[: n - words + 1] == d[words - 1 :])
+        yield d[s], b[s], e[s + words - 1], grams[(low[s] & U64(0xFFFFFFFF)).astype(np.int64)], of(words)[s]
+
+
+def shared_passages(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, lo, hi): the bytes of each sequence of ``words`` words, with what stands between them,
+    that some other document holds too. Words are `[^\\x20\\x09-\\x0D]+`; windows with equal hashes (64
+    bits of all words, 64 of a quarter of them) count as equal."""
+
+    def keys(batches):
+        for batch in batches:
+            for at, buf, offs in text_chunks(batch.column(1), CHUNK):
+                for d, _, _, key, _ in word_windows(buf, offs, words):
+                    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (d[1:] != d[:-1])])) if len(d) else d
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d[new] + at)), pa.array(key[new].view(np.int64))], names=["doc_id", "key"])
+
+    def windows(batches):
+        for batch in batches:
+            again = np.unique(np.asarray(batch.column(2).flatten()))
+            for at, buf, offs in text_chunks(batch.column(1), CHUNK):
+                for d, lo, hi, key, whole in word_windows(buf, offs, words):
+                    s = np.flatnonzero(np.isin(key.view(np.int64), again))
+                    base = offs[d[s]]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(d[s] + at)), pa.array(lo[s] - base), pa.array(hi[s] - base), pa.array(key[s].view(np.int64)), pa.array(whole[s].view(np.int64))],
+                        names=["doc_id", "lo", "hi", "key", "whole"],
+                    )
+
+    several = F.min("doc_id") < F.max("doc_id")
+    at = written(docs.select("doc_id", "text").mapInArrow(keys, "doc_id bigint, key bigint"), "word-keys")
+    again = at.groupBy("key").agg(several.alias("several")).where("several").select("key")
+    per_doc = written(at.join(again, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "word-anchors")
+    cut = with_checked_broadcast(docs, per_doc, "doc_id", "inner", F.size("keys")).select("doc_id", "text", "keys")
+    found = written(cut.mapInArrow(windows, "doc_id bigint, lo bigint, hi bigint, key bigint, whole bigint"), "word-windows")
+    often = found.groupBy("key", "whole").agg(several.alias("several")).where("several").select("key", "whole")
+    return found.join(often, ["key", "whole"]).select("doc_id", "lo", "hi")
+
+
+def repeated(docs: DataFrame, length: int = 400, large_group: int = LARGE_GROUP, words: int | None = None) -> DataFrame:
     """(doc_id, spans): for each document with repeats, the intervals [s_lo, s_hi] of starts
-    of windows of ``length`` bytes that start elsewhere too, in any document."""
+    of windows of ``length`` bytes that start elsewhere too, in any document. With ``words``, the
+    passages of so many words that other documents hold stand there as well, as if they ended
+    ``length`` bytes after s_hi."""
     reach = length - max(length // 4, GRAM) + 1
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     made = written(_anchor_rows(docs, length, reach), "anchors")
@@ -374,6 +442,8 @@ def repeated(docs: DataFrame, length: int = 400, large_group: int = LARGE_GROUP)
     contexts = written(_contexts(docs, wanted, length), "contexts")
     edges = _edges(contexts.where("not large"), length, reach)
     found = made.where("key is null").select("doc_id", "s_lo", "s_hi").unionByName(pure).unionByName(whole).unionByName(edges).unionByName(_counted(contexts.where("large"), length))
+    if words:
+        found = found.unionByName(shared_passages(docs, words).select("doc_id", F.col("lo").alias("s_lo"), (F.col("hi") - length).alias("s_hi")))
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("s_lo", "s_hi")).alias("spans"))
 
 
@@ -384,9 +454,10 @@ def _removed(size: int, spans, length: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, *, with_text: bool = False, large_group: int = LARGE_GROUP, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, *, words: int | None = None, with_text: bool = False, large_group: int = LARGE_GROUP, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove every byte covered by a string of ``length`` bytes that also starts anywhere
-    else in the table, the same document included; judged on the input.
+    else in the table, the same document included; judged on the input. With ``words``, passages of
+    so many words (or more) that another document holds too, however short, go as well.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of the
     remaining bytes and, if asked for, the remaining ``text`` (a character that a border
@@ -396,7 +467,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, *, with_text: bool = Fals
     table gives an empty result; other columns are not read.
     """
     bounded_batches(docs.sparkSession)
-    spans = written(repeated(docs, length, large_group), "spans")
+    spans = written(repeated(docs, length, large_group, words), "spans")
 
     def run(batches):
         for batch in batches:
