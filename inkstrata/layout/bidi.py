@@ -107,7 +107,7 @@ def turned_at_edges(run: Column) -> Column:
 def _sorted(words: Column, sign: int) -> Column:
     """The words by their left edge, equal ones in their order."""
     keyed = F.transform(words, lambda w, i: F.struct((sign * w["left"]).alias("k"), i.alias("i"), w["left"].alias("left"), w["text"].alias("text")))
-    return F.transform(F.array_sort(keyed), lambda w: F.struct(w["left"].alias("left"), w["text"].alias("text")))
+    return F.transform(F.sort_array(keyed), lambda w: F.struct(w["left"].alias("left"), w["text"].alias("text")))
 
 
 def reading_order(words: Column, had_right: Column | bool = False) -> Column:
@@ -133,7 +133,11 @@ def reading_order(words: Column, had_right: Column | bool = False) -> Column:
         start = F.coalesce(line[0]["text"].rlike(HEBREW_LETTER), F.lit(False))
         own = lambda t: F.when(t.rlike(HEBREW_LETTER), True).when(~t.rlike(r"\p{L}") & (t != ""), F.lit(None).cast("boolean")).otherwise(False)
         texts = F.filter(line, lambda w: w["text"] != "")
-        return F.aggregate(F.transform(texts, lambda w: F.struct(w["text"].alias("text"), own(w["text"]).alias("right"))), state(none, none, start, had_right), step, closed)
+        mixed = F.aggregate(F.transform(texts, lambda w: F.struct(w["text"].alias("text"), own(w["text"]).alias("right"))), state(none, none, start, had_right), step, closed)
+        # without a right-to-left word the line is one run
+        run = F.reverse(F.transform(texts, lambda w: w["text"]))
+        plain = F.when(had_right, bound(run, turned_at_edges)).otherwise(run)
+        return F.when(F.exists(line, lambda w: F.coalesce(w["text"].rlike(HEBREW_LETTER), F.lit(False))), mixed).otherwise(plain)
 
     return bound(words, lambda ws: F.when(F.size(ws) <= 1, F.transform(ws, lambda w: w["text"])).otherwise(bound(_sorted(ws, -1), read)))
 

@@ -144,10 +144,18 @@ def abbreviation_entries(spark, sf_dir):
     """The lines of a document as a list of entries, whose margins and separators come from their lengths.
     The bins of edges are greedy, so the tests hold the result against a loop."""
     l = Tables(spark, sf_dir).documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "raw")).where("raw <> ''")  # noqa: E741
-    n, size = F.col("n"), F.length("raw")
-    texts = F.slice(F.split("raw", " "), 1, 6)
-    texts = F.when(size % 4 > 0, F.concat(F.slice(texts, 1, 1), F.array(F.when(size % 2 == 0, F.lit("=")).otherwise(F.lit("--"))), F.slice(texts, 2, 5))).otherwise(texts)
-    words = F.transform(texts, lambda t, k: F.struct(k.alias("row_no"), (100 + F.when(size % 3 == 0, 40).otherwise(0) + k * 120).cast("double").alias("left"), (F.least(F.length(t), F.lit(10)) * 10).cast("double").alias("width"), t.alias("text")))
-    df = l.select("doc_id", (F.floor(n / 20) + 1).alias("page"), (n % 20).alias("i"), F.array_join(texts, " ").alias("text"), words.alias("words")).withColumns({"page_right_margin": F.lit(1000.0), "page_left_margin": F.lit(100.0), "journal": F.lit("לשוננו")})
-    edges = {"left": F.array_min(F.transform("words", lambda w: w["left"])), "right": F.array_max(F.transform("words", lambda w: w["left"] + w["width"]))}
-    return entries.entries(entries.with_indents(df.withColumns(edges), entries.journals(spark)))
+    right = lambda w: w["left"] + w["width"]
+
+    def line(x):
+        size = x["size"]
+        sep = F.when(size % 2 == 0, F.lit("=")).otherwise(F.lit("--"))
+        texts = lambda ts: F.when(size % 4 > 0, F.concat(F.slice(ts, 1, 1), F.array(sep), F.slice(ts, 2, 5))).otherwise(ts)
+        words = lambda ts: F.transform(ts, lambda t, k: F.struct(k.alias("row_no"), (100 + F.when(size % 3 == 0, 40).otherwise(0) + k * 120).cast("double").alias("left"), (F.least(F.length(t), F.lit(10)) * 10).cast("double").alias("width"), t.alias("text")))
+        edges = lambda ts, ws: F.struct(F.array_join(ts, " ").alias("text"), ws.alias("words"), F.array_min(F.transform(ws, lambda w: w["left"])).alias("left"), F.array_max(F.transform(ws, right)).alias("right"))
+        return bidi.bound(texts(x["texts"]), lambda ts: bidi.bound(words(ts), lambda ws: edges(ts, ws)))
+
+    first = F.struct(F.length("raw").alias("size"), F.split(F.substring_index("raw", " ", 6), " ").alias("texts"))
+    n = F.col("n")
+    df = l.select("doc_id", (F.floor(n / 20) + 1).alias("page"), (n % 20).alias("i"), F.inline(F.transform(F.array(first), line)))
+    df = df.withColumns({"page_right_margin": F.lit(1000.0), "page_left_margin": F.lit(100.0), "journal": F.lit("לשוננו")})
+    return entries.entries(entries.with_indents(df, entries.journals(spark)))
