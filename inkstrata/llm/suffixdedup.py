@@ -13,8 +13,9 @@ with one anchor are consecutive; the bytes they span are the anchor's context.
    of neighbours give the windows that another context holds too. Very large groups of
    contexts are instead split by the windows themselves and counted.
 
-Passages of words that several documents hold (``shared_passages``) are found by anchors too: there
-a window is a number of words, and only windows whose anchor several documents hold are counted.
+Passages of words that several documents hold (``passage_spans``) are found by anchors too: there a
+window is a number of words, windows with one anchor are a run, and only runs that stand in one
+document while several hold their anchor are taken apart into windows.
 """
 
 from __future__ import annotations
@@ -385,45 +386,91 @@ def word_windows(buf: np.ndarray, offs: np.ndarray, words: int):
         yield d[s], b[s], e[s + words - 1], grams[(low[s] & U64(0xFFFFFFFF)).astype(np.int64)], of(words)[s]
 
 
-def shared_passages(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, lo, hi): the bytes of each sequence of ``words`` words, with what stands between them,
-    that some other document holds too. Words are `[^\\x20\\x09-\\x0D]+`; windows with equal hashes (64
-    bits of all words, 64 of a quarter of them) count as equal."""
+def _passage_runs(docs: DataFrame, words: int) -> DataFrame:
+    """A row for each run of windows of one key: its bytes from first word to last, and the hash
+    of all its windows."""
 
-    def keys(batches):
+    def run(batches):
         for batch in batches:
             for at, buf, offs in text_chunks(batch.column(1), CHUNK):
-                for d, _, _, key, _ in word_windows(buf, offs, words):
-                    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (d[1:] != d[:-1])])) if len(d) else d
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d[new] + at)), pa.array(key[new].view(np.int64))], names=["doc_id", "key"])
+                for d, lo, hi, key, whole in word_windows(buf, offs, words):
+                    if not len(d):
+                        continue
+                    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (d[1:] != d[:-1])]))
+                    end = np.append(new[1:], len(d))
+                    up, down = SpanHasher._grown(len(d) + 1)
+                    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(whole * up[: len(d)])])
+                    context = mix((sums[end] - sums[new]) * down[new])
+                    base = offs[d[new]]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(d[new] + at)), pa.array(lo[new] - base), pa.array(hi[end - 1] - base), pa.array(key[new].view(np.int64)), pa.array(context.view(np.int64))],
+                        names=["doc_id", "lo", "hi", "key", "context"],
+                    )
 
-    def windows(batches):
+    return docs.mapInArrow(run, "doc_id bigint, lo bigint, hi bigint, key bigint, context bigint")
+
+
+def _passage_windows(docs: DataFrame, runs: DataFrame, words: int) -> DataFrame:
+    """The windows of the given runs, with all other columns of these, cut out of their documents."""
+    names = [c for c in runs.columns if c not in ("doc_id", "lo", "hi")]
+    per_doc = written(runs.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", *names)).alias("cut")), "word-cuts")
+    cut = with_checked_broadcast(docs, per_doc, "doc_id", "inner", F.size("cut")).select("doc_id", "text", "cut")
+
+    def run(batches):
         for batch in batches:
-            again = np.unique(np.asarray(batch.column(2).flatten()))
-            for at, buf, offs in text_chunks(batch.column(1), CHUNK):
+            flat = batch.column(2).flatten()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(batch.column(2).offsets)))
+            start, end = np.asarray(flat.field("lo")), np.asarray(flat.field("hi"))
+            data = [x.as_py().encode() for x in batch.column(1)]
+            pieces = pa.array([data[r][a:b] for r, a, b in zip(row, start, end, strict=True)], pa.binary())
+            for at, buf, offs in _binary_chunks(pieces):
                 for d, lo, hi, key, whole in word_windows(buf, offs, words):
-                    s = np.flatnonzero(np.isin(key.view(np.int64), again))
-                    base = offs[d[s]]
+                    move = start[d + at] - offs[d]
+                    of = pa.array(d + at)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(d[s] + at)), pa.array(lo[s] - base), pa.array(hi[s] - base), pa.array(key[s].view(np.int64)), pa.array(whole[s].view(np.int64))],
-                        names=["doc_id", "lo", "hi", "key", "whole"],
+                        [batch.column(0).take(pa.array(row[d + at])), pa.array(lo + move), pa.array(hi + move), pa.array(whole.view(np.int64)), *[flat.field(c).take(of) for c in names]],
+                        names=["doc_id", "lo", "hi", "whole", *names],
                     )
 
+    return cut.mapInArrow(run, "doc_id bigint, lo bigint, hi bigint, whole bigint" + "".join(f", {c} bigint" for c in names))
+
+
+def passage_spans(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, lo, hi): bytes of one or more consecutive sequences of ``words`` words that some other
+    document holds too; together all such bytes, with what stands between the words. Words are
+    `[^\\x20\\x09-\\x0D]+`; runs and windows with equal hashes (64 bits of all words, 64 of a quarter of a
+    window's) count as equal.
+
+    A run that another document holds as a whole is shared in all its windows. Only where a run
+    stands in one document alone, its windows are compared, with those of one document for
+    each different run of their key."""
+    made = written(_passage_runs(docs.select("doc_id", "text").where("text is not null"), words), "word-runs")
     several = F.min("doc_id") < F.max("doc_id")
-    at = written(docs.select("doc_id", "text").mapInArrow(keys, "doc_id bigint, key bigint"), "word-keys")
-    again = at.groupBy("key").agg(several.alias("several")).where("several").select("key")
-    per_doc = written(at.join(again, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "word-anchors")
-    cut = with_checked_broadcast(docs, per_doc, "doc_id", "inner", F.size("keys")).select("doc_id", "text", "keys")
-    found = written(cut.mapInArrow(windows, "doc_id bigint, lo bigint, hi bigint, key bigint, whole bigint"), "word-windows")
-    often = found.groupBy("key", "whole").agg(several.alias("several")).where("several").select("key", "whole")
-    return found.join(often, ["key", "whole"]).select("doc_id", "lo", "hi")
+    keys = made.groupBy("key").agg(several.alias("several")).where("several").select("key")
+    again = written(made.join(keys, "key"), "word-again")
+    held = again.groupBy("key", "context").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min(F.struct("doc_id", "lo", "hi")).alias("at"))
+    held = written(held, "word-contexts")
+    kinds = written(again.join(held.select("key", "context", "least", "most"), ["key", "context"]), "word-kinds")
+    whole = kinds.where("least < most").select("doc_id", "lo", "hi")
+    alone = kinds.where("least = most").select("doc_id", "lo", "hi", "key", "least", "most")
+    mixed = held.groupBy("key").agg(F.min(F.col("least") < F.col("most")).alias("all")).where("not all").select("key")
+    others = held.where("least < most").join(mixed, "key").select("at.*", "key", "least", "most")
+    windows = written(_passage_windows(docs.select("doc_id", "text").where("text is not null"), alone.unionByName(others), words), "word-windows")
+    often = windows.groupBy("key", "whole").agg((F.min("least") < F.max("most")).alias("several")).where("several").select("key", "whole")
+    edges = with_checked_broadcast(windows.where("least = most"), written(often, "word-often"), ["key", "whole"], "left_semi")
+    return whole.unionByName(edges.select("doc_id", "lo", "hi"))
+
+
+def shared_passages(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, lo, hi) of each single sequence of ``words`` words in ``passage_spans``."""
+    return _passage_windows(docs, passage_spans(docs, words), words).select("doc_id", "lo", "hi")
 
 
 def repeated(docs: DataFrame, length: int = 400, large_group: int = LARGE_GROUP, words: int | None = None) -> DataFrame:
     """(doc_id, spans): for each document with repeats, the intervals [s_lo, s_hi] of starts
     of windows of ``length`` bytes that start elsewhere too, in any document. With ``words``, the
-    passages of so many words that other documents hold stand there as well, as if they ended
-    ``length`` bytes after s_hi."""
+    passages of so many words that other documents hold stand there as well, marked as
+    ``passage``, as if they ended ``length`` bytes after s_hi."""
     reach = length - max(length // 4, GRAM) + 1
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     made = written(_anchor_rows(docs, length, reach), "anchors")
@@ -442,9 +489,10 @@ def repeated(docs: DataFrame, length: int = 400, large_group: int = LARGE_GROUP,
     contexts = written(_contexts(docs, wanted, length), "contexts")
     edges = _edges(contexts.where("not large"), length, reach)
     found = made.where("key is null").select("doc_id", "s_lo", "s_hi").unionByName(pure).unionByName(whole).unionByName(edges).unionByName(_counted(contexts.where("large"), length))
+    found = found.withColumn("passage", F.lit(False))
     if words:
-        found = found.unionByName(shared_passages(docs, words).select("doc_id", F.col("lo").alias("s_lo"), (F.col("hi") - length).alias("s_hi")))
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("s_lo", "s_hi")).alias("spans"))
+        found = found.unionByName(passage_spans(docs, words).select("doc_id", F.col("lo").alias("s_lo"), (F.col("hi") - length).alias("s_hi"), F.lit(True).alias("passage")))
+    return found.groupBy("doc_id").agg(F.collect_list(F.struct("s_lo", "s_hi", "passage")).alias("spans"))
 
 
 def _removed(size: int, spans, length: int) -> np.ndarray:
@@ -454,13 +502,15 @@ def _removed(size: int, spans, length: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, *, words: int | None = None, with_text: bool = False, large_group: int = LARGE_GROUP, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, *, words: int | None = None, keep_passages: bool = False, with_text: bool = False, large_group: int = LARGE_GROUP, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove every byte covered by a string of ``length`` bytes that also starts anywhere
     else in the table, the same document included; judged on the input. With ``words``, passages of
-    so many words (or more) that another document holds too, however short, go as well.
+    so many words (or more) that another document holds too, however short, go as well; with
+    ``keep_passages`` they stay and are only counted.
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 of the
-    remaining bytes and, if asked for, the remaining ``text`` (a character that a border
+    remaining bytes, with ``words`` n_passage_bytes (bytes of the input that such passages cover,
+    removed or not) and, if asked for, the remaining ``text`` (a character that a border
     cuts is dropped); ``carry`` names further columns to pass through. Null texts are empty; texts shorter than ``length`` lose nothing.
     Rows without doc_id are returned but neither searched nor changed. A doc_id should be
     unique: of repeated rows of one doc_id each loses what any of them must lose. An empty
@@ -468,27 +518,30 @@ def remove_repeats(docs: DataFrame, length: int = 400, *, words: int | None = No
     """
     bounded_batches(docs.sparkSession)
     spans = written(repeated(docs, length, large_group, words), "spans")
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["n_passage_bytes"] * bool(words) + ["text"] * with_text
+    kinds = [pa.string() if n in ("kept_sha256", "text") else pa.int64() for n in names]
 
     def run(batches):
         for batch in batches:
             out = []
             for text, found in zip(batch.column(1), batch.column(2), strict=True):
                 data = (text.as_py() or "").encode()
-                found = found.as_py()
+                found = [x for x in found.as_py() or [] if x["s_hi"] + length <= len(data)]
+                kept, runs, covered = data, 0, 0
                 if found:
-                    gone = _removed(len(data), [x for x in found if x["s_hi"] + length <= len(data)], length)
+                    passages = [x for x in found if x["passage"]]
+                    gone = _removed(len(data), [x for x in found if not x["passage"]] if keep_passages else found, length)
                     kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
                     runs = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + bool(len(gone) and gone[0])
-                else:
-                    kept, runs = data, 0
-                out.append((len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                    covered = int(np.count_nonzero(_removed(len(data), passages, length))) if passages else 0
+                own = (len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest())
+                out.append(own + (covered,) * bool(words) + (kept.decode("utf-8", "ignore"),) * with_text)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0)] + [pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)][: 4 + with_text] + batch.columns[3:],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"][: 5 + with_text] + [f"_{c}" for c in carry],
+                [batch.column(0)] + [pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)] + batch.columns[3:],
+                names=["doc_id", *names, *[f"_{c}" for c in carry]],
             )
 
-    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", text string" * with_text
+    schema = ", ".join(["doc_id bigint", *[f"{n} {'string' if t == pa.string() else 'bigint'}" for n, t in zip(names, kinds, strict=True)]])
     schema += "".join(f", `_{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     texts = docs.select("doc_id", "text", *[F.col(c).alias(f"_{c}") for c in carry])
     columns = ["doc_id", "text", "spans", *[f"_{c}" for c in carry]]

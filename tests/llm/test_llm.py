@@ -14,6 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from inkstrata.llm import ann, bpe, capdedup, langid, licenses, minhash, mixing, quality, suffixdedup, toxicity
+from inkstrata.llm import queries as llm_queries
 from inkstrata.llm.common import components
 
 SF = "/root/testdata/sf0.001"
@@ -328,6 +329,31 @@ def test_repeats_of_nothing(spark, empty):
     assert [r["n_removed"] for r in out] == [0, 0, 0]
 
 
+def test_op8_counts_short_passages_and_leaves_them(spark, tmp_path):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passage = {n: text(n) for n in (50, 51, 59, 120)}
+    assert len(passage[59].encode()) < 400 < len(passage[120].encode())
+    twice = text(55)
+    texts = [f"é {text(60)} {passage[(50, 51, 59, 120)[i % 4]]}\n{text(70)}" for i in range(40)]
+    texts += [f"{twice} {text(9)} {twice}", passage[59] + " " + passage[51], passage[59].replace(" ", "\n\t"), texts[3], None, ""]
+    docs(spark, texts).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    out = llm_queries.queries()["op8_suffix_array_dedup"](spark, str(tmp_path)).orderBy("doc_id")
+    assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes"]
+    out = [tuple(r) for r in out.collect()]
+    assert [r[1:5] for r in out] == brute_repeats(texts, 400)
+    spans = [[m.span() for m in re.finditer(rb"[^ \t-\r]+", (t or "").encode())] for t in texts]
+    words = [(t or "").split() for t in texts]
+    holds = {}
+    for i, w in enumerate(words):
+        for s in range(len(w) - 50):
+            holds.setdefault(tuple(w[s : s + 51]), set()).add(i)
+    covered = [len({b for s in range(len(w) - 50) if len(holds[tuple(w[s : s + 51])]) > 1 for b in range(at[s][0], at[s + 50][1])}) for w, at in zip(words, spans, strict=True)]
+    assert [r[5] for r in out] == covered
+    assert all(r[2] == 0 and r[5] == len(passage[51]) for r in out[1:40:4]) and not any(r[5] for r in out[0:40:4])
+
+
 # --- 9: mixing ------------------------------------------------------------------------
 
 
