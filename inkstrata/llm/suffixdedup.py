@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, SpanHasher, bounded_batches, mix, text_chunks, with_checked_broadcast, word_spans, written
+from .common import U64, SpanHasher, bounded_batches, mix, text_chunks, with_checked_broadcast, word_spans, written, written_alone
 
 GRAM = 16
 CHUNK = 1_000_000
@@ -444,10 +444,14 @@ def passage_spans(docs: DataFrame, words: int) -> DataFrame:
     A run that another document holds as a whole is shared in all its windows. Only where a run
     stands in one document alone, its windows are compared, with those of one document for
     each different run of their key."""
-    made = written(_passage_runs(docs.select("doc_id", "text").where("text is not null"), words), "word-runs")
-    several = F.min("doc_id") < F.max("doc_id")
-    keys = made.groupBy("key").agg(several.alias("several")).where("several").select("key")
-    again = written(made.join(keys, "key"), "word-again")
+    docs = docs.select("doc_id", "text").where("text is not null")
+
+    def several() -> DataFrame:
+        made = written(_passage_runs(docs, words), "word-runs")
+        keys = made.groupBy("key").agg((F.min("doc_id") < F.max("doc_id")).alias("several")).where("several").select("key")
+        return made.join(keys, "key")
+
+    again = written_alone(several, "word-again")
     held = again.groupBy("key", "context").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min(F.struct("doc_id", "lo", "hi")).alias("at"))
     held = written(held, "word-contexts")
     kinds = written(again.join(held.select("key", "context", "least", "most"), ["key", "context"]), "word-kinds")
@@ -455,7 +459,7 @@ def passage_spans(docs: DataFrame, words: int) -> DataFrame:
     alone = kinds.where("least = most").select("doc_id", "lo", "hi", "key", "least", "most")
     mixed = held.groupBy("key").agg(F.min(F.col("least") < F.col("most")).alias("all")).where("not all").select("key")
     others = held.where("least < most").join(mixed, "key").select("at.*", "key", "least", "most")
-    windows = written(_passage_windows(docs.select("doc_id", "text").where("text is not null"), alone.unionByName(others), words), "word-windows")
+    windows = written_alone(lambda: _passage_windows(docs, alone.unionByName(others), words), "word-windows")
     often = windows.groupBy("key", "whole").agg((F.min("least") < F.max("most")).alias("several")).where("several").select("key", "whole")
     edges = with_checked_broadcast(windows.where("least = most"), written(often, "word-often"), ["key", "whole"], "left_semi")
     return whole.unionByName(edges.select("doc_id", "lo", "hi"))
@@ -495,10 +499,10 @@ def repeated(docs: DataFrame, length: int = 400, large_group: int = LARGE_GROUP,
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("s_lo", "s_hi", "passage")).alias("spans"))
 
 
-def _removed(size: int, spans, length: int) -> np.ndarray:
+def _covered(size: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     change = np.zeros(size + 1, np.int32)
-    np.add.at(change, [x["s_lo"] for x in spans], 1)
-    np.add.at(change, [x["s_hi"] + length for x in spans], -1)
+    np.add.at(change, start, 1)
+    np.add.at(change, end, -1)
     return np.cumsum(change[:-1]) > 0
 
 
@@ -517,25 +521,32 @@ def remove_repeats(docs: DataFrame, length: int = 400, *, words: int | None = No
     table gives an empty result; other columns are not read.
     """
     bounded_batches(docs.sparkSession)
-    spans = written(repeated(docs, length, large_group, words), "spans")
+    spans = written_alone(lambda: repeated(docs, length, large_group, words), "spans")
     names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["n_passage_bytes"] * bool(words) + ["text"] * with_text
     kinds = [pa.string() if n in ("kept_sha256", "text") else pa.int64() for n in names]
 
     def run(batches):
         for batch in batches:
             out = []
-            for text, found in zip(batch.column(1), batch.column(2), strict=True):
+            flat = batch.column(2).flatten()
+            start, end = np.asarray(flat.field("s_lo")), np.asarray(flat.field("s_hi")) + length
+            passage = flat.field("passage").to_numpy(zero_copy_only=False)
+            borders = np.asarray(batch.column(2).offsets)
+            borders = (borders - borders[0]).tolist()
+            for i, text in enumerate(batch.column(1)):
                 data = (text.as_py() or "").encode()
-                found = [x for x in found.as_py() or [] if x["s_hi"] + length <= len(data)]
+                own = np.arange(borders[i], borders[i + 1])
+                own = own[end[own] <= len(data)]
                 kept, runs, covered = data, 0, 0
-                if found:
-                    passages = [x for x in found if x["passage"]]
-                    gone = _removed(len(data), [x for x in found if not x["passage"]] if keep_passages else found, length)
+                if len(own):
+                    passages = own[passage[own]]
+                    cut = own[~passage[own]] if keep_passages else own
+                    gone = _covered(len(data), start[cut], end[cut])
                     kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
                     runs = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + bool(len(gone) and gone[0])
-                    covered = int(np.count_nonzero(_removed(len(data), passages, length))) if passages else 0
-                own = (len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest())
-                out.append(own + (covered,) * bool(words) + (kept.decode("utf-8", "ignore"),) * with_text)
+                    covered = int(np.count_nonzero(_covered(len(data), start[passages], end[passages]))) if len(passages) else 0
+                found = (len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest())
+                out.append(found + (covered,) * bool(words) + (kept.decode("utf-8", "ignore"),) * with_text)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0)] + [pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)] + batch.columns[3:],
                 names=["doc_id", *names, *[f"_{c}" for c in carry]],
