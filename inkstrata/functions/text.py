@@ -83,12 +83,15 @@ def close_labels(a: Column, b: Column, most: int = 2) -> Column:
     return F.levenshtein(letters(a, 10), letters(b, 10), most) >= 0
 
 
+def _font_size(height: Column, text: Column, up: Column, down: Column) -> Column:
+    plain = F.when(text.contains(","), height - 3).otherwise(height)
+    return F.when(up & down, (height / 2).cast("int")).when(up | down, (height * 2 / 3).cast("int")).otherwise(plain)
+
+
 def effective_font_size(height: Column, text: Column, ascenders: str = ASCENDERS, descenders: str = DESCENDERS) -> Column:
     """The height without ascenders and descenders, truncated: with one of both two thirds,
     with both half; plain words lose 3 for a comma."""
-    up, down = text.rlike(ascenders), text.rlike(descenders)
-    plain = F.when(text.contains(","), height - 3).otherwise(height)
-    return F.when(up & down, (height / 2).cast("int")).when(up | down, (height * 2 / 3).cast("int")).otherwise(plain)
+    return _font_size(height, text, text.rlike(ascenders), text.rlike(descenders))
 
 
 def only_full_line(text: Column) -> Column:
@@ -96,6 +99,13 @@ def only_full_line(text: Column) -> Column:
     return ~text.rlike(ASCENDERS) & ~text.rlike(DESCENDERS) & text.rlike("[^י]")
 
 
+def paragraph_font_size(height: Column, text: Column) -> Column:
+    """The effective size, or the height of ``only_full_line``; each pattern is tried once, also inside a lambda."""
+    kinds = F.array(F.struct(text.rlike(ASCENDERS).alias("up"), text.rlike(DESCENDERS).alias("down")))
+    size = lambda k: F.when(~k["up"] & ~k["down"] & text.rlike("[^י]"), height).otherwise(_font_size(height, text, k["up"], k["down"]).cast("double"))
+    return F.transform(kinds, size)[0]
+
+
 def label_font_size(height: Column, text: Column) -> Column:
     """The abbreviations' variant: the lamed is the only ascender."""
     return effective_font_size(height, text, LAMED, LABEL_DESCENDERS)
